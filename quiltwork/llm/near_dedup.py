@@ -7,11 +7,13 @@
 2. Equal sets are one class; only one row of a class goes on, so copies cost nothing.
 3. Banding: classes that share a band are candidates.  A band's bucket is never expanded into pairs: each member is
    compared with the bucket's head, first with the one that it shares the most bands with, then with the others.
-   Only members of a bucket that are still in different groups after that are compared with each other, so a group of
-   near copies costs a few comparisons a row.
+   A group of near copies so costs a few comparisons a row.
 4. Verification on the full sets of both texts, 100 * intersection >= threshold * union.
 5. Union-find: links are merged inside each partition by union-find, and what remains is contracted over all
    partitions, round by round, until no link joins two groups.
+6. Members of a bucket that are still in different groups may be linked all the same.  What hangs together by such
+   buckets is cut into blocks of bounded size; each pair of blocks counts common shingles by an inverted index and
+   returns only the links that join groups, never the pairs that it compared.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from quiltwork.llm.common import Scratch, byte_view, list_column, mix64, small_batches, word_hashes, word_spans
 
 BANDS, BAND_ROWS = 26, 5
-#: Rounds in which members are compared with one head of a bucket only, before members are compared with each other.
-HEAD_ROUNDS = 3
+#: Rounds in which members are compared with one more head of a bucket, before members are compared with each other.
+HEAD_ROUNDS = 1
+#: Most shingles and texts of a block, give or take the spread of a hash.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 2048
 
 
 # ---------------------------------------------------------------- sketches
@@ -222,6 +226,68 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+# ---------------------------------------------------------------- the rest
+
+
+def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between texts of different groups that share a bucket; ``open_rows``: band, cid, n, root.
+
+    All texts that hang together by buckets are compared; a hot heap of them is cut into blocks, and each pair of
+    blocks is a task of its own.
+    """
+    low = open_rows.groupBy("band").agg(F.min("cid").alias("a"))
+    heap = components(open_rows.join(low, "band").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), scratch)
+    texts = open_rows.select("cid", "n", "root").distinct().join(heap.select(F.col("node").alias("cid"), F.col("root").alias("heap")), "cid", "left")
+    texts = scratch.keep(texts.select("cid", "n", "root", F.coalesce("heap", "cid").alias("heap")))
+    sizes = texts.groupBy("heap").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    dealt = texts.join(sizes, "heap").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cid", "root", "heap", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    words = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        same = key[1].as_py() == key[2].as_py()
+        ids, roots = table.column("cid").to_numpy(), table.column("root").to_numpy()
+        elements, at = shingle_sets(*byte_view(table.column("text").chunk(0)), width)
+        n = np.diff(at)
+        owner = np.repeat(np.arange(len(ids)), n)
+        order = np.argsort(elements, kind="stable")
+        held, ranked = owner[order], elements[order]
+        first = np.searchsorted(ranked, elements, "left")
+        count = np.searchsorted(ranked, elements, "right") - first
+        # texts of the largest group need not be looked up: all others are, and they meet it
+        named, back, many = np.unique(roots, return_inverse=True, return_counts=True)
+        outside = np.flatnonzero(back != many.argmax())
+        side = table.column("own").to_numpy()
+        up = list(range(len(named)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        out: tuple[list, list] = ([], [])
+        for y in outside.tolist():
+            mine = slice(at[y], at[y + 1])
+            c, f = count[mine], first[mine]
+            ends = np.cumsum(c)
+            common = np.bincount(held[np.repeat(f - ends + c, c) + np.arange(ends[-1])], minlength=len(ids))
+            linked = 100 * common >= threshold * (n[y] + n - common)
+            linked &= back != back[y]
+            if not same:
+                linked &= side != side[y]
+            for m in np.flatnonzero(linked).tolist():
+                a, b = top(back[y]), top(back[m])
+                if a != b:
+                    up[b] = a
+                    out[0].append(min(ids[y], ids[m]))
+                    out[1].append(max(ids[y], ids[m]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return dealt.join(words, "cid").groupBy("heap", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 # ---------------------------------------------------------------- grouping
 
 
@@ -240,7 +306,7 @@ def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     heads = sketches.where("n_shingles > 0").select("doc_id", "n_shingles", "bands").join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
     member = scratch.keep(heads.select(F.col("doc_id").alias("cid"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
     shared = member.groupBy("band").agg(F.min(F.struct("cid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    mixed = scratch.keep(member.join(shared.select("band", "head"), "band").select("band", "cid", "n", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")))
+    mixed = scratch.keep(member.join(shared, "band").select("band", "cid", "n", "size", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")))
     scratch.drop(member)
 
     def alike(n: str, m: str):  # sets whose sizes alone rule a link out
@@ -251,17 +317,27 @@ def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     links = tried = None
     roots = None
 
+    def add(found: DataFrame) -> None:
+        nonlocal links, roots
+        found = scratch.keep(found)
+        links = found if links is None else links.union(found)
+        roots = scratch.keep(components(links, scratch))
+
     def settle(pairs: DataFrame) -> None:
-        nonlocal links, tried, roots
-        found = scratch.keep(_verify(pairs, docs, width, threshold))
-        links = found if links is None else scratch.keep(links.union(found))
+        nonlocal tried
         tried = pairs if tried is None else tried.union(pairs)
-        roots = scratch.keep(components(links, scratch))
+        add(_verify(pairs, docs, width, threshold))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs that are not in one group yet."""
         a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", *[c for c in pairs.columns if c not in ("a", "b")])
+        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+    def open_rows(rows: DataFrame) -> DataFrame:
+        """Members of buckets that still hold different groups."""
+        rooted = rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("band", "cid", "n", F.coalesce("root", "cid").alias("root"))
+        still = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        return scratch.keep(rooted.join(still.select("band"), "band", "left_semi"))
 
     best = scratch.keep(star.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b"))
     if not best.isEmpty():
@@ -269,24 +345,18 @@ def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
         others = scratch.keep(apart(star).join(best, ["a", "b"], "left_anti").select("a", "b"))
         if not others.isEmpty():
             settle(others)
-        # members of a bucket that are still in different groups
-        rooted = mixed.select("band", "cid", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("band", "cid", "n", F.coalesce("root", "cid").alias("root"))
-        open_buckets = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2")
-        rest = scratch.keep(rooted.join(open_buckets.select("band"), "band", "left_semi"))
+        # a bucket of two is settled: its one pair has been tried
+        rest = open_rows(mixed.where("size > 2").select("band", "cid", "n"))
+        for turn in range(HEAD_ROUNDS):
+            pivot = rest.groupBy("band").agg(F.min_by(F.struct("cid", "n", "root"), F.xxhash64("cid", F.lit(turn))).alias("p"))
+            pairs = rest.join(pivot, "band").where(F.col("root") != F.col("p.root")).where(alike("n", "p.n"))
+            pairs = scratch.keep(pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                break
+            settle(pairs)
+            rest = open_rows(rest.select("band", "cid", "n"))
         if not rest.isEmpty():
-            for turn in range(HEAD_ROUNDS):
-                pivot = rest.groupBy("band").agg(F.min_by(F.struct("cid", "n", "root"), F.xxhash64("cid", F.lit(turn))).alias("p"))
-                pairs = rest.join(pivot, "band").where(F.col("root") != F.col("p.root")).where(alike("n", "p.n"))
-                pairs = pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-                pairs = scratch.keep(apart(pairs))
-                if pairs.isEmpty():
-                    break
-                settle(pairs)
-            left, right = rest.select("band", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("r1")), rest.select("band", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("r2"))
-            pairs = left.join(right, "band").where("a < b and r1 <> r2").where(alike("na", "nb")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-            pairs = scratch.keep(apart(pairs))
-            if not pairs.isEmpty():
-                settle(pairs)
+            add(_compare_blocks(rest, docs, width, threshold, scratch))
     named = classes
     if roots is not None:
         named = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("f1", "f2", F.coalesce("root", "cid").alias("root"))
