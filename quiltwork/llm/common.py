@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from quiltwork.sources.scratch import Scratch  # noqa: F401  (the operators take it from here)
+
 #: Rows in an Arrow batch of whole texts; bounds the memory of a Python worker, never the result.
 TEXT_BATCH_ROWS = 512
 
@@ -23,40 +22,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
-class Scratch:
-    """Tables that cut lineage, in the folder that the cluster shares.
-
-    The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset (tests, a laptop)
-    a temporary folder of this machine is used.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.gettempdir()}/quiltwork-scratch"
-        self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-        self.paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return it as read from there."""
-        self.count += 1
-        path = f"{self.base}/{self.count}"
-        schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that nothing reads any more."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 # ---------------------------------------------------------------- Arrow views
 
 
