@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltwork.llm import ann, bpe_codec, language_id, lm_score, near_dedup, packing, quality_model, quality_rules, sharding, url_filter
+from quiltwork.llm import ann, bpe_codec, language_id, lm_score, near_dedup, oracles, packing, quality_model, quality_rules, sharding, url_filter
 from quiltwork.llm.common import table
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -21,10 +21,13 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-_BAD = ("spam-farm.example.org/en/1", "www.spam-farm.example.net/free-casino", "spam-farm.example.com/fr/22", "m.spam-farm.example.org/de/3.html", "blog.spam-farm.example.org/es/9?page=2", "cheap-pills.example.org/buy-now", "online-casino.example.com/bonus", "casino-bonus.example.net/win/1", "free-download.example.net/crack/keygen", "click-farm.example.org/ads/1", "link-farm.example.com/en/55", "adult-cams.example.net/live", "xxx-porn.example.org/video/3", "win-prize.example.com/claim?ref=x", "buy-followers.example.net/en/8", "replica-watches.example.org/shop", "payday-loan.example.com/apply", "seo-spam.example.org/en/4", "malware.example.net/setup.exe", "phishing.example.com/login/verify")
-_GOOD = ("example.com/en/12", "www.example.org/de/77.html", "blog.thesh.example.org/en/13392", "m.tiontion.example.com/en/9673/", "news.example.net/fr/2020/05", "tionsh.example.net/en/6981/", "ththon.example.com/fr/109?page=2", "docs.example.org/guide/start", "library.example.com/es/4", "www.therti.example.net/en/44796", "wiki.example.org/de/Seite", "museum.example.net/fr/oeuvres/9", "school.example.com/en/course/2", "thersh.example.org/de/25935", "m.thther.example.org/es/26506", "research.example.net/paper/12.pdf", "weather.example.com/today", "forum.example.org/en/thread/881", "blog.tionble.example.com/es/42802", "maps.example.net/place/7")
-#: The small labelled table: 1 stands for block.
-SEEDS = tuple((f"https://{u}", 1) for u in _BAD) + tuple((f"https://{u}", 0) for u in _GOOD)
+_BAD = ("spam-farm.example.org", "www.spam-farm.example.net", "m.spam-farm.example.com", "cheap-pills.example.org", "online-casino.example.com", "casino-bonus.example.net", "free-crack.example.net", "click-farm.example.org", "link-farm.example.com", "adult-cams.example.net", "xxx-porn.example.org", "win-prize.example.com", "buy-followers.example.net", "replica-watches.example.org", "payday-loan.example.com", "www.seo-spam.example.org", "adult-video.example.org", "ads-server.example.net", "m.ad-tracker.example.org", "sports-bets.example.com", "blog.casino-games.example.org", "blog.pills-shop.example.com", "www.slots.example.net")
+_GOOD = ("example.com", "www.example.org", "blog.thesh.example.org", "m.tiontion.example.com", "news.example.net", "tionsh.example.net", "docs.example.org", "library.example.com", "www.therti.example.net", "wiki.example.org", "museum.example.net", "school.example.com", "m.thther.example.org", "research.example.net", "blog.tionble.example.com", "www.weather.example.org", "garden.example.net", "m.travel.example.com", "blog.kitchen.example.net", "thanthe.example.org", "m.orchestra.example.org", "bakery.example.com", "www.history.example.net")
+_PATHS = ("/en/12", "/de/7712.html", "/fr/103?page=2", "/es/42802/", "/", "/fr/134567#top")
+_BAD_PATHS = ("/free-casino/bonus", "/cheap-pills/buy-now", "/xxx/porn/live")
+_GOOD_PATHS = ("/news/today", "/guide/start", "/wiki/article")
+#: The small labelled table: 1 stands for block.  Plain paths stand on both sides, so hosts decide there.
+SEEDS = tuple((f"https://{h}{p}", y) for y, hosts, own in ((1, _BAD, _BAD_PATHS), (0, _GOOD, _GOOD_PATHS)) for h in hosts for p in (*_PATHS, *own))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows of a labelled table that are fitted.
@@ -53,7 +56,7 @@ def _gram_buckets(host: Column, path: Column, buckets: int, sizes: tuple[int, ..
     return F.concat(*parts)
 
 
-def _fit(rows: list[tuple[list[int], int]], buckets: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[list[float], float]:
+def _fit(rows: list[tuple[list[int], int]], buckets: int, steps: int = 800, rate: float = 0.5, decay: float = 1e-3) -> tuple[list[float], float]:
     """Full-batch gradient descent on mean features; returns weights and bias."""
     weights, bias = [0.0] * buckets, 0.0
     rows = [(g, y) for g, y in rows if g]
