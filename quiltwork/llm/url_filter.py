@@ -7,8 +7,7 @@ the weights go into the plan as an array literal.  Pages meet DataFrame function
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,24 +55,21 @@ def _gram_buckets(host: Column, path: Column, buckets: int, sizes: tuple[int, ..
     return F.concat(*parts)
 
 
-def _fit(rows: list[tuple[list[int], int]], buckets: int, steps: int = 800, rate: float = 0.5, decay: float = 1e-3) -> tuple[list[float], float]:
-    """Full-batch gradient descent on mean features; returns weights and bias."""
-    weights, bias = [0.0] * buckets, 0.0
+def _fit(rows: list[tuple[list[int], int]], buckets: int, steps: int = 800, rate: float = 4.0, decay: float = 1e-3) -> tuple[list[float], float]:
+    """Full-batch gradient descent on the driver over the few labelled rows; returns weights and bias."""
     rows = [(g, y) for g, y in rows if g]
     if not rows:
-        return weights, bias
+        return [0.0] * buckets, 0.0
+    x = np.zeros((len(rows), buckets))
+    for k, (grams, _) in enumerate(rows):
+        np.add.at(x[k], grams, 1 / np.sqrt(len(grams)))
+    y = np.array([y for _, y in rows], float)
+    weights, bias = np.zeros(buckets), 0.0
     for _ in range(steps):
-        slope, tilt = {}, 0.0
-        for grams, y in rows:
-            z = bias + sum(weights[g] for g in grams) / math.sqrt(len(grams))
-            d = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) / len(rows)
-            tilt += d
-            for g in grams:
-                slope[g] = slope.get(g, 0.0) + d / math.sqrt(len(grams))
-        bias -= rate * tilt
-        for g, d in slope.items():
-            weights[g] -= rate * 8 * (d + decay * weights[g] / len(rows))
-    return weights, bias
+        d = (1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y) / len(y)
+        weights -= rate * (x.T @ d + decay / len(y) * weights)
+        bias -= rate / 8 * d.sum()
+    return weights.tolist(), float(bias)
 
 
 def judge(pages: DataFrame, rules=RULES, seeds: DataFrame | None = None, buckets: int = 4096, cut: float = 0.5) -> DataFrame:
