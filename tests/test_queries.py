@@ -91,3 +91,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 25
     assert set(plans.queries()) <= set(__spark_entry__.queries())
+
+
+def test_gap_list_is_the_ground_left_out(spark, sf_dir):
+    rows = plans.queries()["gap_list"](spark, sf_dir).collect()
+    cell = 0.00399 * 0.00399 * 110540 * 111320 * 0.6427  # neighbours overlap a gap by a hair
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    assert sum(r.m2 for r in rows) == pytest.approx(4 * cell, rel=0.02)
+
+
+def test_trim_keeps_all_kept_buildings_and_no_shifted_ones(spark, sf_dir):
+    r = plans.queries()["trim_proposal"](spark, sf_dir).first()
+    assert r.kept_inside > 0 and r.ignored_inside == 0 and r.vertices > 3
