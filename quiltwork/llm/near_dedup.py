@@ -235,7 +235,7 @@ def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold
     All texts that hang together by buckets are compared; a hot heap of them is cut into blocks, and each pair of
     blocks is a task of its own.
     """
-    low = open_rows.groupBy("band").agg(F.min("cid").alias("a"))
+    low = scratch.keep(open_rows.groupBy("band").agg(F.min("cid").alias("a")))
     heap = components(open_rows.join(low, "band").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), scratch)
     texts = open_rows.select("cid", "n", "root").distinct().join(heap.select(F.col("node").alias("cid"), F.col("root").alias("heap")), "cid", "left")
     texts = scratch.keep(texts.select("cid", "n", "root", F.coalesce("heap", "cid").alias("heap")))
@@ -336,8 +336,9 @@ def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     def open_rows(rows: DataFrame) -> DataFrame:
         """Members of buckets that still hold different groups."""
         rooted = rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("band", "cid", "n", F.coalesce("root", "cid").alias("root"))
-        still = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        return scratch.keep(rooted.join(still.select("band"), "band", "left_semi"))
+        # kept, so that Spark knows its size: a small one is broadcast, with a large one hot buckets are split
+        still = scratch.keep(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band"))
+        return scratch.keep(rooted.join(still, "band", "left_semi"))
 
     best = scratch.keep(star.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b"))
     if not best.isEmpty():
@@ -348,7 +349,7 @@ def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
         # a bucket of two is settled: its one pair has been tried
         rest = open_rows(mixed.where("size > 2").select("band", "cid", "n"))
         for turn in range(HEAD_ROUNDS):
-            pivot = rest.groupBy("band").agg(F.min_by(F.struct("cid", "n", "root"), F.xxhash64("cid", F.lit(turn))).alias("p"))
+            pivot = scratch.keep(rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "root")).alias("p")))
             pairs = rest.join(pivot, "band").where(F.col("root") != F.col("p.root")).where(alike("n", "p.n"))
             pairs = scratch.keep(pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
             if pairs.isEmpty():
