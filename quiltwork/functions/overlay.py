@@ -51,15 +51,20 @@ def overlay(polygons: list[Polygon], keep: Callable[[list[bool]], bool]) -> list
         mid = (y0 + y1) / 2
         at = lambda e, y: e[0] + (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1])
         live = sorted((e for e in edges if e[1] <= y0 and e[3] >= y1), key=lambda e: at(e, mid))
-        state, begin = [False] * len(polygons), None
+        state, spans, begin = [False] * len(polygons), [], None
         for e in live:
             state[e[4]] = not state[e[4]]
             inside = keep(state)
             if inside and begin is None:
-                begin = e
+                begin = (at(e, y0), at(e, y1))
             elif not inside and begin is not None:
-                out.append((y0, y1, at(begin, y0), at(begin, y1), at(e, y0), at(e, y1)))
+                end = (at(e, y0), at(e, y1))
+                if spans and abs(spans[-1][1][0] - begin[0]) + abs(spans[-1][1][1] - begin[1]) < 1e-12:  # two operands that meet
+                    spans[-1] = (spans[-1][0], end)
+                else:
+                    spans.append((begin, end))
                 begin = None
+        out += [(y0, y1, a[0], a[1], b[0], b[1]) for a, b in spans]
     return [t for t in out if t[4] > t[2] or t[5] > t[3]]
 
 
