@@ -51,3 +51,17 @@ def snap_rotation(deg: Column) -> Column:
     """To the next multiple of 15 degrees if that is within 3."""
     near = F.floor(deg / 15 + 0.5) * 15
     return F.when(F.abs(deg - near) <= 3, near).otherwise(deg)
+
+
+def fit_zoom(width: Column, height: Column, render: tuple[float, float], padding: float = 0.05, lowest: int = 3, highest: int = 19) -> Column:
+    """The largest zoom at which an extent in pixels of zoom 0 fits a picture with padding."""
+
+    def room(px: float, span: Column) -> Column:
+        return px * (1 - 2 * padding) / F.greatest(F.lit(1e-9), span)
+
+    return F.greatest(F.lit(float(lowest)), F.least(F.lit(float(highest)), F.log(F.least(room(render[0], width), room(render[1], height))) / F.log(F.lit(2.0))))
+
+
+def label_points(zoom: Column, tile_zoom: Column, label_px: float, dpi: float) -> Column:
+    """Printed height, in points, of labels that are so many pixels high on a tile."""
+    return label_px * 72 / dpi * F.pow(F.lit(2.0), zoom - tile_zoom)

@@ -63,6 +63,16 @@ def segments_meet(p, q, r, s) -> Column:
     return cross | touch
 
 
+def crossing_point(p, q, r, s) -> Column:
+    """Where the closed segments p-q and r-s cross, as a struct of x and y; null if they don't or run side by side."""
+    (px, py), (qx, qy), (rx, ry), (sx, sy) = p, q, r, s
+    ax, ay, bx, by = qx - px, qy - py, sx - rx, sy - ry
+    across = ay * bx - ax * by
+    t = ((ry - py) * bx - (rx - px) * by) / across
+    u = ((ry - py) * ax - (rx - px) * ay) / across
+    return F.when((F.abs(across) >= 1e-14) & t.between(0, 1) & u.between(0, 1), F.struct((px + t * ax).alias("x"), (py + t * ay).alias("y")))
+
+
 def round_half_up(x: Column, digits: int = 0) -> Column:
     """Rounds halves towards plus infinity."""
     f = 10.0**digits

@@ -37,8 +37,8 @@ def escape_html(value: Column) -> Column:
 
 
 def short_name(value: Column) -> Column:
-    """The first three parts between commas."""
-    return F.array_join(F.slice(F.split(value, ","), 1, 3), ",")
+    """The first three parts between commas, trimmed; nothing for a missing name."""
+    return F.coalesce(F.trim(F.array_join(F.slice(F.split(value, ","), 1, 3), ",")), F.lit(""))
 
 
 def axis_keeps(state: Column, has: Column) -> Column:

@@ -30,6 +30,12 @@ def ring_cells(df: DataFrame, radius_cells: int) -> DataFrame:
     return df.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumn("cx", F.col("cx") + F.col("_i")).withColumn("cy", F.col("cy") + F.col("_j")).drop("_i", "_j")
 
 
+def shell_cells(df: DataFrame, rings: int) -> DataFrame:
+    """As ``ring_cells``, with the number of the square shell around the point's own cell as ``shell``."""
+    own = df.withColumn("_x", F.col("cx")).withColumn("_y", F.col("cy"))
+    return ring_cells(own, rings).withColumn("shell", F.greatest(F.abs(F.col("cx") - F.col("_x")), F.abs(F.col("cy") - F.col("_y")))).drop("_x", "_y")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """All pairs (n:m) of points (x, y) and boxes (half-open) with the columns of both."""
     p, b = point_cells(points, size), box_cells(boxes, size)
