@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions import labels, mercator, metric, tags
-from quiltwork.operators import selection, spatial_join
+from quiltwork.operators import cutting, selection, spatial_join
 from quiltwork.plans.registry import layers, query
 from quiltwork.sources import synth
 
@@ -152,3 +152,29 @@ def language_choice(spark, sf_dir):
     forced, path = F.when(k % 5 == 0, "pl").when(k % 5 == 1, "xx"), F.when(k % 3 == 0, "/en/map").otherwise("/map")
     wishes = F.when(k % 2 == 0, F.array(F.lit("de-DE"), F.lit("PL-pl"), F.lit("en"))).otherwise(F.array(F.lit("de")))
     return synth.read(spark, sf_dir, "customer").select(k.alias("id"), labels.language(("en", "pl"), forced, path, wishes, "en").alias("lang"))
+
+
+@query(
+    f"""{layers('b', 't')}, r AS (SELECT id, id % 2 = 0 AS east, CASE WHEN id % 2 = 0 THEN x + 3e-4 ELSE x END AS tx, CASE WHEN id % 2 = 0 THEN y ELSE y + 3e-4 END AS ty FROM b),
+    e AS (SELECT minx AS v, miny AS lo, maxy AS hi, TRUE AS upright FROM t UNION ALL SELECT maxx, miny, maxy, TRUE FROM t UNION ALL SELECT miny, minx, maxx, FALSE FROM t UNION ALL SELECT maxy, minx, maxx, FALSE FROM t),
+    h AS (SELECT id, min(v) AS v FROM r JOIN e ON east = upright AND v BETWEEN CASE WHEN east THEN tx ELSE ty END + 0.2e0 / 110540 AND CASE WHEN east THEN tx ELSE ty END + 3.0005e-3 AND CASE WHEN east THEN ty ELSE tx END BETWEEN lo AND hi GROUP BY id),
+    o AS (SELECT r.id, CASE WHEN east THEN coalesce(v, tx) + 1.5e0 / 110540 ELSE tx END AS x, CASE WHEN east THEN ty ELSE coalesce(v, ty) + 1.5e0 / 110540 END AS y FROM r LEFT JOIN h ON h.id = r.id)
+    SELECT id, CAST(floor(x * 1e6 + 0.5e0) AS BIGINT) AS x, CAST(floor(y * 1e6 + 0.5e0) AS BIGINT) AS y FROM o"""
+)
+def pushed_ends(spark, sf_dir):
+    """Ends of cutting lines, pushed just past the next side of a territory."""
+    c, east = F.col, F.col("id") % 2 == 0
+    ends = synth.buildings(spark, sf_dir).select("id", c("x").alias("fx"), c("y").alias("fy"), F.when(east, c("x") + 3e-4).otherwise(c("x")).alias("tx"), F.when(east, c("y")).otherwise(c("y") + 3e-4).alias("ty"))
+    corners = (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"))
+    sides = F.array(*[F.struct(c(a[0]).alias("ax"), c(a[1]).alias("ay"), c(b[0]).alias("bx"), c(b[1]).alias("by")) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)])
+    edges = synth.territories(spark, sf_dir).select(F.explode(sides).alias("e")).select("e.*")
+    out = cutting.push_out(ends, edges, "id", 3.0005e-3, 1e-3)
+    return out.select("id", F.floor(c("x") * 1e6 + 0.5).alias("x"), F.floor(c("y") * 1e6 + 0.5).alias("y"))
+
+
+@query("WITH i AS (SELECT p_partkey AS ord, p_partkey // 20 AS page, (p_partkey * 37) % 101 AS x, p_partkey % 13 AS y, p_size AS size FROM part WHERE p_partkey % 4 < 2), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x, ord) AS k FROM i) SELECT page, CASE WHEN k = 1 THEN 'locality' ELSE 'territory' END AS field, CAST(x + 3 AS BIGINT) AS x, CAST(y + 5 AS BIGINT) AS y, CAST(size * 10 AS BIGINT) AS tenths FROM k WHERE k <= 2")
+def card_fields(spark, sf_dir):
+    """Places of the two fields of a card, found by their leader dots."""
+    items = synth.read(spark, sf_dir, "part").selectExpr("p_partkey AS ord", "p_partkey DIV 20 AS page", "CASE p_partkey % 4 WHEN 0 THEN '......' WHEN 1 THEN '…………' WHEN 2 THEN '...' ELSE p_name END AS text", "CAST((p_partkey * 37) % 101 AS DOUBLE) AS x", "CAST(p_partkey % 13 AS DOUBLE) AS y", "CAST(p_size AS DOUBLE) AS size")
+    f, c = cutting.card_fields(items, "page"), F.col
+    return f.select("page", "field", c("x").cast("long").alias("x"), c("y").cast("long").alias("y"), F.round(c("size") * 10).cast("long").alias("tenths"))
