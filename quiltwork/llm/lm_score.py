@@ -1,11 +1,14 @@
 """Language-model scoring with a log-bilinear neural model.
 
-Counts of all words of all training texts are gathered over the whole corpus.  The neural part predicts a class: each
-of the most frequent words is one, all others share one.  The words before a word are embedded, scaled by a weight
-for each place and summed; the product with a class's vector, plus its bias, is the class's score.  It is trained in
-numpy by noise-contrastive estimation on a sample of bounded size, and scored with batched matrix products and an
-exact softmax.  Inside the shared class a word has its discounted share of the corpus counts, and what is discounted
-(the share of words that were met once) goes to words never met, which count as one.
+Counts of all words of all training texts are gathered over the whole corpus.  The neural part is factored: it predicts
+a class, then a word of the class.  Each of the most frequent words is a class; the next ones form classes of ``GROUP``
+words of neighbouring frequency, in which each word has a vector of its own; all others fall into ``TAILS`` classes by
+their last two bytes.  The words before a word are embedded, scaled by a weight for each place and summed; the product
+with a vector, plus its bias, is the score of a class, or of a word within its class.  It is trained in numpy by
+noise-contrastive estimation: a sample of bounded size gives the start, from which each partition goes once over all its
+training texts, and the partitions' parameters are averaged by their tokens.  It is scored with batched matrix products
+and exact softmaxes.  Inside a tail class a word has its discounted share of the corpus counts, and what is discounted
+(the share of words that were met once) goes to words never met, which count as one in each tail class.
 
 Counts meet texts by blocks of neighbouring ids: a block sends each of its distinct words once, gets their counts
 back, and is scored with them, so nothing grows with the length of the corpus except the exchange itself.
@@ -13,21 +16,27 @@ back, and is scored with them, so nothing grows with the length of the corpus ex
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltwork.llm.common import Scratch, byte_view, mix64, small_batches, word_hashes, word_spans
 from quiltwork.llm.language_id import remainder
 
-#: Classes (the last is the shared one), words with a vector of their own as context, size of vectors, words before.
+#: Single-word classes and one, words with a vector of their own as context and target, size of vectors, words before.
 CLASSES, CONTEXTS, DIM, BEFORE = 128, 4096, 16, 4
-#: Bounds of the neural part's sample: training documents, words of a document (a stretch at a random place).
+#: Words of a class that has several of them, classes of all other words (a power of two).
+GROUP, TAILS = 128, 32
+#: Bounds of the sample that the parameters start from: training documents, words of a document (a stretch at a random place).
 SAMPLE_DOCS, SAMPLE_WORDS = 3000, 120
 EPOCHS, BATCH, NOISE, RATE, SEED = 6, 512, 64, 0.15, 11
+#: Tokens and noise words of a step of the pass over all training texts, noise words inside a class, parallel sums.
+PASS_BATCH, PASS_NOISE, GROUP_NOISE, SUMS = 16384, 16, 8, 16
 #: Bytes of text that are scored at a time; bounds memory only.
 SLICE_BYTES = 500_000
 #: Neighbouring ids that are scored together.
@@ -38,9 +47,10 @@ ALPHA = 0.1
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's words and one end, and n+1 offsets."""
+    """Hashes of each text's words and one end, and n+1 offsets; the lowest bits are the tail class, from a word's end."""
     starts, ends, first = word_spans(data, offsets)
-    h = word_hashes(data, starts, ends)
+    last = (data[ends - 1] | 0x20).astype(np.uint64) << np.uint64(8) | (data[np.maximum(ends - 2, starts)] | 0x20).astype(np.uint64)
+    h = word_hashes(data, starts, ends) * np.uint64(TAILS) | mix64(last) % np.uint64(TAILS)
     n = len(offsets) - 1
     at = first + np.arange(n + 1)
     out = np.empty(int(at[-1]), np.uint64)
@@ -51,18 +61,67 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
+def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE_BYTES, one text at least; ``ends``: the texts' n+1 offsets."""
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_BYTES, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _add_rows(where: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their number."""
+    where = np.ascontiguousarray(where, np.int64)
+    return np.stack([np.bincount(where, v, rows) for v in np.array(values.T, np.float64, order="C")], axis=1).astype(np.float32)
+
+
 class Model:
-    """contexts, classes: sorted hashes and their numbers; the last context vector is that of any other word or none."""
+    """Sorted hashes and their numbers; the last context vector is that of none, the one before that of any other word.
+
+    ``class_words``: each is a class; ``middle``: by frequency, ``GROUP`` of them a class; what is left of ``prior`` is
+    the tail classes.  Both are among ``context_words``.  ``share``: frequencies of ``middle``.
+    """
 
-    def __init__(self, context_words: np.ndarray, class_words: np.ndarray, prior: np.ndarray):
+    PARAMETERS = ("embed", "place", "output", "bias", "inner", "inner_bias")
+
+    def __init__(self, context_words: np.ndarray, class_words: np.ndarray, prior: np.ndarray, middle: np.ndarray | None = None, share: np.ndarray | None = None):
         rng = np.random.default_rng(SEED)
         self.context_words, self.class_words = np.sort(context_words), np.sort(class_words)
-        k, c = len(self.context_words) + 2, len(self.class_words) + 1
+        middle = np.zeros(0, np.uint64) if middle is None else middle
+        groups = -(-len(middle) // GROUP)
+        k, c = len(self.context_words) + 2, len(prior)
         self.embed = rng.normal(0, 0.1, (k, DIM)).astype(np.float32)
         self.place = np.full((BEFORE, DIM), 1 / BEFORE, np.float32) * np.arange(BEFORE, 0, -1, dtype=np.float32)[:, None] / 2
         self.output = rng.normal(0, 0.1, (c, DIM)).astype(np.float32)
         self.prior = np.maximum(prior, 1e-9) / np.maximum(prior, 1e-9).sum()
         self.bias = np.log(self.prior).astype(np.float32)
+        self.first_group, self.first_tail = len(self.class_words), len(self.class_words) + groups
+        self.inner = rng.normal(0, 0.1, (groups * GROUP, DIM)).astype(np.float32)
+        # places without a word have no probability
+        self.inner_bias = np.full(groups * GROUP, -1e9, np.float32)
+        if len(middle):
+            share = np.maximum(share, 1e-9)
+            total = np.bincount(np.arange(len(middle)) // GROUP, share)
+            self.inner_bias[: len(middle)] = np.log(share / np.repeat(total, GROUP)[: len(middle)])
+        self.group_size = np.full(groups, GROUP, np.int64)
+        if groups:
+            self.group_size[-1] = len(middle) - GROUP * (groups - 1)
+        # of each context word: its class (or -1) and its place among the words of all groups (or -1)
+        self.own_class, self.own_slot = np.full(k - 1, -1, np.int32), np.full(k - 1, -1, np.int32)
+        self.own_class[self._find(self.context_words, self.class_words)] = np.arange(len(self.class_words))
+        at = self._find(self.context_words, middle)
+        self.own_slot[at] = np.arange(len(middle))
+        self.own_class[at] = self.first_group + np.arange(len(middle)) // GROUP
+        self.sums = {n: np.full_like(getattr(self, n), 1e-6) for n in self.PARAMETERS}
 
     @staticmethod
     def _find(words: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -72,8 +131,8 @@ class Model:
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
         return np.where(words[at] == h, at, len(words))
 
-    def numbers(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's class, and the numbers of the ``BEFORE`` tokens before it, nearest first."""
+    def places(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's class, the numbers of the ``BEFORE`` tokens before it, nearest first, and its place in a group or -1."""
         own = self._find(self.context_words, h)
         none = len(self.context_words) + 1
         place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
@@ -81,7 +140,14 @@ class Model:
         for k in range(1, BEFORE + 1):
             before[k:, k - 1] = own[:-k]
             before[place < k, k - 1] = none
-        return self._find(self.class_words, h), before
+        target = self.own_class[own]
+        tails = len(self.prior) - self.first_tail
+        target = np.where(target < 0, self.first_tail + (h % np.uint64(max(1, tails))).astype(np.int32), target)
+        return target, before, self.own_slot[own]
+
+    def numbers(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's class, and the numbers of the ``BEFORE`` tokens before it, nearest first."""
+        return self.places(h, at)[:2]
 
     def _state(self, before: np.ndarray) -> np.ndarray:
         state = self.embed[before[:, 0]] * self.place[0]
@@ -89,44 +155,69 @@ class Model:
             state += self.embed[before[:, k]] * self.place[k]
         return state
 
-    def train(self, target: np.ndarray, before: np.ndarray) -> None:
+    def train(self, target: np.ndarray, before: np.ndarray, slot: np.ndarray | None = None, epochs: int = EPOCHS, batch: int = BATCH, noise: int = NOISE, rng: np.random.Generator | None = None) -> None:
         """Noise-contrastive estimation, Adagrad; noise words come from the classes' prior and are shared by a batch."""
-        rng = np.random.default_rng(SEED)
-        sums = {k: np.full_like(getattr(self, k), 1e-6) for k in ("embed", "place", "output", "bias")}
-        log_noise = np.log(NOISE * self.prior).astype(np.float32)
-
-        def step(name: str, where, grad: np.ndarray) -> None:
-            sums[name][where] += grad * grad
-            getattr(self, name)[where] -= RATE * grad / np.sqrt(sums[name][where] + 1e-4)
-
-        for _ in range(EPOCHS):
+        rng = rng or np.random.default_rng(SEED)
+        for _ in range(epochs):
             order = rng.permutation(len(target))
-            for a in range(0, len(order), BATCH):
-                pick = order[a : a + BATCH]
-                y, ctx = target[pick], before[pick]
-                noise = rng.choice(len(self.prior), NOISE, p=self.prior)
-                state = self._state(ctx)
-                good = (state * self.output[y]).sum(1) + self.bias[y] - log_noise[y]
-                bad = state @ self.output[noise].T + self.bias[noise] - log_noise[noise]
-                dg = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / len(pick) * 20
-                db = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / len(pick) * 20
-                d_state = dg[:, None] * self.output[y] + db @ self.output[noise]
-                g_out, g_bias = np.zeros_like(self.output), np.zeros_like(self.bias)
-                np.add.at(g_out, y, dg[:, None] * state)
-                np.add.at(g_out, noise, db.T @ state)
-                np.add.at(g_bias, y, dg)
-                np.add.at(g_bias, noise, db.sum(0))
-                g_place = np.stack([(d_state * self.embed[ctx[:, k]]).sum(0) for k in range(BEFORE)])
-                rows, back = np.unique(ctx.reshape(-1), return_inverse=True)
-                g_embed = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(g_embed, back, (d_state[:, None, :] * self.place[None]).reshape(-1, DIM))
-                everything = slice(None)
-                step("output", everything, g_out)
-                step("bias", everything, g_bias)
-                step("place", everything, g_place)
-                step("embed", rows, g_embed)
-
-    def log_probs(self, target: np.ndarray, before: np.ndarray, rows: int = 4096) -> np.ndarray:
+            for a in range(0, len(order), batch):
+                pick = order[a : a + batch]
+                self._learn(target[pick], before[pick], None if slot is None else slot[pick], noise, rng)
+
+    def _learn(self, y: np.ndarray, ctx: np.ndarray, slot: np.ndarray | None, noises: int, rng: np.random.Generator) -> None:
+        scale = np.float32(20 / len(y))
+        log_noise = np.log(noises * self.prior).astype(np.float32)
+        noise = rng.choice(len(self.prior), noises, p=self.prior)
+        state = self._state(ctx)
+        vectors, own = self.output[noise], self.output[y]
+        dg = (_sigmoid(np.einsum("nd,nd->n", state, own) + self.bias[y] - log_noise[y]) - 1) * scale
+        own *= dg[:, None]
+        d_state, grads = own, {}
+        g_out = _add_rows(y, dg[:, None] * state, len(self.output))
+        g_bias = np.bincount(y, dg, len(self.bias)).astype(np.float32)
+        for a in range(0, len(y), 2048):
+            rows = slice(a, a + 2048)
+            db = state[rows] @ vectors.T
+            db += self.bias[noise] - log_noise[noise]
+            db = _sigmoid(db)
+            db *= scale
+            d_state[rows] += db @ vectors
+            np.add.at(g_out, noise, db.T @ state[rows])
+            np.add.at(g_bias, noise, db.sum(0))
+        grads["output"], grads["bias"] = g_out, g_bias
+        inside = np.flatnonzero(slot >= 0) if slot is not None else ()
+        if len(inside):
+            grads["inner"], grads["inner_bias"] = self._learn_inside(state, d_state, inside, slot[inside], scale, rng)
+        grads["place"] = np.stack([np.einsum("nd,nd->d", d_state, self.embed[ctx[:, k]]) for k in range(BEFORE)])
+        grads["embed"] = sum(_add_rows(ctx[:, k], d_state, len(self.embed)) * self.place[k] for k in range(BEFORE))
+        for name, grad in grads.items():
+            self.sums[name] += grad * grad
+            getattr(self, name)[...] -= RATE * grad / np.sqrt(self.sums[name] + 1e-4)
+
+    def _learn_inside(self, state: np.ndarray, d_state: np.ndarray, rows: np.ndarray, slot: np.ndarray, scale: np.float32, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the words inside groups, added to ``d_state``; the noise is equally spread over a group's words."""
+        order = np.argsort(slot // GROUP, kind="stable")
+        rows, slot = rows[order], slot[order]
+        bounds = np.searchsorted(slot // GROUP, np.arange(len(self.group_size) + 1))
+        log_noise = np.log(GROUP_NOISE / self.group_size).astype(np.float32)
+        mine, own = state[rows], self.inner[slot]
+        dg = (_sigmoid(np.einsum("nd,nd->n", mine, own) + self.inner_bias[slot] - log_noise[slot // GROUP]) - 1) * scale
+        own *= dg[:, None]
+        g_inner = _add_rows(slot, dg[:, None] * mine, len(self.inner))
+        g_bias = np.bincount(slot, dg, len(self.inner)).astype(np.float32)
+        draws = rng.integers(0, 1 << 30, GROUP_NOISE)
+        for g in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[g], bounds[g + 1])
+            noise = g * GROUP + draws % self.group_size[g]
+            vectors = self.inner[noise]
+            db = _sigmoid(mine[part] @ vectors.T + (self.inner_bias[noise] - log_noise[g])) * scale
+            own[part] += db @ vectors
+            np.add.at(g_inner, noise, db.T @ mine[part])
+            np.add.at(g_bias, noise, db.sum(0))
+        d_state[rows] += own
+        return g_inner, g_bias
+
+    def log_probs(self, target: np.ndarray, before: np.ndarray, rows: int = 1024) -> np.ndarray:
         """Natural logarithms of the classes' normalised probabilities."""
         out = np.empty(len(target))
         columns = np.ascontiguousarray(self.output.T)
@@ -134,13 +225,46 @@ class Model:
             y = target[a : a + rows]
             s = self._state(before[a : a + rows]) @ columns
             s += self.bias
-            own = s[np.arange(len(y)), y].astype(np.float64)
-            top = s.max(axis=1)
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[a : a + rows] = own - top - np.log(s.sum(axis=1, dtype=np.float32))
+            out[a : a + rows] = _log_softmax(s, y)
+        return out
+
+    def log_inside(self, slot: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the words' normalised probabilities inside their groups; 0 for tokens outside groups."""
+        out = np.zeros(len(slot))
+        rows = np.flatnonzero(slot >= 0)
+        rows = rows[np.argsort(slot[rows] // GROUP, kind="stable")]
+        bounds = np.searchsorted(slot[rows] // GROUP, np.arange(len(self.group_size) + 1))
+        for g in np.flatnonzero(np.diff(bounds)).tolist():
+            mine = rows[bounds[g] : bounds[g + 1]]
+            words = slice(g * GROUP, (g + 1) * GROUP)
+            s = self._state(before[mine]) @ self.inner[words].T
+            s += self.inner_bias[words]
+            out[mine] = _log_softmax(s, slot[mine] - g * GROUP)
         return out
 
+    def flat(self) -> np.ndarray:
+        """All parameters and their sums of squares."""
+        return np.concatenate([x.reshape(-1) for n in self.PARAMETERS for x in (getattr(self, n), self.sums[n])])
+
+    def put(self, flat: np.ndarray) -> None:
+        """The reverse of ``flat``."""
+        a = 0
+        for n in self.PARAMETERS:
+            for x in (getattr(self, n), self.sums[n]):
+                x[...] = flat[a : a + x.size].reshape(x.shape)
+                a += x.size
+
+
+def _log_softmax(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row's entry ``y``; ``s`` is overwritten."""
+    own = s[np.arange(len(y)), y].astype(np.float64)
+    top = 0.0
+    if s.max() > 60 or s[:, 0].min() < -60:  # else no sum can overflow or vanish
+        top = s.max(axis=1)
+        s -= top[:, None]
+    np.exp(s, out=s)
+    return own - top - np.log(s.sum(axis=1, dtype=np.float32))
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """block, word (hash), n (in training texts): every word of every text, once a block and task."""
@@ -174,14 +298,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("block", "learn", "text").mapInArrow(run, "block long, word long, n long")
 
 
-def _train(docs: DataFrame, counts: DataFrame, total: int) -> Model:
+def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model, and of each tail class the tokens and the words met once; given are those of all words by lowest bits."""
     top = counts.orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()  # of fixed size
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in top], np.float64)
-    own = words[: CLASSES - 1]
+    of = (words % np.uint64(TAILS)).astype(np.int64)
+    tail, once = tail - np.bincount(of, n, TAILS), once - np.bincount(of, n == 1, TAILS)
+    own, middle, share = words[: CLASSES - 1], words[CLASSES - 1 :], n[CLASSES - 1 :]
     order = np.argsort(own)
-    prior = np.append(n[: CLASSES - 1][order], max(1.0, total - n[: CLASSES - 1].sum()))
-    model = Model(words, own, prior)
+    groups = np.bincount(np.arange(len(middle)) // GROUP, share) if len(middle) else np.zeros(0)
+    prior = np.concatenate([n[: CLASSES - 1][order], groups, np.maximum(1.0, tail)])
+    model = Model(words, own, prior, middle, share)
     chosen = docs.where("learn").select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +329,46 @@ def _train(docs: DataFrame, counts: DataFrame, total: int) -> Model:
     if parts:
         h = np.concatenate(parts)
         at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        model.train(*model.numbers(h, at))
-    return model
+        model.train(*model.places(h, at))
+    _pass(docs, model)
+    return model, tail, once
+
+
+def _pass(docs: DataFrame, model: Model) -> None:
+    """Every token of every training text once: each partition goes on from ``model``, then all are averaged by tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen, rng = copy.deepcopy(shared.value), 0, np.random.default_rng(SEED)
+        for batch in batches:
+            whole, ends = byte_view(batch.column(0))
+            for a, b in _slices(ends):
+                h, at = tokens(whole[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                m.train(*m.places(h, at), epochs=1, batch=PASS_BATCH, noise=PASS_NOISE, rng=rng)
+                seen += len(h)
+        if seen:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([m.flat().tobytes()], pa.binary())], ["part", "seen", "flat"])
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("seen").to_pylist(), table.column("flat"), strict=True), key=lambda r: r[0])
+        total = 0
+        for _, seen, flat in rows:
+            total = total + seen * np.frombuffer(flat.as_py(), np.float32).astype(np.float64)
+        return pa.table({"part": pa.array([rows[0][0]], pa.int64()), "seen": pa.array([sum(r[1] for r in rows)], pa.int64()), "flat": pa.array([total.tobytes()], pa.binary())})
+
+    learned = docs.where("learn").select("text").mapInArrow(run, "part long, seen long, flat binary")
+    parts = learned.groupBy(F.col("part") % SUMS).applyInArrow(add, "part long, seen long, flat binary").collect()  # at most SUMS rows
+    if parts:
+        parts.sort(key=lambda r: r["part"])
+        model.put(sum(np.frombuffer(bytes(r["flat"]), np.float64) for r in parts) / sum(r["seen"] for r in parts))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: both scores are log10 of a whole text.
 
     Learned from the texts whose crc32(doc_id as text) mod 10 is not 0.  A null text is empty: its end is its one
-    token.  Without training texts N and V are 0, every token is unknown, and score is that of one shared class.
+    token.  Without training texts N and V are 0, every token is unknown, and score is that of the tail classes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -223,9 +382,15 @@ def score(docs: DataFrame) -> DataFrame:
     by_block = scratch.keep(count_words(rows))
     total = Window.partitionBy("word")
     counts = by_block.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)).alias("once")).collect()[0]
-    n_all, v_all, once = sums["n"], sums["v"], sums["once"]
-    model = _train(rows, counts, n_all)
+    by_tail = counts.groupBy(F.col("word").bitwiseAND(TAILS - 1).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()  # TAILS rows
+    n_all, v_all = sum(r["n"] for r in by_tail), sum(r["v"] for r in by_tail)
+    tails, once = np.zeros(TAILS), np.zeros(TAILS)
+    for r in by_tail:
+        tails[r["tail"]], once[r["tail"]] = r["n"], r["once"]
+    model, tails, once = _train(rows, counts, tails, once)
+    # the tail classes: what their words were met, and what words met once leave to those never met
+    tails = np.maximum(1.0, tails)
+    unmet = np.minimum(0.9, np.maximum(once, 1) / tails)
     shared = spark.sparkContext.broadcast(model)  # of fixed size
     known = by_block.select("block", "word", F.sum("n").over(total).alias("c")).where("c > 0").select("block", "word", "c")
 
@@ -238,25 +403,19 @@ def score(docs: DataFrame) -> DataFrame:
         c_all = right.column("c").to_numpy().astype(np.float64) if right.num_rows else np.zeros(0)
         words, first = np.unique(words, return_index=True)
         c_all = c_all[first]
-        # the shared class: what its words were met, and what words met once leave to those never met
-        tail = max(1.0, float(n_all) * float(m.prior[-1]))
-        unmet = min(0.9, max(once, 1) / tail)
         out = []
         whole, ends = byte_view(left.column("text").chunk(0)) if left.num_rows else (None, np.zeros(1, np.int64))
-        a = 0
-        while a < left.num_rows:
-            # texts of about SLICE_BYTES at a time, one at least
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_BYTES, "right")) - 1)
+        for a, b in _slices(ends):
             part = left.select(["id", "learn"]).slice(a, b - a).combine_chunks()
             h, at = tokens(whole[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-            a = b
             place = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
             c = np.where(words[place] == h, c_all[place], 0.0) if len(words) else np.zeros(len(h))
             base = np.log10((c + ALPHA) / (n_all + ALPHA * (v_all + 1)))
-            target, before = m.numbers(h, at)
-            logs = m.log_probs(target, before) / np.log(10)
-            inside = np.where(c > 0, np.log10(np.maximum(c, 1) / tail) + np.log10(1 - unmet), np.log10(unmet))
-            logs += np.where(target == len(m.class_words), inside, 0.0)
+            target, before, slot = m.places(h, at)
+            logs = (m.log_probs(target, before) + m.log_inside(slot, before)) / np.log(10)
+            g = np.maximum(target - m.first_tail, 0)
+            inside = np.where(c > 0, np.log10(np.maximum(c, 1) / tails[g]) + np.log10(1 - unmet[g]), np.log10(unmet[g]))
+            logs += np.where(target >= m.first_tail, inside, 0.0)
             out.append(
                 pa.table(
                     {

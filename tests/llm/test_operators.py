@@ -4,9 +4,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from helpers import ODD, docs, odd_docs, words
 
 from quiltwork.llm import ann, bpe, bpe_codec, language_id, lm_score, packing, quality_model, quality_rules, sharding, url_filter
+from quiltwork.llm.common import byte_view
 
 
 def tokenizer():
@@ -260,6 +262,33 @@ def test_lm_is_normalised():
     assert (before[2000] == len(model.context_words) + 1).all()
 
 
+def test_lm_goes_over_all_training_texts(spark):
+    # the pairs stand far apart in long texts, most of which a stretch of bounded size misses
+    rows = [(k, "pad " * 2000 + ("one two " if k % 2 else "red blue ") * 500 + "pad " * 2000, True) for k in range(20)]
+    df = spark.createDataFrame(rows, "id long, text string, learn boolean").repartition(2)
+    words = lm_score.tokens(*byte_view(pa.array(["pad one two red blue"])))[0][:5]
+    model = lm_score.Model(words, words, np.ones(5 + lm_score.TAILS))
+    lm_score._pass(df, model)
+    target, before = model.numbers(*lm_score.tokens(*byte_view(pa.array(["one two one two", "red blue red blue"]))))
+    right = np.exp(model.log_probs(target, before))
+    wrong = np.exp(model.log_probs(np.roll(target, 5), before))
+    inner = [1, 2, 3, 6, 7, 8]
+    assert (right[inner] > 2 * wrong[inner]).all()
+
+
+def test_lm_words_inside_classes_depend_on_context():
+    words = np.arange(200, dtype=np.uint64)
+    h = np.stack([words[150:152], words[160:162]], axis=1)[np.random.default_rng(1).integers(0, 2, 4000)].reshape(-1)
+    model = lm_score.Model(words, words[:10], np.ones(10 + math.ceil(190 / lm_score.GROUP) + lm_score.TAILS), words[10:], np.ones(190))
+    target, before, slot = model.places(h, np.arange(0, len(h) + 1, 2))
+    model.train(target, before, slot)
+    right = np.exp(model.log_inside(slot, before))[1::2]
+    wrong = np.exp(model.log_inside(150 + 151 - slot, before))[1::2]
+    assert (slot[1::2] >= 150).all() and right.mean() > 0.8 and wrong.mean() < 0.2
+    total = sum(np.exp(model.log_inside(np.full(50, lm_score.GROUP + k), before[:50])) for k in range(lm_score.GROUP))
+    assert np.allclose(total, 1, atol=1e-4)
+
+
 # ---------------------------------------------------------------- 8
 
 
