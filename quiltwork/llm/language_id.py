@@ -5,7 +5,8 @@ d of them different, predicts byte b with count c as c / (n + d) and escapes to
 d / (n + d); bytes that the longer context knows are excluded there, so each context's probabilities add up to one,
 and below the empty context all 256 bytes are equally likely.  A text's code length under a language is exact to
 rounding; the shortest wins.  The trees become two tables, context -> node and (node, byte) -> bits, so whole
-batches of texts are scored by array lookups.
+batches of texts are scored by array lookups.  Where the alphabet is too large for a table of all contexts, the node of
+the longest known context is looked up among the sorted contexts that the samples hold.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from quiltwork.llm.common import byte_view, small_batches
 
 ORDER = 3
-#: Bounds of the training sample: documents a language, stretches of a document, bytes of a stretch, languages.
-SAMPLE_DOCS, STRETCHES, STRETCH_BYTES, MAX_LANGS = 160, 8, 512, 64
+#: Bounds of the training sample: documents a language, stretches of a document, bytes of a stretch.
+SAMPLE_DOCS, STRETCHES, STRETCH_BYTES = 160, 8, 512
+#: Contexts up to which a language's tree has a table of all of them.
+DENSE = 1 << 22
 UNKNOWN = "und"
 
 
@@ -35,22 +38,19 @@ def stretches(text: str | None, count: int = STRETCHES, size: int = STRETCH_BYTE
 
 
 def _sample(train: DataFrame) -> dict[str, list[bytes]]:
-    """Training texts by language: at most SAMPLE_DOCS documents of each of at most MAX_LANGS languages."""
+    """Training texts by language: at most SAMPLE_DOCS documents of each language."""
     small_batches(train.sparkSession)
     ids = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    langs = [r["lang"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    if not langs:
-        return {}
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.where(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id").distinct()
+    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([stretches(t) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "lang", "raw"])
 
     texts = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    # the ids are at most SAMPLE_DOCS * MAX_LANGS
-    rows = texts.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(cut, "doc_id long, lang string, raw binary").collect()
+    # the ids are at most SAMPLE_DOCS a language
+    rows = texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(cut, "doc_id long, lang string, raw binary").collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["raw"]))):
         if len(out.setdefault(r["lang"], [])) < SAMPLE_DOCS:
@@ -70,10 +70,12 @@ class Model:
         known = np.flatnonzero(seen)
         #: symbols: 0 is any byte that no sample has, and the time before a text
         self.width = len(known) + 1
-        self.order = order if self.width**order <= 1 << 22 else 2
+        self.order = order
+        self.dense = self.width**order <= DENSE
         self.symbol = np.zeros(256, np.int32)
         self.symbol[known] = np.arange(1, self.width)
-        self.nodes: list[np.ndarray] = []
+        #: a language's nodes of all contexts, or for each length its sorted contexts and their nodes
+        self.nodes: list = []
         self.bits: list[np.ndarray] = []
         for lang in self.langs:
             nodes, bits = self._tree(samples[lang])
@@ -83,11 +85,11 @@ class Model:
     def contexts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each byte's symbol and the code of the ``order`` symbols before it, within its text."""
         symbols = self.symbol[data]
-        code = np.zeros(len(data), np.int32)
+        code = np.zeros(len(data), np.int64 if self.width**self.order >= 1 << 31 else np.int32)
         heads = offsets[:-1][np.diff(offsets) > 0]
         for back in range(self.order, 0, -1):
             code *= self.width
-            shifted = np.zeros(len(data), np.int32)
+            shifted = np.zeros(len(data), code.dtype)
             shifted[back:] = symbols[:-back]
             for k in range(back):
                 at = heads + k
@@ -95,12 +97,12 @@ class Model:
             code += shifted
         return symbols, code
 
-    def _tree(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _tree(self, texts: list[bytes]) -> tuple[np.ndarray | list, np.ndarray]:
         w = self.width
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         symbols, code = self.contexts(data, offsets)
-        table = np.zeros(w**self.order, np.int32)
+        table = np.zeros(w**self.order, np.int32) if self.dense else []
         # the empty context; below it every byte costs 8 bits
         base = np.full(w, 1 / 256)
         probs = [self._node(np.bincount(symbols, minlength=w), base, 256 - (w - 1))]
@@ -118,9 +120,12 @@ class Model:
                 parent = parent_of.get(key % w ** (k - 1), 0) if k > 1 else 0
                 nodes[key] = len(probs)
                 probs.append(self._node(counts[row], probs[parent], 256 - (w - 1)))
-            view = table.reshape(-1, w**k)
-            for key, node in nodes.items():
-                view[:, key] = node
+            if self.dense:
+                view = table.reshape(-1, w**k)
+                for key, node in nodes.items():
+                    view[:, key] = node
+            else:
+                table.append((keys, np.array([nodes[key] for key in keys.tolist()], np.int32)))
             parent_of = nodes
         return table, (-np.log2(np.array(probs))).astype(np.float32)
 
@@ -137,6 +142,18 @@ class Model:
         out = np.where(known, counts / (n + d), out)
         return np.maximum(out, 1e-12)
 
+    def _node_of(self, nodes: np.ndarray | list, code: np.ndarray) -> np.ndarray:
+        """The node of the longest context that the tree knows; 0 is the empty one."""
+        if self.dense:
+            return nodes[code]
+        out = np.zeros(len(code), np.int32)
+        for k, (keys, numbers) in enumerate(nodes, 1):
+            if len(keys):
+                short = code % self.width**k
+                at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+                out = np.where(keys[at] == short, numbers[at], out)
+        return out
+
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language (texts x languages)."""
         n = len(offsets) - 1
@@ -146,7 +163,7 @@ class Model:
             return out
         symbols, code = self.contexts(data, offsets)
         for k, (nodes, bits) in enumerate(zip(self.nodes, self.bits, strict=True)):
-            at = nodes[code]
+            at = self._node_of(nodes, code)
             at *= self.width
             at += symbols
             out[full, k] = np.add.reduceat(bits[at], offsets[:-1][full], dtype=np.float64)

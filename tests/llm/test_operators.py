@@ -72,6 +72,27 @@ def test_language_id(spark, sf_dir):
     assert abs(best - got[held[0].doc_id].bits_per_byte) < 1e-6
 
 
+def test_language_id_keeps_its_order_on_any_alphabet(monkeypatch):
+    rng = np.random.default_rng(2)
+    many = "".join(map(chr, range(32, 127))) + "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 3000))) + "".join(map(chr, rng.integers(0xA1, 0x7FF, 3000)))
+    samples = {"a": [b"some plain words of a text", many.encode()], "b": [many[::-1].encode()]}
+    wide = language_id.Model(samples)
+    assert wide.width**3 > language_id.DENSE and wide.order == language_id.ORDER
+    plain = {"a": [b"some plain words of a text, and more"], "b": [b"einige andere Worte", b"", b"x"]}
+    data = np.frombuffer(b"some other words of einige Worte, zq", np.uint8)
+    offsets = np.array([0, 5, 5, 20, len(data)])
+    dense = language_id.Model(plain).code_lengths(data, offsets)
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    assert np.array_equal(language_id.Model(plain).code_lengths(data, offsets), dense)
+
+
+def test_language_id_learns_every_language(spark):
+    df = spark.createDataFrame([(k, chr(0x4E00 + k) * 20, f"l{k:03}") for k in range(70)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.langs) == 70
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()} == {k: f"l{k:03}" for k in range(70)}
+
+
 def test_language_id_odd(spark):
     df = odd_docs(spark)
     model = language_id.fit(df)
