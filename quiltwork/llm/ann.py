@@ -239,7 +239,7 @@ def _points(vectors: DataFrame, k: int) -> DataFrame:
     rows = rows.where(usable & ~bad & F.exists(value, lambda x: x != 0))
     rows = rows.withColumn("vec", F.transform(value, lambda x: x + F.lit(0.0))).withColumn("point", F.xxhash64("vec"))
     rank = Window.partitionBy("point", "vec").orderBy("vec_id")
-    return rows.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k + 1)
+    return rows.distinct().withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k + 1)
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, width: int = SEARCH_WIDTH) -> DataFrame:
@@ -251,7 +251,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, width: int = SEARCH
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    usable = _points(vectors, k).drop("_k").distinct()
+    usable = _points(vectors, k).drop("_k")
     length = usable.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

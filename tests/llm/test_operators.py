@@ -54,6 +54,12 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_repeated_rows_leave_room_for_others(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=1).collect()
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 3] == [1, 2]
+
+
 # ---------------------------------------------------------------- 3
 
 
