@@ -1,11 +1,16 @@
 """Byte-level BPE by backtracking.
 
 Encoding a word: an Aho-Corasick automaton over all tokens gives, for each place, the longest token that
-starts there.  Tokens are taken greedily; a token stands only if it and its left neighbour are compatible,
-that is, if the merge rules would leave exactly these two side by side.  If none of the shorter tokens at a
-place is compatible either, the left neighbour is given up for a shorter one.  Places known to be dead ends
-are never tried again, so the work is linear in the word's length.  Compatibility is read from a table of
-pairs that fills as pairs are met.  Decoding copies byte ranges of one blob by an offset table.
+starts there.  A depth-first search walks from place to place, longest token first, and takes a token only if it is
+compatible with the one before it, that is, if the merge rules would leave exactly these two side by side.  The tokens
+of a prefix are unique, so a place from which no token leads on is dead for good and is never entered again, and the
+work is linear in the word's length.  Compatibility is kept in a table of pairs that fills as pairs are met.  Decoding
+copies byte ranges of one blob by an offset table.
+
+Compatibility follows from the definition.  While a token is made of its bytes, the piece at its right edge changes
+with certain merges, and so does the piece at its left edge; ``spines`` lists these pieces with the rank of the merge
+that ends each.  Two tokens stay apart if no piece at the left one's right edge has a merge with a piece at the right
+one's left edge, alive at the same time, that comes before both pieces end.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ _WS = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Words held in memory by one worker; beyond that the table starts anew, which costs time only.
 CACHE_WORDS = 400_000
+#: Pairs held in the table of a worker; others are worked out each time.
+MOST_PAIRS = 4_000_000
+#: The rank that ends a whole token's life: none.
+NEVER = 1 << 60
 
 
 def default_path() -> str:
@@ -94,100 +103,93 @@ class Bpe:
         # the longest token that is a proper prefix of a token, or -1
         self.shorter = [-1] * len(self.ranked)
         for t, r in rank_of.items():
-            for n in range(len(t) - 1, 0, -1):
-                if (p := rank_of.get(t[:n])) is not None:
-                    self.shorter[r] = p
-                    break
+            self.shorter[r] = next((rank_of[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in rank_of), -1)
+        self.edges: dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
         self.compatible: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self.words = _Words(self._encode_word)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def _fits(self, left: int, right: int) -> bool:
-        """Would the merge rules leave these two tokens next to each other?
+    def spines(self, token: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """The pieces at the token's left and right edge, from a single byte to the token, each with the rank that ends it."""
+        held = self.edges.get(token)
+        if held is None:
+            held = self.edges[token] = tuple(self._spine(token, side) for side in (0, 1))
+        return held
 
-        Walk down both tokens' histories from the newest merge on: at no time may the two parts that face
-        each other have a merge of their own that comes before the next one of the histories.
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        out = [(token, NEVER)]
+        while out[-1][0] >= 256:
+            out.append((self.split[out[-1][0]][side], out[-1][0]))
+        return out[::-1]
+
+    def _meeting(self, left: int, right: int) -> int | None:
+        """The rank of the merge that joins the two tokens across their border as early as possible, or None.
+
+        A merge of equal rank further left is made first, so it has to come before the left piece's end, but may
+        share the right piece's.
         """
-        pair, split = self.pair, self.split
-        a, b, before = left, right, 1 << 30
+        ours, theirs = self.spines(left)[1], self.spines(right)[0]
+        i = j = 0
         while True:
-            merged = pair.get(a << 20 | b)
-            if merged is not None and merged < before:
-                return False
-            if a > b:
-                before, a = a, split[a][1]
-                if a == before:
-                    before, b = b + 1, split[b][0]
-                    if b + 1 == before:
-                        return True
+            (a, a_end), (b, b_end) = ours[i], theirs[j]
+            rank = self.pair.get(a << 20 | b)
+            if rank is not None and rank < a_end and rank <= b_end:
+                return rank
+            if a_end == b_end == NEVER:
+                return None
+            if a_end <= b_end:
+                i += 1
             else:
-                before, b = b + 1, split[b][0]
-                if b + 1 == before:
-                    before, a = a, split[a][1]
-                    if a == before:
-                        return True
+                j += 1
 
-    def _encode_word(self, word: bytes) -> list[int]:
-        whole = self.rank_of.get(word)
-        if whole is not None and self._whole(whole):
-            return [self.ranked[whole]]
-        n = len(word)
-        longest = [-1] * (n + 1)
-        length, ranked = self.length, self.ranked
-        for end, r in self.machine.iter(word.decode("latin-1")):
-            start = end + 1 - length[r]
-            if (had := longest[start]) < 0 or length[had] < length[r]:
-                longest[start] = r
-        alive = bytearray(b"\1") * (n + 1)
-        out: list[int] = []
-        at, shorter, known = 0, self.shorter, self.compatible
-        token = longest[0]
-        while token >= 0:
-            last = out[-1] if out else -1
-            while True:
-                end = at + length[token]
-                if alive[end]:
-                    if last < 0:
-                        ok = True
-                    else:
-                        key = last << 20 | token
-                        ok = known.get(key)
-                        if ok is None:
-                            ok = self._fits(last, token)
-                            if len(known) < 4_000_000:
-                                known[key] = ok
-                    if ok:
-                        out.append(token)
-                        at = end
-                        token = longest[end]
-                        break
-                if shorter[token] >= 0:
-                    token = shorter[token]
-                else:
-                    alive[at] = 0
-                    out.pop()
-                    at -= length[last]
-                    token = last
-                    break
-        return [ranked[r] for r in out]
-
-    def _whole(self, rank: int) -> bool:
-        """Do the merge rules themselves make this token from its bytes?"""
-        a, b = self.split[rank]
-        return a == b == rank or self._fits_below(a, b, rank)
-
-    def _fits_below(self, a: int, b: int, rank: int) -> bool:
-        """The token's two parts stand next to each other until their own merge, and are whole themselves."""
-        key = -1 - rank
+    def fits(self, left: int, right: int) -> bool:
+        """Would the merge rules leave these two tokens next to each other?"""
+        key = left << 20 | right
         ok = self.compatible.get(key)
         if ok is None:
-            had = self.pair.pop(a << 20 | b, None)
-            ok = had == rank and self._fits(a, b) and self._whole(a) and self._whole(b)
-            if had is not None:
-                self.pair[a << 20 | b] = had
-            self.compatible[key] = ok
+            ok = self._meeting(left, right) is None
+            if len(self.compatible) < MOST_PAIRS:
+                self.compatible[key] = ok
+        return ok
+
+    def is_whole(self, token: int) -> bool:
+        """Do the merge rules themselves make this token from its bytes?"""
+        if token < 256:
+            return True
+        ok = self.whole.get(token)
+        if ok is None:
+            a, b = self.split[token]
+            ok = self.whole[token] = self.is_whole(a) and self.is_whole(b) and self._meeting(a, b) == token
         return ok
 
+    def _encode_word(self, word: bytes) -> list[int]:
+        one = self.rank_of.get(word)
+        if one is not None and self.is_whole(one):
+            return [self.ranked[one]]
+        n, length, shorter, fits = len(word), self.length, self.shorter, self.fits
+        longest = [-1] * (n + 1)
+        for last, r in self.machine.iter(word.decode("latin-1")):
+            first = last + 1 - length[r]
+            if longest[first] < 0 or length[longest[first]] < length[r]:
+                longest[first] = r
+        # a frame for each place on the path: the place, the token before it, the next token to try there
+        dead: set[int] = set()
+        places, before, tries = [0], [-1], [longest[0]]
+        while places[-1] < n:
+            at, left, token = places[-1], before[-1], tries[-1]
+            while token >= 0 and (at + length[token] in dead or left >= 0 and not fits(left, token)):
+                token = shorter[token]
+            if token < 0:
+                dead.add(at)
+                del places[-1], before[-1], tries[-1]
+            else:
+                tries[-1] = shorter[token]
+                places.append(at + length[token])
+                before.append(token)
+                tries.append(longest[at + length[token]])
+        return [self.ranked[r] for r in before[1:]]
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
         if self.cut is not None and any(s in text for s in self.special):
