@@ -167,28 +167,37 @@ class Bpe:
         one = self.rank_of.get(word)
         if one is not None and self.is_whole(one):
             return [self.ranked[one]]
-        n, length, shorter, fits = len(word), self.length, self.shorter, self.fits
+        n, length, shorter, known = len(word), self.length, self.shorter, self.compatible
         longest = [-1] * (n + 1)
         for last, r in self.machine.iter(word.decode("latin-1")):
             first = last + 1 - length[r]
             if longest[first] < 0 or length[longest[first]] < length[r]:
                 longest[first] = r
-        # a frame for each place on the path: the place, the token before it, the next token to try there
+        # the path so far, for each of its tokens where it starts and the next shorter one to try there
         dead: set[int] = set()
-        places, before, tries = [0], [-1], [longest[0]]
-        while places[-1] < n:
-            at, left, token = places[-1], before[-1], tries[-1]
-            while token >= 0 and (at + length[token] in dead or left >= 0 and not fits(left, token)):
+        path: list[int] = []
+        starts: list[int] = []
+        retry: list[int] = []
+        at, left, token = 0, -1, longest[0]
+        while at < n:
+            while token >= 0:
+                if at + length[token] not in dead:
+                    ok = left < 0 or known.get(left << 20 | token)
+                    if ok or ok is None and self.fits(left, token):
+                        break
                 token = shorter[token]
-            if token < 0:
+            if token < 0:  # nothing leads on from here: back to the token before
                 dead.add(at)
-                del places[-1], before[-1], tries[-1]
+                del path[-1]
+                at, token = starts.pop(), retry.pop()
+                left = path[-1] if path else -1
             else:
-                tries[-1] = shorter[token]
-                places.append(at + length[token])
-                before.append(token)
-                tries.append(longest[at + length[token]])
-        return [self.ranked[r] for r in before[1:]]
+                path.append(token)
+                starts.append(at)
+                retry.append(shorter[token])
+                at += length[token]
+                left, token = token, longest[at]
+        return [self.ranked[r] for r in path]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
