@@ -12,8 +12,9 @@
 5. Union-find: links are merged inside each partition by union-find, and what remains is contracted over all
    partitions, round by round, until no link joins two groups.
 6. Members of a bucket that are still in different groups may be linked all the same.  What hangs together by such
-   buckets is cut into blocks of bounded size; each pair of blocks counts common shingles by an inverted index and
-   returns only the links that join groups, never the pairs that it compared.
+   buckets is a heap, and in it only texts outside its largest group need to look for partners.  These are cut into
+   blocks, and so are all texts of the heap; a block of the first kind meets each block of the second in a task that
+   counts common shingles by an inverted index and returns only the links that join groups, never the pairs compared.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiltwork.llm.common import Scratch, byte_view, list_column, mix64, small_batches, word_hashes, word_spans
@@ -30,8 +31,10 @@ from quiltwork.llm.common import Scratch, byte_view, list_column, mix64, small_b
 BANDS, BAND_ROWS = 26, 5
 #: Rounds in which members are compared with one more head of a bucket, before members are compared with each other.
 HEAD_ROUNDS = 1
-#: Most shingles and texts of a block, give or take the spread of a hash.
-BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 2048
+#: Most shingles and texts of a block, give or take the spread of a hash; up to SPREAD blocks are made of fewer texts.
+BLOCK_SHINGLES, BLOCK_TEXTS, SMALL_BLOCK, SPREAD = 1_000_000, 2048, 128, 16
+#: Rows without doc_id are known by a hash of their text, from here on; ids are below.
+KEYLESS = 1 << 62
 
 
 # ---------------------------------------------------------------- sketches
@@ -118,8 +121,18 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS
     return out
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``key`` (doc_id, or a hash of the text where that is null) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(_key(text).alias(key), text.alias("text"))
+
+
+def _key(text: Column) -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(KEYLESS) + F.xxhash64(text).bitwiseAND(KEYLESS - 1))
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a fingerprint of the set; an empty set has one of its own), bands."""
+    """doc_id (its key), n_shingles, f1 and f2 (a fingerprint of the set; an empty set has one of its own), bands."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +147,13 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 if len(full):
                     f[full] = np.add.reduceat(mix64(elements ^ salt), at[:-1][full])
                 prints.append(mix64(f + sizes.astype(np.uint64)).view(np.int64))
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            prints[0] = np.where(sizes > 0, prints[0], np.nan_to_num(own.astype(np.float64)).astype(np.int64))
+            prints[0] = np.where(sizes > 0, prints[0], b.column(0).to_numpy())
             flat = list_column(np.ascontiguousarray(bands[sizes > 0]).reshape(-1).view(np.int64), BANDS) if (sizes > 0).any() else None
             index = np.cumsum(sizes > 0) - 1
             column = pa.nulls(len(sizes), pa.list_(pa.int64())) if flat is None else flat.take(pa.array(np.where(sizes > 0, index, 0), mask=sizes == 0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), column], ["doc_id", "n_shingles", "f1", "f2", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return _keyed(docs, "doc_id").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 # ---------------------------------------------------------------- verification
@@ -150,7 +161,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose texts' full sets have 100 * intersection >= threshold * union."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = _keyed(docs, "id")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,37 +240,41 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 # ---------------------------------------------------------------- the rest
 
 
+def _blocks(texts: Column, shingles: Column) -> Column:
+    """Blocks of so many texts: small ones while SPREAD of them do, then such that a block fits into memory."""
+    few = F.least(F.ceil(texts / SMALL_BLOCK), F.lit(SPREAD).cast("long"))
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(texts / BLOCK_TEXTS), few).cast("int")
+
+
 def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between texts of different groups that share a bucket; ``open_rows``: band, cid, n, root.
 
-    All texts that hang together by buckets are compared; a hot heap of them is cut into blocks, and each pair of
-    blocks is a task of its own.
+    All texts that hang together by buckets are a heap.  Of these, texts outside the largest group ask, and all answer.
     """
     low = scratch.keep(open_rows.groupBy("band").agg(F.min("cid").alias("a")))
     heap = components(open_rows.join(low, "band").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), scratch)
     texts = open_rows.select("cid", "n", "root").distinct().join(heap.select(F.col("node").alias("cid"), F.col("root").alias("heap")), "cid", "left")
     texts = scratch.keep(texts.select("cid", "n", "root", F.coalesce("heap", "cid").alias("heap")))
-    sizes = texts.groupBy("heap").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    dealt = texts.join(sizes, "heap").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cid", "root", "heap", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    words = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text"))
+    one = F.lit(1)
+    by_root = texts.groupBy("heap", "root").agg(F.count(one).alias("texts"), F.sum("n").alias("shingles"))
+    sizes = by_root.groupBy("heap").agg(F.max_by(F.struct("root", "texts", "shingles"), F.struct("texts", -F.col("root"))).alias("main"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"))
+    sizes = scratch.keep(sizes.select("heap", F.col("main.root").alias("main"), _blocks(F.col("texts"), F.col("shingles")).alias("answers"), _blocks(F.col("texts") - F.col("main.texts"), F.col("shingles") - F.col("main.shingles")).alias("asks")))
+    dealt = texts.join(sizes, "heap")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    answers = dealt.where("asks > 0").select("cid", "root", "heap", every("asks").alias("i"), F.pmod(F.xxhash64("cid"), F.col("answers")).cast("int").alias("j"), F.lit(False).alias("asking"))
+    asks = dealt.where(F.col("root") != F.col("main")).select("cid", "root", "heap", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("asks")).cast("int").alias("i"), every("answers").alias("j"), F.lit(True).alias("asking"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        same = key[1].as_py() == key[2].as_py()
         ids, roots = table.column("cid").to_numpy(), table.column("root").to_numpy()
-        elements, at = shingle_sets(*byte_view(table.column("text").chunk(0)), width)
-        n = np.diff(at)
+        asking = table.column("asking").to_numpy().astype(bool)
+        parts = [shingle_sets(*byte_view(c), width) for c in table.column("text").chunks if len(c)]
+        n = np.concatenate([np.diff(p[1]) for p in parts])
+        elements, at = np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(n)])
         owner = np.repeat(np.arange(len(ids)), n)
-        order = np.argsort(elements, kind="stable")
+        order = np.flatnonzero(~asking[owner])
+        order = order[np.argsort(elements[order], kind="stable")]
         held, ranked = owner[order], elements[order]
-        first = np.searchsorted(ranked, elements, "left")
-        count = np.searchsorted(ranked, elements, "right") - first
-        # texts of the largest group need not be looked up: all others are, and they meet it
-        named, back, many = np.unique(roots, return_inverse=True, return_counts=True)
-        outside = np.flatnonzero(back != many.argmax())
-        side = table.column("own").to_numpy()
+        named, back = np.unique(roots, return_inverse=True)
         up = list(range(len(named)))
 
         def top(x: int) -> int:
@@ -268,15 +283,13 @@ def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold
             return x
 
         out: tuple[list, list] = ([], [])
-        for y in outside.tolist():
-            mine = slice(at[y], at[y + 1])
-            c, f = count[mine], first[mine]
-            ends = np.cumsum(c)
-            common = np.bincount(held[np.repeat(f - ends + c, c) + np.arange(ends[-1])], minlength=len(ids))
-            linked = 100 * common >= threshold * (n[y] + n - common)
-            linked &= back != back[y]
-            if not same:
-                linked &= side != side[y]
+        for y in np.flatnonzero(asking).tolist():
+            mine = elements[at[y] : at[y + 1]]
+            first = np.searchsorted(ranked, mine, "left")
+            count = np.searchsorted(ranked, mine, "right") - first
+            ends = np.cumsum(count)
+            common = np.bincount(held[np.repeat(first - ends + count, count) + np.arange(ends[-1])], minlength=len(ids))
+            linked = (common > 0) & (100 * common >= threshold * (n[y] + n - common)) & (back != back[y])
             for m in np.flatnonzero(linked).tolist():
                 a, b = top(back[y]), top(back[m])
                 if a != b:
@@ -285,21 +298,14 @@ def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold
                     out[1].append(max(ids[y], ids[m]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    return dealt.join(words, "cid").groupBy("heap", "lo", "hi").applyInArrow(run, "a long, b long")
+    return answers.union(asks).join(_keyed(docs, "cid"), "cid").groupBy("heap", "i", "j").applyInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- grouping
 
 
-def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id = component_id).
-
-    Words are runs of anything but ASCII white space, with A-Z lower-cased; a text without words, or null, has an
-    empty set and is linked with nothing.  Equal sets are always linked.  ``doc_id`` is the key; an empty table
-    gives no rows.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
+def _roots(docs: DataFrame, width: int, threshold: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Sketches, and the root of each class of equal sets: f1, f2, root."""
     sketches = scratch.keep(sketch(docs, width))
     classes = sketches.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("cid"))
     classes = scratch.keep(classes)
@@ -363,13 +369,43 @@ def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
         named = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("f1", "f2", F.coalesce("root", "cid").alias("root"))
     else:
         named = classes.select("f1", "f2", F.col("cid").alias("root"))
-    named = scratch.keep(named)
-    out = sketches.select("doc_id", "n_shingles", "f1", "f2").join(named.withColumn("full", F.lit(True)), ["f1", "f2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return sketches, scratch.keep(named)
+
+
+def _components(docs: DataFrame, width: int, threshold: int, scratch: Scratch) -> DataFrame:
+    """key, n_shingles, component (a key): a row for each row of ``docs``."""
+    sketches, named = _roots(docs, width, threshold, scratch)
+    out = sketches.select(F.col("doc_id").alias("key"), "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    return out.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("key")).alias("component"))
+
+
+def group(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id = component_id).
+
+    Words are runs of anything but ASCII white space, with A-Z lower-cased; a text without words, or null, has an
+    empty set and is linked with nothing.  A text of fewer than ``width`` words has one shingle; very long texts are
+    taken whole.  Equal sets are always linked.  ``doc_id`` is the key, below 2**62; repeated rows give repeated rows,
+    of which all are marked alike.  A row without doc_id takes part by its text, names a component only for others
+    like it (component_id is then null) and is not marked as kept.  Other columns are ignored; an empty table gives no
+    rows.
+    """
+    rows = _components(docs, width, threshold, Scratch(docs.sparkSession, "near-dedup"))
+    doc_id, component = (F.when(F.col(c) < KEYLESS, F.col(c)) for c in ("key", "component"))
+    return rows.select(doc_id.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(doc_id == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document of each group, the one with the least doc_id."""
-    gone = group(docs, width, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns, of one document of each group: the one with the least doc_id.
+
+    Of rows that repeat both doc_id and text one stays.  A group without any doc_id keeps the rows of one text, once.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    rows = scratch.keep(_components(docs, width, threshold, scratch).select("key", "component"))
+    gone = rows.where("key <> component").select(F.col("key").alias("_qw_key"))
+    keyed = docs.withColumn("_qw_key", _key(F.col("text").cast("string")))
+    out = keyed.join(gone, "_qw_key", "left_anti")
+    twice = scratch.keep(rows.where("key = component").groupBy(F.col("key").alias("_qw_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_qw_key"))
+    if not twice.isEmpty():
+        once = out.join(twice, "_qw_key", "left_semi").dropDuplicates(["_qw_key", "text"])
+        out = out.join(twice, "_qw_key", "left_anti").unionByName(once)
+    return out.select(*docs.columns)

@@ -88,3 +88,33 @@ def test_union_find(spark):
     links = [(k, k + 1) for k in range(0, 200)] + [(500, k) for k in range(501, 900)] + [(3, 3), (1000, 999)]
     got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(9), Scratch(spark, "t")).collect()}
     assert all(got[k] == 0 for k in range(201)) and all(got[k] == 500 for k in range(500, 900)) and got[1000] == 999
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    text = " ".join(f"t{k}" for k in range(40))
+    near = text.replace("t39", "other")
+    rows = [(None, text), (None, text), (5, near), (5, near), (7, text), (None, "alone in the world of words"), (None, "alone in the world of words"), (None, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.group(df).collect()), key=str)
+    want = [(None, 5, False)] * 2 + [(5, 5, True)] * 2 + [(7, 5, False)] + [(None, None, False)] * 3 + [(9, 9, True)]
+    assert got == sorted(want, key=str)
+    kept = sorted((tuple(r) for r in near_dedup.keep_one(df).collect()), key=str)
+    assert kept == sorted([(5, near), (None, "alone in the world of words"), (None, ""), (9, None)], key=str)
+
+
+def test_heaps_are_compared_in_blocks(spark, monkeypatch):
+    """Texts that share buckets but not the similarity: every link is found whatever the size of the blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "HEAD_ROUNDS", 0)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(60)]
+    rows = []
+    for k in range(240):
+        t = list(base)
+        for at in rng.choice(60, int(rng.integers(3, 9)), replace=False):
+            t[at] = f"v{rng.integers(0, 3)}"
+        rows.append((k, " ".join(t)))
+    want = brute(rows, 2)
+    assert 3 < len({c for _, c, _ in want.values()})
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2).collect()}
+    assert got == want
