@@ -8,19 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-class Scratch:
-    """Tables that cut lineage, in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, else the folder that its context was given for checkpoints.
 
-    The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset (tests, a laptop)
-    a temporary folder of this machine is used.
+    Only where both are unset and all tasks run on this machine a temporary folder is used; on a cluster that is an
+    error, as executors would write to their own disks.
     """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        given = context._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else None
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/quiltwork-scratch"
+    return base.rstrip("/")
+
+
+class Scratch:
+    """Tables that cut lineage, in the folder that the cluster shares."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.gettempdir()}/quiltwork-scratch"
-        self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
 
