@@ -10,8 +10,10 @@ training texts, and the partitions' parameters are averaged by their tokens.  It
 and exact softmaxes.  Inside a tail class a word has its discounted share of the corpus counts, and what is discounted
 (the share of words that were met once) goes to words never met, which count as one in each tail class.
 
-Counts meet texts by blocks of neighbouring ids: a block sends each of its distinct words once, gets their counts
-back, and is scored with them, so nothing grows with the length of the corpus except the exchange itself.
+Only the words outside the model's table need their counts looked up.  Each task scores its texts as far as the model
+goes and packs them into blocks of bounded bytes: a block names its other words once and keeps, for each text, their
+places among these.  The names are joined with the counts, the counts come back to the block, and what is left is summed
+up there.  Texts are never exchanged, and no task holds more than a block.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltwork.llm.common import Scratch, byte_view, mix64, small_batches, word_hashes, word_spans
@@ -39,8 +41,8 @@ EPOCHS, BATCH, NOISE, RATE, SEED = 6, 512, 64, 0.15, 11
 PASS_BATCH, PASS_NOISE, GROUP_NOISE, SUMS = 16384, 16, 8, 16
 #: Bytes of text that are scored at a time; bounds memory only.
 SLICE_BYTES = 500_000
-#: Neighbouring ids that are scored together.
-BLOCK_IDS = 2048
+#: Bytes of text of a block, one text at least.
+BLOCK_BYTES = 4_000_000
 #: The end of a text is a token of its own, with this hash (fixed).
 END = int(mix64(np.array([0xE0D], np.uint64))[0])
 ALPHA = 0.1
@@ -61,11 +63,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
-def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE_BYTES, one text at least; ``ends``: the texts' n+1 offsets."""
+def _slices(ends: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, one text at least; ``ends``: the texts' n+1 offsets."""
     a = 0
     while a < len(ends) - 1:
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
         yield a, b
         a = b
 
@@ -267,39 +269,33 @@ def _log_softmax(s: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """block, word (hash), n (in training texts): every word of every text, once a block and task."""
+    """word (hash), n: every word of every training text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
+        held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, parts in held.items():
-                h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                word, back = np.unique(h, return_inverse=True)
-                total = np.bincount(back, n, len(word)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block, np.int64)), pa.array(word.view(np.int64)), pa.array(total)], ["block", "word", "n"])
+        def flush() -> pa.RecordBatch:
+            words, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            total = np.bincount(back, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(total)], ["word", "n"])
 
         for b in batches:
-            h, at = tokens(*byte_view(b.column("text")))
-            learn = b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-            block = b.column("block").to_numpy()
-            for one in np.unique(block):
-                mine = np.repeat(block == one, np.diff(at))
-                weight = np.repeat(learn, np.diff(at))[mine]
-                word, back = np.unique(h[mine], return_inverse=True)
-                held.setdefault(int(one), []).append((word, np.bincount(back, weight, len(word))))
-                size += len(word)
-            if size > 2_000_000:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
-
-    return docs.select("block", "learn", "text").mapInArrow(run, "block long, word long, n long")
-
-
-def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
-    """The model, and of each tail class the tokens and the words met once; given are those of all words by lowest bits."""
+            data, ends = byte_view(b.column(0))
+            for x, y in _slices(ends, BLOCK_BYTES):
+                words, n = np.unique(tokens(data[ends[x] : ends[y]], ends[x : y + 1] - ends[x])[0], return_counts=True)
+                held.append((words, n))
+                size += len(words)
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.where("learn").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
+    """The model, its words' counts, and of each tail class the tokens and the words met once; given are those of all words by lowest bits."""
     top = counts.orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()  # of fixed size
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in top], np.float64)
@@ -331,7 +327,7 @@ def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarra
         at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         model.train(*model.places(h, at))
     _pass(docs, model)
-    return model, tail, once
+    return model, n[np.argsort(words)], tail, once
 
 
 def _pass(docs: DataFrame, model: Model) -> None:
@@ -364,11 +360,59 @@ def _pass(docs: DataFrame, model: Model) -> None:
         model.put(sum(np.frombuffer(bytes(r["flat"]), np.float64) for r in parts) / sum(r["seen"] for r in parts))
 
 
+_ROW = "doc_id array<bigint>, learn array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, score array<double>, at array<int>, other array<int>"
+
+
+def _blocks(docs: DataFrame, shared, known: np.ndarray, scale: float) -> DataFrame:
+    """A row for each block: words (those outside the model's table), and of each text its sums so far and its other words.
+
+    ``known``: counts of the table's words; ``other`` holds places in ``words``, a text's from ``at`` on.
+    """
+    names = [x.split()[0] for x in _ROW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, part, number = shared.value, TaskContext.get().partitionId() << 32, 0
+        gain = np.append(np.log10((known + ALPHA) / scale), 0.0)
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            words, place = np.unique(np.concatenate([x[-1] for x in held]), return_inverse=True)
+            ids = pa.concat_arrays([x[0] for x in held])
+            columns = [ids, *(pa.array(np.concatenate([x[k] for x in held])) for k in range(1, 6))]
+            at = np.concatenate([[0], np.cumsum(np.concatenate([x[6] for x in held]))])
+            columns += [pa.array(at.astype(np.int32)), pa.array(place.astype(np.int32))]
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+            return pa.RecordBatch.from_arrays([pa.array([part + number], pa.int64()), whole(pa.array(words.view(np.int64))), *map(whole, columns)], ["block", "words", *names])
+
+        for batch in batches:
+            data, ends = byte_view(batch.column(1))
+            for a, b in _slices(ends):
+                h, at = tokens(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                own = m._find(m.context_words, h)
+                inside = own < len(m.context_words)
+                target, before, slot = m.places(h, at)
+                logs = (m.log_probs(target, before) + m.log_inside(slot, before)) / np.log(10)
+                sums = lambda x: np.add.reduceat(x, at[:-1])
+                learn = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+                held.append((batch.column(0).slice(a, b - a), learn, np.diff(at).astype(np.int64), sums(inside.astype(np.int64)), sums(gain[own]), sums(logs), sums((~inside).astype(np.int64)), h[~inside]))
+                size += int(ends[b] - ends[a])
+                if size > BLOCK_BYTES:
+                    yield flush()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield flush()
+
+    return docs.select("id", "text", "learn").mapInArrow(run, f"block long, words array<bigint>, {_ROW}")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: both scores are log10 of a whole text.
 
-    Learned from the texts whose crc32(doc_id as text) mod 10 is not 0.  A null text is empty: its end is its one
-    token.  Without training texts N and V are 0, every token is unknown, and score is that of the tail classes.
+    Learned from the texts whose crc32(doc_id as text) mod 10 is not 0, and from those without doc_id.  A null text is
+    empty: its end is its one token.  Without training texts N and V are 0, every token is unknown, and score is that
+    of the tail classes.  Texts of any length are taken whole; repeated rows are learned and scored as often as they
+    occur; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -377,58 +421,51 @@ def score(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(remainder(F.col("doc_id"), 10) != 0, F.lit(True)).alias("learn"),
-        F.coalesce(F.floor(F.col("doc_id").cast("long") / BLOCK_IDS), F.lit(-1)).cast("long").alias("block"),
     )
-    by_block = scratch.keep(count_words(rows))
-    total = Window.partitionBy("word")
-    counts = by_block.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    counts = scratch.keep(count_words(rows))
     by_tail = counts.groupBy(F.col("word").bitwiseAND(TAILS - 1).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()  # TAILS rows
     n_all, v_all = sum(r["n"] for r in by_tail), sum(r["v"] for r in by_tail)
     tails, once = np.zeros(TAILS), np.zeros(TAILS)
     for r in by_tail:
         tails[r["tail"]], once[r["tail"]] = r["n"], r["once"]
-    model, tails, once = _train(rows, counts, tails, once)
+    model, known, tails, once = _train(rows, counts, tails, once)
     # the tail classes: what their words were met, and what words met once leave to those never met
     tails = np.maximum(1.0, tails)
     unmet = np.minimum(0.9, np.maximum(once, 1) / tails)
-    shared = spark.sparkContext.broadcast(model)  # of fixed size
-    known = by_block.select("block", "word", F.sum("n").over(total).alias("c")).where("c > 0").select("block", "word", "c")
+    scale = n_all + ALPHA * (v_all + 1)
+    blocks = scratch.keep(_blocks(rows, spark.sparkContext.broadcast(model), known, scale))  # a model of fixed size
+    asked = blocks.select(F.col("block").alias("owner"), F.posexplode("words").alias("place", "word"))
+    # a word that many blocks ask for makes a skewed join, which Spark splits
+    answers = asked.join(counts, "word").select("owner", "place", "n")
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    empty = pa.table({f: pa.array([], t) for f, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = shared.value
-        left = left.combine_chunks()
-        words = right.column("word").to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
-        c_all = right.column("c").to_numpy().astype(np.float64) if right.num_rows else np.zeros(0)
-        words, first = np.unique(words, return_index=True)
-        c_all = c_all[first]
-        out = []
-        whole, ends = byte_view(left.column("text").chunk(0)) if left.num_rows else (None, np.zeros(1, np.int64))
-        for a, b in _slices(ends):
-            part = left.select(["id", "learn"]).slice(a, b - a).combine_chunks()
-            h, at = tokens(whole[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-            place = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-            c = np.where(words[place] == h, c_all[place], 0.0) if len(words) else np.zeros(len(h))
-            base = np.log10((c + ALPHA) / (n_all + ALPHA * (v_all + 1)))
-            target, before, slot = m.places(h, at)
-            logs = (m.log_probs(target, before) + m.log_inside(slot, before)) / np.log(10)
-            g = np.maximum(target - m.first_tail, 0)
-            inside = np.where(c > 0, np.log10(np.maximum(c, 1) / tails[g]) + np.log10(1 - unmet[g]), np.log10(unmet[g]))
-            logs += np.where(target >= m.first_tail, inside, 0.0)
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": part.column("id"),
-                        "held_out": pa.array(~part.column("learn").to_numpy(zero_copy_only=False).astype(bool)),
-                        "n_tokens": pa.array(np.diff(at).astype(np.int64)),
-                        "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at[:-1])),
-                        "train_tokens": pa.array(np.full(len(at) - 1, n_all, np.int64)),
-                        "base_score": pa.array(np.add.reduceat(base, at[:-1])),
-                        "score": pa.array(np.add.reduceat(logs, at[:-1])),
-                    }
-                )
-            )
-        return pa.concat_tables(out) if out else pa.table({f: pa.array([], t) for f, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-
-    return rows.select("id", "text", "learn", "block").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+        if not left.num_rows:
+            return empty
+        row = {c: left.column(c).combine_chunks().flatten() for c in left.column_names if c != "block"}
+        tail = (row["words"].to_numpy() & (TAILS - 1)).astype(np.int64)
+        c = np.zeros(len(tail))
+        if right.num_rows:
+            c[right.column("place").to_numpy()] = right.column("n").to_numpy()
+        inside = np.where(c > 0, np.log10(np.maximum(c, 1) / tails[tail]) + np.log10(1 - unmet[tail]), np.log10(unmet[tail]))
+        at, other = row["at"].to_numpy().astype(np.int64), row["other"].to_numpy()
+
+        def add(name: str, values: np.ndarray) -> pa.Array:
+            upto = np.concatenate([[0], np.cumsum(values[other], dtype=np.longdouble if values.dtype.kind == "f" else np.int64)])
+            return pa.array((row[name].to_numpy() + (upto[at[1:]] - upto[at[:-1]])).astype(values.dtype))
+
+        return pa.table(
+            {
+                "doc_id": row["doc_id"],
+                "held_out": pa.array(~row["learn"].to_numpy(zero_copy_only=False).astype(bool)),
+                "n_tokens": row["n_tokens"],
+                "n_known": add("n_known", (c > 0).astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(row["doc_id"]), n_all, np.int64)),
+                "base_score": add("base", np.log10((c + ALPHA) / scale)),
+                "score": add("score", inside),
+            }
+        )
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("owner")).applyInArrow(run, schema)
