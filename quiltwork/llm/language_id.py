@@ -21,52 +21,68 @@ from pyspark.sql import functions as F
 from quiltwork.llm.common import byte_view, small_batches
 
 ORDER = 3
-#: Bounds of the training sample: documents a language, stretches of a document, bytes of a stretch.
-SAMPLE_DOCS, STRETCHES, STRETCH_BYTES = 160, 8, 512
+#: Bound of the training sample: documents a language, each taken whole.
+SAMPLE_DOCS = 160
 #: Contexts up to which a language's tree has a table of all of them.
 DENSE = 1 << 22
 UNKNOWN = "und"
 
 
-def stretches(text: str | None, count: int = STRETCHES, size: int = STRETCH_BYTES) -> bytes:
-    """Up to ``count`` stretches of ``size`` bytes, evenly spread over the whole text."""
-    raw = (text or "").encode()
-    if len(raw) <= count * size:
-        return raw
-    starts = np.linspace(0, len(raw) - size, count).astype(int)
-    return b"".join(raw[s : s + size] for s in starts)
+#: One language's counts: for each context length the (context, next byte) pairs as one number, sorted, and how often.
+Counts = list[tuple[np.ndarray, np.ndarray]]
 
 
-def _sample(train: DataFrame) -> dict[str, list[bytes]]:
-    """Training texts by language: at most SAMPLE_DOCS documents of each language."""
+def count_pairs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``length`` + 1 bytes inside the texts, as big-endian numbers, and how often each occurs."""
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    at = np.flatnonzero(place >= length)
+    key = np.zeros(len(at), np.int64)
+    for back in range(length, -1, -1):
+        key = key << 8 | data[at - back]
+    return np.unique(key, return_counts=True)
+
+
+def _sample(train: DataFrame) -> dict[str, Counts]:
+    """Counts by language, of at most SAMPLE_DOCS documents of each language."""
     small_batches(train.sparkSession)
-    ids = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    texts = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id").distinct()
+    ids = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([stretches(t) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "lang", "raw"])
+            langs = np.array(b.column(0).to_pylist(), object)
+            for lang in sorted(set(langs)):
+                data, offsets = byte_view(b.column(1).filter(pa.array(langs == lang)))
+                for length in range(ORDER + 1):
+                    keys, n = count_pairs(data, offsets, length)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), length, np.int32)), pa.array(keys), pa.array(n)], ["lang", "length", "key", "n"])
 
-    texts = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # the ids are at most SAMPLE_DOCS a language
-    rows = texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(cut, "doc_id long, lang string, raw binary").collect()
-    out: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["raw"]))):
-        if len(out.setdefault(r["lang"], [])) < SAMPLE_DOCS:
-            out[r["lang"]].append(bytes(r["raw"]))
+    pairs = texts.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(run, "lang string, length int, key long, n long")
+    # as many rows as the sample has different runs of bytes
+    table = pairs.groupBy("lang", "length", "key").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("length", "ascending"), ("key", "ascending")])
+    langs, lengths = table.column("lang").to_pylist(), table.column("length").to_numpy()
+    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+    empty = np.zeros(0, np.int64)
+    out: dict[str, Counts] = {lang: [(empty, empty)] * (ORDER + 1) for lang in dict.fromkeys(langs)}
+    bounds = [0, *(k for k in range(1, len(langs)) if langs[k] != langs[k - 1] or lengths[k] != lengths[k - 1]), len(langs)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if a < b:
+            out[langs[a]][int(lengths[a])] = (keys[a:b], n[a:b])
     return out
 
 
 class Model:
     """Context trees of all languages as lookup tables."""
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
-        self.langs = sorted(samples)
+    def __init__(self, counts: dict[str, Counts], order: int = ORDER):
+        self.langs = sorted(counts)
         seen = np.zeros(256, bool)
-        for texts in samples.values():
-            for t in texts:
-                seen[np.frombuffer(t, np.uint8)] = True
+        for own in counts.values():
+            seen[own[0][0]] = True
         known = np.flatnonzero(seen)
         #: symbols: 0 is any byte that no sample has, and the time before a text
         self.width = len(known) + 1
@@ -78,10 +94,20 @@ class Model:
         self.nodes: list = []
         self.bits: list[np.ndarray] = []
         for lang in self.langs:
-            nodes, bits = self._tree(samples[lang])
+            nodes, bits = self._tree(counts[lang])
             self.nodes.append(nodes)
             self.bits.append(bits.reshape(-1))
 
+    @classmethod
+    def of(cls, samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
+        """A model of whole texts by language."""
+        counts = {}
+        for lang, texts in samples.items():
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            counts[lang] = [count_pairs(data, offsets, k) for k in range(order + 1)]
+        return cls(counts, order)
+
     def contexts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each byte's symbol and the code of the ``order`` symbols before it, within its text."""
         symbols = self.symbol[data]
@@ -97,29 +123,29 @@ class Model:
             code += shifted
         return symbols, code
 
-    def _tree(self, texts: list[bytes]) -> tuple[np.ndarray | list, np.ndarray]:
+    def _tree(self, counts: Counts) -> tuple[np.ndarray | list, np.ndarray]:
         w = self.width
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        symbols, code = self.contexts(data, offsets)
         table = np.zeros(w**self.order, np.int32) if self.dense else []
-        # the empty context; below it every byte costs 8 bits
-        base = np.full(w, 1 / 256)
-        probs = [self._node(np.bincount(symbols, minlength=w), base, 256 - (w - 1))]
+        probs: list[np.ndarray] = []
         parent_of: dict[int, int] = {}
-        for k in range(1, self.order + 1):
-            short = code % w**k
-            inside = short >= w ** (k - 1)  # the symbol furthest back is a known byte
-            for j in range(k - 1):
-                inside &= short // w**j % w > 0
-            keys, places = np.unique(short[inside], return_inverse=True)
-            counts = np.zeros((len(keys), w))
-            np.add.at(counts, (places, symbols[inside]), 1)
+        for k in range(self.order + 1):
+            pairs, n = counts[k]
+            # a context's code has its nearest byte in the lowest place
+            code = np.zeros(len(pairs), np.int64)
+            for back in range(k, 0, -1):
+                code = code * w + self.symbol[pairs >> 8 * back & 255]
+            order = np.argsort(code, kind="stable")
+            code, after, n = code[order], self.symbol[pairs[order] & 255], n[order]
+            keys, first = np.unique(code, return_index=True)
+            bounds = np.append(first, len(code))
+            if k == 0:  # the empty context; below it every byte costs 8 bits
+                probs.append(self._node(np.bincount(after, n, w), np.full(w, 1 / 256), 256 - (w - 1)))
+                continue
             nodes = {}
             for row, key in enumerate(keys.tolist()):
-                parent = parent_of.get(key % w ** (k - 1), 0) if k > 1 else 0
+                own = slice(bounds[row], bounds[row + 1])
                 nodes[key] = len(probs)
-                probs.append(self._node(counts[row], probs[parent], 256 - (w - 1)))
+                probs.append(self._node(np.bincount(after[own], n[own], w), probs[parent_of.get(key % w ** (k - 1), 0)], 256 - (w - 1)))
             if self.dense:
                 view = table.reshape(-1, w**k)
                 for key, node in nodes.items():
@@ -171,7 +197,11 @@ class Model:
 
 
 def fit(train: DataFrame) -> Model:
-    """A model of the rows of ``train`` (doc_id, text, lang) with neither text nor lang null."""
+    """A model of the rows of ``train`` with neither doc_id, text nor lang null, whole texts.
+
+    Of more than SAMPLE_DOCS rows of a language the first by a hash of doc_id are taken, with all rows that repeat
+    their doc_id; an empty table gives a model without languages.
+    """
     return Model(_sample(train))
 
 
@@ -193,7 +223,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every whole text.
 
     lang_pred is ``und`` and score 0 if the text is null, empty or has no letter, or no language was learned.
-    Of equal code lengths the first language by name wins.  Equal texts are judged alike.
+    Of equal code lengths the first language by name wins.  Equal texts and repeated rows are judged alike, texts of
+    any length are coded whole, other columns are ignored, and an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
@@ -211,7 +242,8 @@ def keep_known(docs: DataFrame, model: Model, most_bits: float = 8.0) -> DataFra
     """The rows of ``docs``, all columns, whose text is in some learned language.
 
     Rejected: ``und``, and texts that even the best language codes with more than ``most_bits`` a byte, that is,
-    worse than no model at all.
+    worse than no model at all; null and empty texts are ``und``.  Repeated rows are kept or rejected alike, with or
+    without doc_id; texts of any length are coded whole; columns of any name are carried along.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -82,14 +82,50 @@ def test_language_id_keeps_its_order_on_any_alphabet(monkeypatch):
     rng = np.random.default_rng(2)
     many = "".join(map(chr, range(32, 127))) + "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 3000))) + "".join(map(chr, rng.integers(0xA1, 0x7FF, 3000)))
     samples = {"a": [b"some plain words of a text", many.encode()], "b": [many[::-1].encode()]}
-    wide = language_id.Model(samples)
+    wide = language_id.Model.of(samples)
     assert wide.width**3 > language_id.DENSE and wide.order == language_id.ORDER
     plain = {"a": [b"some plain words of a text, and more"], "b": [b"einige andere Worte", b"", b"x"]}
     data = np.frombuffer(b"some other words of einige Worte, zq", np.uint8)
     offsets = np.array([0, 5, 5, 20, len(data)])
-    dense = language_id.Model(plain).code_lengths(data, offsets)
+    dense = language_id.Model.of(plain).code_lengths(data, offsets)
     monkeypatch.setattr(language_id, "DENSE", 0)
-    assert np.array_equal(language_id.Model(plain).code_lengths(data, offsets), dense)
+    assert np.array_equal(language_id.Model.of(plain).code_lengths(data, offsets), dense)
+
+
+def ppm_bits(texts, text, order=3):
+    """Bits of a text, straight from the definition."""
+    table = defaultdict(Counter)
+    for t in texts:
+        for i in range(len(t)):
+            for k in range(min(i, order) + 1):
+                table[t[i - k : i]][t[i]] += 1
+    known = {}
+
+    def spread(context):
+        if context is None:
+            return [1 / 256] * 256
+        if context not in known:
+            below = spread(context[1:] if context else None)
+            count = table.get(context)
+            if not count:
+                known[context] = below
+            else:
+                n, d = sum(count.values()), len(count)
+                room = 1 - sum(below[b] for b in count)
+                known[context] = [count[b] / (n + d) if b in count else below[b] / room * d / (n + d) for b in range(256)]
+        return known[context]
+
+    return sum(-math.log2(spread(text[max(0, i - order) : i])[text[i]]) for i in range(len(text)))
+
+
+def test_language_id_code_lengths_are_those_of_the_definition():
+    rng = np.random.default_rng(4)
+    samples = {lang: [bytes(rng.choice(list(letters), int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(6)] for lang, letters in (("a", b"abcd e"), ("b", b"bcdxyz "), ("c", bytes(range(120, 255))))}
+    texts = [samples["a"][0][:50] + b"zzq" + samples["b"][1][:40], samples["c"][2], b"", b"Q", b"abab ab"]
+    model = language_id.Model.of(samples)
+    got = model.code_lengths(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    want = [[ppm_bits(samples[lang], t) for lang in model.langs] for t in texts]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
 
 
 def test_language_id_learns_every_language(spark):
@@ -316,6 +352,53 @@ def test_lm_words_inside_classes_depend_on_context():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_lm_score_is_that_of_the_definition(spark, monkeypatch):
+    held = {}
+    train = lm_score._train
+
+    def keep(*a):
+        held["model"], held["known"], held["tails"], held["once"] = out = train(*a)
+        return out
+
+    monkeypatch.setattr(lm_score, "_train", keep)
+    monkeypatch.setattr(lm_score, "CLASSES", 8)
+    monkeypatch.setattr(lm_score, "CONTEXTS", 40)
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"W{min(int(x), 90)}x" for x in rng.zipf(1.3, int(rng.integers(0, 60))))) for k in range(60)]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    m = held["model"]
+    count = Counter(x for d, t in rows if zlib.crc32(str(d).encode()) % 10 for x in [*words(t), None])
+    number = {}
+    for d, t in rows:
+        h = lm_score.tokens(*byte_view(pa.array([t])))[0].tolist()
+        number |= dict(zip([*words(t), None], h, strict=True))
+    c_of = {number[w]: n for w, n in count.items()}
+    inside = set(m.context_words.tolist())
+    for d, t in rows:
+        h, total = [number[w] for w in [*words(t), None]], 0.0
+        for i, x in enumerate(h):
+            state = np.zeros(lm_score.DIM)
+            for k in range(lm_score.BEFORE):
+                j = i - 1 - k
+                row = len(m.context_words) + 1 if j < 0 else (int(np.searchsorted(m.context_words, np.uint64(h[j]))) if h[j] in inside else len(m.context_words))
+                state += m.embed[row] * m.place[k]
+            scores = m.output @ state + m.bias
+            tail = x % lm_score.TAILS
+            at = int(np.searchsorted(m.context_words, np.uint64(x))) if x in inside else -1
+            y = int(m.own_class[at]) if at >= 0 else m.first_tail + tail
+            total += scores[y] - np.log(np.exp(scores).sum())
+            slot = int(m.own_slot[at]) if at >= 0 else -1
+            if slot >= 0:
+                g = slot // lm_score.GROUP * lm_score.GROUP
+                own = m.inner[g : g + lm_score.GROUP] @ state + m.inner_bias[g : g + lm_score.GROUP]
+                total += own[slot - g] - np.log(np.exp(own).sum())
+            elif at < 0:
+                size = max(1.0, held["tails"][tail])
+                unmet = min(0.9, max(held["once"][tail], 1) / size)
+                total += math.log(c_of[x] / size * (1 - unmet)) if x in c_of else math.log(unmet)
+        assert abs(total / math.log(10) - got[d].score) < 1e-3 * max(1, len(h))
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -386,6 +469,36 @@ def test_quality_model(spark):
     assert auc > 0.9, auc
 
 
+def test_quality_model_is_that_of_the_definition():
+    rng = np.random.default_rng(9)
+    net = quality_model.Network(quality_model._first_filters(rng), rng.normal(0, 0.1, quality_model.FILTERS).astype(np.float32), rng.normal(0, 1, quality_model.FILTERS).astype(np.float32), 0.3)
+    for size in (0, 1, 5, 256, 257, 512, 1000):
+        text = bytes(rng.integers(0, 256, size).astype(np.uint8))
+        blocks = [range(a, min(a + 256, size)) for a in range(0, size, 256)]
+        chunks = [[*b, *(blocks[k + 1] if k + 1 < len(blocks) else [])] for k, b in enumerate(blocks)]
+        values = []
+        for chunk in chunks:
+            top = [max(net.bias[f] + sum(net.filters[k, text[i + k], f] for k in range(quality_model.WIDTH) if i + k < size) for i in chunk) for f in range(quality_model.FILTERS)]
+            values.append(sum(max(x, 0) * w for x, w in zip(top, net.out, strict=True)))
+        want = 0.3 + (sum(values) / len(values) if values else 0)
+        assert abs(net.logits(np.frombuffer(text, np.uint8), np.array([0, size]))[0] - want) < 1e-3
+
+
+def test_quality_model_learns_what_stands_anywhere_in_a_text():
+    rng = np.random.default_rng(1)
+    texts, labels = [], []
+    for k in range(400):
+        body = bytearray(rng.integers(97, 123, 3000).astype(np.uint8).tobytes())
+        if k % 2:
+            for at in rng.integers(0, 2990, 30):
+                body[at : at + 3] = b"#$%"
+        texts.append(bytes(body))
+        labels.append(1 - k % 2)
+    net = quality_model.train_network(texts[:300], np.array(labels[:300], np.float32), 0.5, steps=60)
+    got = [net.logits(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] > 0 for t in texts[300:]]
+    assert np.mean(np.array(got) == np.array(labels[300:], bool)) > 0.95
+
+
 def test_quality_model_scores_each_text_alone(spark):
     rng = np.random.default_rng(2)
     texts = [b"", b"a", b"good text " * 500, rng.integers(0, 255, 5000).astype(np.uint8).tobytes(), b"x" * 257]
