@@ -3,8 +3,9 @@
 Equal vectors are one point.  Points are dealt out to shards by a hash; in each shard a hierarchical navigable
 small-world graph is built, kept as flat arrays (for each layer its points and a points x links table of
 neighbours), and written as one row.  Inner products become distances by one more coordinate that makes all stored
-vectors equally long.  Queries, in blocks, search every shard; results are merged, and the members of a point are
-given out by their ids.  Many queries, or many new points, walk a graph side by side in numpy.
+vectors equally long.  Queries, packed into blocks of one row each, search every shard; results are merged, and the
+members of a point are given out by their ids.  Many queries, or many new points, walk a graph side by side in numpy.
+Shards grow with the root of the number of points, up to a bound, so that a query meets few of them.
 """
 
 from __future__ import annotations
@@ -14,14 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltwork.llm.common import Scratch, mix64
 
-LINKS, BUILD_WIDTH, SEARCH_WIDTH, LAYER_RATIO = 24, 64, 160, 16
-#: At least so many shards for parallel work; more so that none has more than so many points.
-SHARDS, SHARD_POINTS, QUERY_BLOCK = 16, 10_000, 4096
+LINKS, GROUND_LINKS, BUILD_WIDTH, LAYER_RATIO = 24, 48, 64, 16
+#: Points that a walk steps on at a time, points of the largest norm at which a search may start.
+STEPS, PIVOTS = 3, 256
+#: At least so many shards for parallel work; points of a shard, least and most where there are more; queries of a block.
+SHARDS, SHARD_POINTS, MOST_POINTS, QUERY_BLOCK = 16, 10_000, 100_000, 16_384
+
+
+def search_width(points: int) -> int:
+    """Width of the last walk in a graph of so many points."""
+    return max(160, min(400, points // 20))
 
 
 class Graph:
@@ -45,16 +53,13 @@ class Graph:
         found = np.full((q, width), n, np.int64)
         score = np.full((q, width), -np.inf, np.float32)
         done = np.ones((q, width), bool)
-        entries = np.where(entries < 0, n, entries)
-        entries = np.sort(entries, axis=1)
-        again = np.zeros_like(entries, bool)
-        again[:, 1:] = entries[:, 1:] == entries[:, :-1]
-        entries = np.where(again, n, entries)
-        new = entries
+        new = np.where(entries < 0, n, entries)
         active = np.arange(q)
         while len(active):
             mine = rows[: len(active)]
+            new = np.sort(new, axis=1)
             fresh = new < n
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
             fresh &= ~seen[active[:, None], new]
             seen[active[:, None], new] = True
             at = np.where(fresh, new, 0)
@@ -66,15 +71,16 @@ class Graph:
             score[active] = both_s[mine, order]
             done[active] = np.concatenate([done[active], ~fresh], axis=1)[mine, order]
             waiting = np.where(done[active], -np.inf, score[active])
-            best = waiting.argmax(axis=1)
-            go = np.isfinite(waiting[np.arange(len(active)), best])
-            active, best = active[go], best[go]
+            best = np.argpartition(-waiting, STEPS - 1, axis=1)[:, :STEPS] if width > STEPS else np.argsort(-waiting, axis=1)
+            ok = np.isfinite(np.take_along_axis(waiting, best, 1))
+            go = ok.any(axis=1)
+            active, best, ok = active[go], best[go], ok[go]
             if not len(active):
                 break
-            done[active, best] = True
-            here = found[active, best]
+            done[active[:, None], best] = True
+            here = np.where(ok, found[active[:, None], best], 0)
             new = links[here if place is None else place[here]]
-            new = np.where(new < 0, n, new)
+            new = np.where((new < 0) | ~ok[:, :, None], n, new).reshape(len(active), -1)
         order = np.argsort(-score, axis=1, kind="stable")
         return np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
 
@@ -84,16 +90,23 @@ class Graph:
         top = self.layers[-1][0]
         entries = np.broadcast_to(top[:1], (q, 1))
         if len(top) <= 256:  # the top layer is small: start at its best points
-            s = queries @ self.points[top].T
-            k = min(4, len(top))
-            entries = top[np.argpartition(-s, k - 1, axis=1)[:, :k]]
+            entries = self._best(queries, top)
         for level in range(len(self.layers) - 1, ground - 1, -1):
             members, links = self.layers[level]
             place = None if level == 0 else self._places(level)
+            if level == 0:
+                # the last coordinate is what a vector lacks in length
+                pivots = np.argsort(self.points[:, -1], kind="stable")[:PIVOTS]
+                entries = np.concatenate([entries, self._best(queries, pivots)], axis=1)
             found, score = self._walk(queries, links, entries, width if level == ground else 8, place)
             entries = np.where(np.isfinite(score), found, -1)
         return found, score
 
+    def _best(self, queries: np.ndarray, points: np.ndarray, k: int = 4) -> np.ndarray:
+        """The best few of ``points`` for each query."""
+        k = min(k, len(points))
+        return points[np.argpartition(-(queries @ self.points[points].T), k - 1, axis=1)[:, :k]]
+
     def _places(self, level: int) -> np.ndarray:
         place = np.zeros(len(self.points) + 1, np.int64)
         place[self.layers[level][0]] = np.arange(len(self.layers[level][0]))
@@ -112,7 +125,7 @@ class Graph:
             levels += 1
         for level in range(levels - 1, -1, -1):
             members = np.flatnonzero(height >= level)
-            self.layers.insert(0, (members, np.full((len(members), LINKS), -1, np.int64)))
+            self.layers.insert(0, (members, np.full((len(members), LINKS if level else GROUND_LINKS), -1, np.int64)))
             self._fill(members, level)
         return self
 
@@ -127,7 +140,7 @@ class Graph:
             x = self.points[block]
             inner = x @ x.T
             np.fill_diagonal(inner, -np.inf)
-            k = min(LINKS, len(block) - 1)
+            k = min(links.shape[1], len(block) - 1)
             near = np.argsort(-inner, axis=1)[:, :k]
             cand, score = block[near], np.take_along_axis(inner, near, 1)
             if done:
@@ -148,15 +161,15 @@ class Graph:
                 f, s = self._walk(x, links, entries, BUILD_WIDTH, place)
                 cand, score = np.concatenate([cand, f], axis=1), np.concatenate([score, s], axis=1)
             own = np.arange(done, done + len(block))
-            links[own] = self._spread(block, cand, score)
+            links[own] = self._spread(block, cand, score, links.shape[1])
             self._link_back(own, members, links, place)
             done += len(block)
 
-    def _spread(self, block: np.ndarray, cand: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """Of the candidates those that are nearer to the point than to any neighbour taken before; then the nearest of the rest."""
+    def _spread(self, block: np.ndarray, cand: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+        """``most`` links: of the candidates those that are nearer to the point than to any neighbour taken before; then the nearest of the rest."""
         n = len(self.points)
         score = np.where((cand < n) & (cand >= 0) & (cand != block[:, None]), score, -np.inf)
-        order = np.argsort(-score, axis=1, kind="stable")[:, : BUILD_WIDTH]
+        order = np.argsort(-score, axis=1, kind="stable")[:, : max(BUILD_WIDTH, most + 16)]
         cand, score = np.take_along_axis(cand, order, 1), np.take_along_axis(score, order, 1)
         valid = np.isfinite(score)
         vectors = self.points[np.where(valid, cand, 0)]
@@ -165,19 +178,19 @@ class Graph:
         count = np.zeros(len(block), int)
         for k in range(cand.shape[1]):
             rival = (between[:, k, :] > score[:, k, None]) & taken
-            ok = valid[:, k] & ~rival.any(axis=1) & (count < LINKS)
+            ok = valid[:, k] & ~rival.any(axis=1) & (count < most)
             taken[:, k] = ok
             count += ok
         rank = np.where(taken, 0, np.where(valid, 1, 2)) * cand.shape[1] + np.arange(cand.shape[1])
-        order = np.argsort(rank, axis=1, kind="stable")[:, :LINKS]
+        order = np.argsort(rank, axis=1, kind="stable")[:, :most]
         out = np.where(np.take_along_axis(valid, order, 1), np.take_along_axis(cand, order, 1), -1)
-        if out.shape[1] < LINKS:
-            out = np.pad(out, ((0, 0), (0, LINKS - out.shape[1])), constant_values=-1)
+        if out.shape[1] < most:
+            out = np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
         return out
 
     def _link_back(self, own: np.ndarray, members: np.ndarray, links: np.ndarray, place: np.ndarray) -> None:
         """Neighbours get a link back; a full list is chosen anew from its links and the new one."""
-        source = np.repeat(members[own], LINKS)
+        source = np.repeat(members[own], links.shape[1])
         target = links[own].reshape(-1)
         ok = target >= 0
         source, target = source[ok], target[ok]
@@ -185,7 +198,7 @@ class Graph:
         source, target = source[order], target[order]
         heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, int)
         bounds = np.append(heads, len(target))
-        crowded, extra = [], []
+        crowded, extra, most = [], [], links.shape[1]
         for k in range(len(heads)):
             t, new = target[heads[k]], source[bounds[k] : bounds[k + 1]]
             row = links[place[t]]
@@ -195,7 +208,7 @@ class Graph:
                 row[free[: len(new)]] = new
             else:
                 crowded.append(t)
-                extra.append(new[:LINKS] if len(new) <= LINKS else new[np.argsort(-(self.points[new] @ self.points[t]))[:LINKS]])
+                extra.append(new if len(new) <= most else new[np.argsort(-(self.points[new] @ self.points[t]))[:most]])
         if crowded:
             crowded = np.array(crowded)
             width = max(map(len, extra))
@@ -204,7 +217,7 @@ class Graph:
                 more[k, : len(e)] = e
             cand = np.concatenate([links[place[crowded]], more], axis=1)
             score = np.einsum("qkd,qd->qk", self.points[np.maximum(cand, 0)], self.points[crowded], optimize=False)
-            links[place[crowded]] = self._spread(crowded, cand, np.where(cand >= 0, score, -np.inf))
+            links[place[crowded]] = self._spread(crowded, cand, np.where(cand >= 0, score, -np.inf), most)
 
     # ------------------------------------------------ flat form
 
@@ -230,83 +243,88 @@ class Graph:
 # ---------------------------------------------------------------- Spark
 
 
-def _points(vectors: DataFrame, k: int) -> DataFrame:
-    """point, vec: distinct usable vectors; ids: the least k+1 of its vec_ids; a shard by the vector's hash."""
-    value = F.col("vec")
-    usable = F.size(value) > 0
+def _finite(value: Column) -> Column:
+    """A vector that takes part: not null, empty or zero, and without null or non-finite components."""
     bad = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & value.isNotNull())
-    rows = rows.where(usable & ~bad & F.exists(value, lambda x: x != 0))
-    rows = rows.withColumn("vec", F.transform(value, lambda x: x + F.lit(0.0))).withColumn("point", F.xxhash64("vec"))
+    return value.isNotNull() & (F.size(value) > 0) & ~bad & F.exists(value, lambda x: x != 0)
+
+
+def _points(vectors: DataFrame, k: int) -> DataFrame:
+    """vec_id, vec, dim, point (the vector's hash): of each distinct vector the least k+1 of its vec_ids."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & _finite(F.col("vec")))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).withColumn("point", F.xxhash64("vec"))
     rank = Window.partitionBy("point", "vec").orderBy("vec_id")
-    return rows.distinct().withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k + 1)
+    return rows.distinct().withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= k + 1).select("vec_id", "vec", F.size("vec").alias("dim"), "point")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, width: int = SEARCH_WIDTH) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, width: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest of each row whose vec_id is divisible by ``every``.
 
     Nearness is the inner product in double precision; equal scores go by vec_id.  Rows with a null id or vector, an
-    empty or zero vector, or a null or non-finite component take no part; vectors of other lengths than the most
-    common one neither.  Repeated (vec_id, vector) rows count once.  An empty table gives no rows.
+    empty or zero vector, or a null or non-finite component take no part; vectors of different lengths have no inner
+    product and are searched apart.  Repeated (vec_id, vector) rows count once; a vec_id with several vectors may be
+    found by each, and asks with each, of which the best answers count.  Other columns are ignored.  An empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    usable = _points(vectors, k).drop("_k")
-    length = usable.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not length:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = length[0]["d"]
-    members = scratch.keep(usable.where(F.size("vec") == dim))
-    stats = members.agg(F.countDistinct("point").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).collect()[0]
-    shards = max(SHARDS, -(-stats["n"] // SHARD_POINTS))
-    longest = float(stats["top"])
-    points = members.groupBy("point", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("shard", F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int"))
+    members = scratch.keep(_points(vectors, k))
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    n = F.count_distinct("point")
+    size = F.greatest(F.lit(SHARD_POINTS), F.least(F.lit(MOST_POINTS), (10 * F.sqrt(n)).cast("int")))
+    dims = scratch.keep(members.groupBy("dim").agg(F.greatest(F.lit(SHARDS), F.ceil(n / size)).cast("int").alias("shards"), F.max(norm).alias("longest")))
+    points = members.groupBy("dim", "point", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    points = points.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("point"), F.col("shards")).cast("int"))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
         x = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         order = np.argsort(mix64(table.column("point").to_numpy().view(np.uint64)), kind="stable")
         x = x[order]
-        more = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))
+        more = np.sqrt(np.maximum(table.column("longest")[0].as_py() - (x * x).sum(axis=1), 0))
         graph = Graph.build(np.concatenate([x, more[:, None]], axis=1).astype(np.float32))
         ids = table.column("ids").combine_chunks().take(pa.array(order))
         vec = io.BytesIO()
         np.save(vec, x)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "graph": pa.array([graph.dump()], pa.binary()), "vectors": pa.array([vec.getvalue()], pa.binary()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "graph": pa.array([graph.dump()], pa.binary()), "vectors": pa.array([vec.getvalue()], pa.binary()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
-    index = scratch.keep(points.select("shard", "point", "vec", "ids").groupBy("shard").applyInArrow(build, "shard int, graph binary, vectors binary, ids array<array<bigint>>"))
+    index = scratch.keep(points.select("dim", "shard", "point", "vec", "ids", "longest").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, vectors binary, ids array<array<bigint>>"))
 
     wanted = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    wanted = wanted.where((F.col("query_id") % every == 0) & (F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)).distinct()
-    # the stated queries meet all shards, in blocks
-    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
-    spread = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    wanted = wanted.where((F.col("query_id") % every == 0) & _finite(F.col("vec"))).distinct().withColumn("dim", F.size("vec"))
+    # the stated queries meet all shards of their length; a block of them travels as one row
+    sizes = wanted.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
+    dealt = wanted.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    asks = scratch.keep(dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vec")).alias("asks")))
+    pairs = scratch.keep(index.select("dim", "shard").join(asks.select("dim", "block"), "dim"))
+    left = pairs.join(asks, ["dim", "block"]).groupBy("dim", "block", "shard")
+    right = pairs.select(F.col("dim").alias("d"), F.col("block").alias("b"), F.col("shard").alias("s")).join(index.select(F.col("dim").alias("d"), F.col("shard").alias("s"), "graph", "vectors", "ids"), ["d", "s"]).groupBy("d", "b", "s")
 
     schema = "query_id long, vec_id long, score double"
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return empty
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         graph = Graph.load(right.column("graph")[0].as_py())
         stored = np.load(io.BytesIO(right.column("vectors")[0].as_py()))
         ids = right.column("ids")[0].as_py()
-        names = left.column("query_id").to_numpy()
-        q = left.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        asked = left.column("asks").combine_chunks().flatten()
+        names = asked.field(0).to_numpy()
+        q = asked.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, stored.shape[1])
         out: tuple[list, list, list] = ([], [], [])
         for a in range(0, len(q), 128):
             block = q[a : a + 128]
-            found, got = graph.search(np.concatenate([block, np.zeros((len(block), 1))], axis=1).astype(np.float32), width)
+            found, got = graph.search(np.concatenate([block, np.zeros((len(block), 1))], axis=1).astype(np.float32), width or search_width(len(stored)))
             for j, name in enumerate(names[a : a + 128].tolist()):
                 near = found[j][np.isfinite(got[j])]
                 exact = stored[near] @ block[j]
-                pairs = [(-s, i) for s, p in zip(exact.tolist(), near.tolist(), strict=True) for i in ids[p] if i != name]
-                for s, i in sorted(pairs)[:k]:
+                best = [(-s, i) for s, p in zip(exact.tolist(), near.tolist(), strict=True) for i in ids[p] if i != name]
+                for s, i in sorted(best)[:k]:
                     out[0].append(name)
                     out[1].append(i)
                     out[2].append(-s)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    parts = spread.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(run, schema)
+    parts = left.cogroup(right).applyInArrow(run, schema)
+    if not members.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # ids with several vectors
+        parts = parts.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

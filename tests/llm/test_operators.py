@@ -60,6 +60,24 @@ def test_ann_repeated_rows_leave_room_for_others(spark):
     assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 3] == [1, 2]
 
 
+def test_ann_lengths_are_searched_apart(spark):
+    rows = [(k, [float(k + 1)] * (2 + k % 2)) for k in range(12)]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20, every=4).collect()
+    assert {q: {r.vec_id for r in out if r.query_id == q} for q in (0, 4, 8)} == {q: {k for k in range(0, 12, 2) if k != q} for q in (0, 4, 8)}
+
+
+def test_ann_recall_in_a_shard_of_the_design_size():
+    """Hard vectors (no clusters, 64 components), as many as a shard holds; equal and unequal lengths."""
+    rng = np.random.default_rng(0)
+    for spread in (0.0, 0.4):
+        x = rng.normal(size=(ann.SHARD_POINTS, 64)) * np.exp(rng.normal(0, spread, (ann.SHARD_POINTS, 1)))
+        sizes = (x * x).sum(1)
+        graph = ann.Graph.build(np.concatenate([x, np.sqrt(sizes.max() - sizes)[:, None]], axis=1).astype(np.float32))
+        found, _ = graph.search(np.concatenate([x[:128], np.zeros((128, 1))], axis=1).astype(np.float32), ann.search_width(len(x)))
+        want = np.argsort(-(x[:128] @ x.T), axis=1)[:, :20]
+        assert np.mean([len(set(f[:20]) & set(w)) / 20 for f, w in zip(found.tolist(), want.tolist(), strict=True)]) >= 0.9
+
+
 # ---------------------------------------------------------------- 3
 
 
