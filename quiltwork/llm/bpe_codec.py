@@ -48,7 +48,11 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded, and its ids are decoded again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded, and its ids are decoded again.
+
+    A null text is empty and has no ids.  Texts of any length are taken whole, rows one by one (repeated ones and those
+    without doc_id too); other columns are ignored; an empty table gives no rows.
+    """
     path = tokenizer or bpe.default_path()
     small_batches(docs.sparkSession)
 

@@ -147,13 +147,23 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 
 def assign(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
-    """Rows of ``items`` (any columns; ``length`` from 1 to ``capacity``) with sequence_id and offset."""
+    """Rows of ``items`` with sequence_id and offset.
+
+    ``length`` is from 1 to ``capacity``; a row without one, or with another, raises an error.  Other columns may have
+    any names but ``sequence_id`` and ``offset``, which are replaced.  Rows of equal length are interchangeable, so
+    repeated rows are packed one by one; an empty table gives no rows.
+    """
+    columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    items = items.select(*columns)
     spark = items.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    kept = scratch.keep(items.withColumn("_part", F.spark_partition_id()))
-    counts = kept.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = scratch.keep(counts.withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    kept = scratch.keep(items.withColumn("_qw_part", F.spark_partition_id()))
+    bad = kept.where(F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity))
+    if not bad.isEmpty():
+        raise ValueError(f"length must be from 1 to {capacity}")
+    counts = kept.groupBy("_qw_part", "length").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("_qw_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = scratch.keep(counts.withColumn("_qw_first", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     runs, _ = plan(histogram, capacity)
     # The plan's size is bounded by the capacity, not by the number of documents.
@@ -161,26 +171,30 @@ def assign(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None =
     for r in runs:
         table.setdefault(r[0], []).append(r)
     shared = spark.sparkContext.broadcast({k: ([r[1] for r in v], v) for k, v in table.items()})
-    own = Window.partitionBy("_part", "length").orderBy(*[F.col(c) for c in ("doc_id", "piece") if c in items.columns])
-    ranked = kept.withColumn("_own", F.row_number().over(own)).join(starts.drop("n"), ["_part", "length"])
-    columns = items.columns
+    own = Window.partitionBy("_qw_part", "length").orderBy(*[F.col(c) for c in ("doc_id", "piece") if c in items.columns])
+    ranked = kept.withColumn("_qw_own", F.row_number().over(own)).join(starts.drop("n"), ["_qw_part", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value
         for b in batches:
             ids, offsets = [], []
-            for length, rank in zip(b.column("length").to_pylist(), b.column("_rank").to_pylist(), strict=True):
+            for length, rank in zip(b.column("length").to_pylist(), b.column("_qw_rank").to_pylist(), strict=True):
                 firsts, own_runs = find[length]
                 _, first, first_bin, each, offset = own_runs[bisect_right(firsts, rank) - 1]
                 ids.append(first_bin + (rank - first) // each)
                 offsets.append(offset + (rank - first) % each * length)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], [*columns, "sequence_id", "offset"])
 
-    ranked = ranked.select(*columns, (F.col("_first") + F.col("_own") - 1).alias("_rank"))
+    ranked = ranked.select(*columns, (F.col("_qw_first") + F.col("_qw_own") - 1).alias("_qw_rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
+
+    A null or empty text is its end id alone; texts of any length are cut into as many pieces as it takes; repeated
+    rows and rows without doc_id are packed as often as they occur; other columns are ignored; an empty table gives
+    no rows.
+    """
     return assign(pieces(docs, tokenizer, capacity, end_id), capacity)

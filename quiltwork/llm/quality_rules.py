@@ -133,7 +133,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     """Counts of ``measure``, base_failed, rejected_by (the rules over their cutoffs) and kept, a row a document.
 
     base_failed: fewer than 10 words, or more than 20 % of them in 5-word windows found twice or more.
-    kept: neither base_failed nor over a cutoff.  Without labels no rule has a cutoff.  An empty table gives no rows.
+    kept: neither base_failed nor over a cutoff.  Without labels no rule has a cutoff.  A null text has no words, a null
+    stratum is one of its own.  Texts of any length are measured whole; repeated rows are judged alike; a label counts
+    for every row of its doc_id, none for rows without doc_id.  Columns of ``docs`` other than doc_id, text and the
+    stratum are ignored, whatever their names.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.keep(measure(docs, stratum))
@@ -149,6 +152,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep; ``doc_id`` is taken as the key."""
+    """The rows of ``docs``, all columns of any names, that the rules keep.
+
+    ``doc_id`` is taken as the key: of rows that share one, or have none, all go if one is rejected.
+    """
     bad = judge(docs, labels, stratum).where(~F.col("kept")).select(F.col("doc_id").alias("_bad"))
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")

@@ -63,7 +63,26 @@ def by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, shards: int = 40) -> DataFrame:
-    """Write whole rows as Parquet, a folder for each shard; returns the placement."""
+    """Write whole rows as Parquet, a folder ``shard=<n>`` for each shard that has rows; returns the placement.
+
+    Every row is written once, with all its columns, also rows with a null or repeated id: rows that are equal in id,
+    checksum and size are numbered and meet their places by these numbers.  If ``docs`` has a column ``shard`` of its
+    own, the folders are named ``shard_``, with as many underscores as it takes.  An empty table writes no rows.
+    """
     placed = by_bytes(docs, shards)
-    docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").write.partitionBy("shard").parquet(path)
+    keys = ["_qw_id", "_qw_crc", "_qw_size"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumns({"_qw_id": F.col("doc_id").cast("long"), "_qw_crc": F.crc32(text.cast("binary")), "_qw_size": (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long")})
+    rows = rows.withColumn("_qw_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    places = placed.select(F.col("doc_id").alias("p0"), F.col("text_crc32").alias("p1"), F.col("size").alias("p2"), F.col("shard").alias("_qw_shard"), F.row_number().over(Window.partitionBy("doc_id", "text_crc32", "size").orderBy("shard", "slot")).alias("p3"))
+    same = None
+    for k, c in enumerate([*keys, "_qw_n"]):
+        one = F.col(c).eqNullSafe(F.col(f"p{k}"))
+        same = one if same is None else same & one
+    joined = rows.join(places, same).select(*docs.columns, F.col("_qw_shard").alias(name))
+    # a shard's rows come together in a bounded number of files
+    joined.repartition(name, F.pmod(F.xxhash64(*docs.columns[:1]), F.lit(8))).write.partitionBy(name).parquet(path)
     return placed

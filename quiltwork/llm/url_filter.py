@@ -20,13 +20,40 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-_BAD = ("spam-farm.example.org", "www.spam-farm.example.net", "m.spam-farm.example.com", "cheap-pills.example.org", "online-casino.example.com", "casino-bonus.example.net", "free-crack.example.net", "click-farm.example.org", "link-farm.example.com", "adult-cams.example.net", "xxx-porn.example.org", "win-prize.example.com", "buy-followers.example.net", "replica-watches.example.org", "payday-loan.example.com", "www.seo-spam.example.org", "adult-video.example.org", "ads-server.example.net", "m.ad-tracker.example.org", "sports-bets.example.com", "blog.casino-games.example.org", "blog.pills-shop.example.com", "www.slots.example.net")
-_GOOD = ("example.com", "www.example.org", "blog.thesh.example.org", "m.tiontion.example.com", "news.example.net", "tionsh.example.net", "docs.example.org", "library.example.com", "www.therti.example.net", "wiki.example.org", "museum.example.net", "school.example.com", "m.thther.example.org", "research.example.net", "blog.tionble.example.com", "www.weather.example.org", "garden.example.net", "m.travel.example.com", "blog.kitchen.example.net", "thanthe.example.org", "m.orchestra.example.org", "bakery.example.com", "www.history.example.net")
-_PATHS = ("/en/12", "/de/7712.html", "/fr/103?page=2", "/es/42802/", "/", "/fr/134567#top")
-_BAD_PATHS = ("/free-casino/bonus", "/cheap-pills/buy-now", "/xxx/porn/live")
-_GOOD_PATHS = ("/news/today", "/guide/start", "/wiki/article")
-#: The small labelled table: 1 stands for block.  Plain paths stand on both sides, so hosts decide there.
-SEEDS = tuple((f"https://{h}{p}", y) for y, hosts, own in ((1, _BAD, _BAD_PATHS), (0, _GOOD, _GOOD_PATHS)) for h in hosts for p in (*_PATHS, *own))
+#: Words of the small labelled table (1 stands for block), written down before looking at any pages.
+_BAD_WORDS = ("spam", "casino", "poker", "pills", "viagra", "porn", "xxx", "adult", "crack", "warez", "replica", "payday", "betting", "escort", "clickbait", "malware")
+_BAD_TAILS = ("farm", "bonus", "cheap", "free", "online", "now")
+_GOOD_WORDS = ("news", "weather", "library", "museum", "school", "garden", "kitchen", "travel", "history", "science", "music", "health", "sport", "forum", "bakery", "research")
+_GOOD_TAILS = ("city", "daily", "guide", "house", "online", "world")
+_PLACES = (("", "test"), ("www.", "invalid"), ("m.", "test"), ("blog.", "invalid"))
+_PLAIN_PATHS = ("/", "/en/12", "/de/7712.html", "/a/103?page=2", "/2021/05/entry/")
+_CONSONANTS, _VOWELS = "bdfghklmnprstvwz", "aeiou"
+
+
+def _names(count: int) -> list[str]:
+    """Names without a meaning, of three syllables each, by a rule: unknown hosts are allowed."""
+    out = []
+    for k in range(count):
+        x = 7919 * k + 13
+        out.append("".join(_CONSONANTS[x // 3**j % len(_CONSONANTS)] + _VOWELS[x // 7**j % len(_VOWELS)] for j in range(3)))
+    return out
+
+
+def seed_table() -> list[tuple[str, int]]:
+    """The small labelled table: hosts of two words or of a name, with plain paths on both sides and words in some paths."""
+    out = []
+    for y, words, tails in ((1, _BAD_WORDS, _BAD_TAILS), (0, _GOOD_WORDS, _GOOD_TAILS)):
+        for k, w in enumerate(words):
+            for j in range(4):
+                sub, top = _PLACES[(k + j) % 4]
+                tail = tails[(k + j) % len(tails)]
+                host = f"{w}-{tail}" if (j + k) % 3 else f"{tail}{w}"
+                out += [(f"https://{sub}{host}.{top}{p}", y) for p in (_PLAIN_PATHS[(k + j) % 5], _PLAIN_PATHS[(k + j + 2) % 5])]
+            out.append((f"https://{_names(32)[k + 16 * y]}.test/{w}/{tails[k % len(tails)]}", y))
+    return out + [(f"https://{sub}{name}.{top}{_PLAIN_PATHS[k % 5]}", 0) for k, name in enumerate(_names(60)) for sub, top in (_PLACES[k % 4],)]
+
+
+SEEDS = tuple(seed_table())
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows of a labelled table that are fitted.
@@ -77,7 +104,8 @@ def judge(pages: DataFrame, rules=RULES, seeds: DataFrame | None = None, buckets
 
     ``seeds``: url string, label int (1: block), at most ``MAX_SEEDS`` rows.  The longest fitting rule wins;
     of rules of equal length the first.  A null or malformed URL has an empty host and path, meets no rule and is
-    scored as such.  Repeated rows are judged alike; an empty table gives none.
+    scored as such.  URLs of any length are taken whole.  Repeated rows are judged alike, with or without page_id; other
+    columns are ignored, whatever their names; an empty table gives no rows.  Without seeds every URL scores 0.5.
     """
     spark = pages.sparkSession
     if seeds is None:
