@@ -37,8 +37,10 @@ GROUP, TAILS = 128, 32
 #: Bounds of the sample that the parameters start from: training documents, words of a document (a stretch at a random place).
 SAMPLE_DOCS, SAMPLE_WORDS = 3000, 120
 EPOCHS, BATCH, NOISE, RATE, SEED = 6, 512, 64, 0.15, 11
-#: Tokens and noise words of a step of the pass over all training texts, noise words inside a class, parallel sums.
-PASS_BATCH, PASS_NOISE, GROUP_NOISE, SUMS = 16384, 16, 8, 16
+#: Tokens and noise words of a step of the pass over all training texts, noise words inside a class.
+PASS_BATCH, PASS_NOISE, GROUP_NOISE = 16384, 16, 8
+#: Partitions' parameters are added up in a tree: so many at a node, so many levels.
+SUMS, LEVELS = 64, 4
 #: Bytes of text that are scored at a time; bounds memory only.
 SLICE_BYTES = 500_000
 #: Bytes of text of a block, one text at least.
@@ -333,6 +335,7 @@ def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarra
 def _pass(docs: DataFrame, model: Model) -> None:
     """Every token of every training text once: each partition goes on from ``model``, then all are averaged by tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    m_size = len(model.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen, rng = copy.deepcopy(shared.value), 0, np.random.default_rng(SEED)
@@ -344,29 +347,32 @@ def _pass(docs: DataFrame, model: Model) -> None:
                 seen += len(h)
         if seen:
             part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([m.flat().tobytes()], pa.binary())], ["part", "seen", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([(m.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["order", "seen", "flat"])
 
-    def add(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("part").to_pylist(), table.column("seen").to_pylist(), table.column("flat"), strict=True), key=lambda r: r[0])
-        total = 0
-        for _, seen, flat in rows:
-            total = total + seen * np.frombuffer(flat.as_py(), np.float32).astype(np.float64)
-        return pa.table({"part": pa.array([rows[0][0]], pa.int64()), "seen": pa.array([sum(r[1] for r in rows)], pa.int64()), "flat": pa.array([total.tobytes()], pa.binary())})
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total, seen = np.zeros(m_size), 0
+        for k in np.argsort(table.column("order").to_numpy()).tolist():
+            seen += table.column("seen")[k].as_py()
+            total += np.frombuffer(table.column("flat")[k].as_py(), np.float64)
+        return pa.table({"order": pa.array([key[0].as_py()], pa.int64()), "seen": pa.array([seen], pa.int64()), "flat": pa.array([total.tobytes()], pa.binary())})
 
-    learned = docs.where("learn").select("text").mapInArrow(run, "part long, seen long, flat binary")
-    parts = learned.groupBy(F.col("part") % SUMS).applyInArrow(add, "part long, seen long, flat binary").collect()  # at most SUMS rows
-    if parts:
-        parts.sort(key=lambda r: r["part"])
-        model.put(sum(np.frombuffer(bytes(r["flat"]), np.float64) for r in parts) / sum(r["seen"] for r in parts))
+    schema = "order long, seen long, flat binary"
+    sums = docs.where("learn").select("text").mapInArrow(run, schema)
+    for _ in range(LEVELS):  # up to SUMS neighbours become one
+        sums = sums.withColumn("part", F.floor(F.col("order") / SUMS)).groupBy("part").applyInArrow(add, schema)
+    rows = sums.collect()  # one row for each SUMS**LEVELS partitions
+    if rows:
+        model.put(sum(np.frombuffer(bytes(r["flat"]), np.float64) for r in rows) / sum(r["seen"] for r in rows))
 
 
-_ROW = "doc_id array<bigint>, learn array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, score array<double>, at array<int>, other array<int>"
+_ROW = "doc_id array<bigint>, learn array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, score array<double>, at array<int>, tails array<binary>, other array<binary>"
 
 
 def _blocks(docs: DataFrame, shared, known: np.ndarray, scale: float) -> DataFrame:
     """A row for each block: words (those outside the model's table), and of each text its sums so far and its other words.
 
-    ``known``: counts of the table's words; ``other`` holds places in ``words``, a text's from ``at`` on.
+    ``known``: counts of the table's words; ``tails`` are the words' tail classes, a byte each; ``other`` holds places
+    in ``words``, a text's from ``at`` on.
     """
     names = [x.split()[0] for x in _ROW.split(", ")]
 
@@ -381,7 +387,9 @@ def _blocks(docs: DataFrame, shared, known: np.ndarray, scale: float) -> DataFra
             ids = pa.concat_arrays([x[0] for x in held])
             columns = [ids, *(pa.array(np.concatenate([x[k] for x in held])) for k in range(1, 6))]
             at = np.concatenate([[0], np.cumsum(np.concatenate([x[6] for x in held]))])
-            columns += [pa.array(at.astype(np.int32)), pa.array(place.astype(np.int32))]
+            # places byte by byte, so that the high bytes, mostly zero, take no room in an exchange
+            planes = np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            columns += [pa.array(at.astype(np.int32)), pa.array([(words & np.uint64(TAILS - 1)).astype(np.uint8).tobytes()], pa.binary()), pa.array([planes.tobytes()], pa.binary())]
             whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
             return pa.RecordBatch.from_arrays([pa.array([part + number], pa.int64()), whole(pa.array(words.view(np.int64))), *map(whole, columns)], ["block", "words", *names])
 
@@ -445,12 +453,13 @@ def score(docs: DataFrame) -> DataFrame:
         if not left.num_rows:
             return empty
         row = {c: left.column(c).combine_chunks().flatten() for c in left.column_names if c != "block"}
-        tail = (row["words"].to_numpy() & (TAILS - 1)).astype(np.int64)
+        tail = np.frombuffer(row["tails"][0].as_py(), np.uint8).astype(np.int64)
         c = np.zeros(len(tail))
         if right.num_rows:
             c[right.column("place").to_numpy()] = right.column("n").to_numpy()
         inside = np.where(c > 0, np.log10(np.maximum(c, 1) / tails[tail]) + np.log10(1 - unmet[tail]), np.log10(unmet[tail]))
-        at, other = row["at"].to_numpy().astype(np.int64), row["other"].to_numpy()
+        at, planes = row["at"].to_numpy().astype(np.int64), np.frombuffer(row["other"][0].as_py(), np.uint8)
+        other = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0]
 
         def add(name: str, values: np.ndarray) -> pa.Array:
             upto = np.concatenate([[0], np.cumsum(values[other], dtype=np.longdouble if values.dtype.kind == "f" else np.int64)])
@@ -468,4 +477,4 @@ def score(docs: DataFrame) -> DataFrame:
             }
         )
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("owner")).applyInArrow(run, schema)
+    return blocks.drop("words").groupBy("block").cogroup(answers.groupBy("owner")).applyInArrow(run, schema)
