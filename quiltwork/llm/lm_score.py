@@ -39,8 +39,8 @@ SAMPLE_DOCS, SAMPLE_WORDS = 3000, 120
 EPOCHS, BATCH, NOISE, RATE, SEED = 6, 512, 64, 0.15, 11
 #: Tokens and noise words of a step of the pass over all training texts, noise words inside a class.
 PASS_BATCH, PASS_NOISE, GROUP_NOISE = 16384, 16, 8
-#: Partitions' parameters are added up in a tree: so many at a node, so many levels.
-SUMS, LEVELS = 64, 4
+#: Partitions whose parameters one task averages; their means are averaged again until one is left.
+MEANS = 7
 #: Bytes of text that are scored at a time; bounds memory only.
 SLICE_BYTES = 500_000
 #: Bytes of text of a block, one text at least.
@@ -247,16 +247,16 @@ class Model:
         return out
 
     def flat(self) -> np.ndarray:
-        """All parameters and their sums of squares."""
-        return np.concatenate([x.reshape(-1) for n in self.PARAMETERS for x in (getattr(self, n), self.sums[n])])
+        """All parameters."""
+        return np.concatenate([getattr(self, n).reshape(-1) for n in self.PARAMETERS])
 
     def put(self, flat: np.ndarray) -> None:
         """The reverse of ``flat``."""
         a = 0
         for n in self.PARAMETERS:
-            for x in (getattr(self, n), self.sums[n]):
-                x[...] = flat[a : a + x.size].reshape(x.shape)
-                a += x.size
+            x = getattr(self, n)
+            x[...] = flat[a : a + x.size].reshape(x.shape)
+            a += x.size
 
 
 def _log_softmax(s: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -296,7 +296,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.where("learn").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
+def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarray, scratch: Scratch) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
     """The model, its words' counts, and of each tail class the tokens and the words met once; given are those of all words by lowest bits."""
     top = counts.orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()  # of fixed size
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
@@ -328,14 +328,13 @@ def _train(docs: DataFrame, counts: DataFrame, tail: np.ndarray, once: np.ndarra
         h = np.concatenate(parts)
         at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         model.train(*model.places(h, at))
-    _pass(docs, model)
+    _pass(docs, model, scratch)
     return model, n[np.argsort(words)], tail, once
 
 
-def _pass(docs: DataFrame, model: Model) -> None:
+def _pass(docs: DataFrame, model: Model, scratch: Scratch) -> None:
     """Every token of every training text once: each partition goes on from ``model``, then all are averaged by tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    m_size = len(model.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen, rng = copy.deepcopy(shared.value), 0, np.random.default_rng(SEED)
@@ -347,22 +346,23 @@ def _pass(docs: DataFrame, model: Model) -> None:
                 seen += len(h)
         if seen:
             part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([(m.flat().astype(np.float64) * seen).tobytes()], pa.binary())], ["order", "seen", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([m.flat().tobytes()], pa.binary())], ["part", "seen", "flat"])
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total, seen = np.zeros(m_size), 0
-        for k in np.argsort(table.column("order").to_numpy()).tolist():
-            seen += table.column("seen")[k].as_py()
-            total += np.frombuffer(table.column("flat")[k].as_py(), np.float64)
-        return pa.table({"order": pa.array([key[0].as_py()], pa.int64()), "seen": pa.array([seen], pa.int64()), "flat": pa.array([total.tobytes()], pa.binary())})
+    def mean(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("part").to_numpy())
+        seen = table.column("seen").to_numpy()[order]
+        flat = [np.frombuffer(table.column("flat")[k].as_py(), np.float32) for k in order.tolist()]
+        total = sum(n * f.astype(np.float64) for n, f in zip(seen.tolist(), flat, strict=True))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "seen": pa.array([seen.sum()], pa.int64()), "flat": pa.array([(total / seen.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-    schema = "order long, seen long, flat binary"
-    sums = docs.where("learn").select("text").mapInArrow(run, schema)
-    for _ in range(LEVELS):  # up to SUMS neighbours become one
-        sums = sums.withColumn("part", F.floor(F.col("order") / SUMS)).groupBy("part").applyInArrow(add, schema)
-    rows = sums.collect()  # one row for each SUMS**LEVELS partitions
-    if rows:
-        model.put(sum(np.frombuffer(bytes(r["flat"]), np.float64) for r in rows) / sum(r["seen"] for r in rows))
+    schema = "part long, seen long, flat binary"
+    means = scratch.keep(docs.where("learn").select("text").mapInArrow(run, schema))
+    rows = means.count()
+    while rows > 1:  # a few neighbours become one
+        means = scratch.keep(means.groupBy(F.floor(F.col("part") / MEANS).alias("near")).applyInArrow(mean, schema))
+        rows = means.count()
+    for r in means.collect():
+        model.put(np.frombuffer(bytes(r["flat"]), np.float32))
 
 
 _ROW = "doc_id array<bigint>, learn array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, score array<double>, at array<int>, tails array<binary>, other array<binary>"
@@ -436,7 +436,7 @@ def score(docs: DataFrame) -> DataFrame:
     tails, once = np.zeros(TAILS), np.zeros(TAILS)
     for r in by_tail:
         tails[r["tail"]], once[r["tail"]] = r["n"], r["once"]
-    model, known, tails, once = _train(rows, counts, tails, once)
+    model, known, tails, once = _train(rows, counts, tails, once, scratch)
     # the tail classes: what their words were met, and what words met once leave to those never met
     tails = np.maximum(1.0, tails)
     unmet = np.minimum(0.9, np.maximum(once, 1) / tails)

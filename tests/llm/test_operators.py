@@ -8,7 +8,7 @@ import pyarrow as pa
 from helpers import ODD, docs, odd_docs, words
 
 from quiltwork.llm import ann, bpe, bpe_codec, language_id, lm_score, packing, quality_model, quality_rules, sharding, url_filter
-from quiltwork.llm.common import byte_view
+from quiltwork.llm.common import Scratch, byte_view
 
 
 def tokenizer():
@@ -355,11 +355,11 @@ def test_lm_is_normalised():
 
 def test_lm_goes_over_all_training_texts(spark):
     # the pairs stand far apart in long texts, most of which a stretch of bounded size misses
-    rows = [(k, "pad " * 2000 + ("one two " if k % 2 else "red blue ") * 500 + "pad " * 2000, True) for k in range(20)]
-    df = spark.createDataFrame(rows, "id long, text string, learn boolean").repartition(2)
+    rows = [(k, "pad " * 2000 + ("one two " if k % 2 else "red blue ") * 500 + "pad " * 2000, True) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string, learn boolean").repartition(9)
     words = lm_score.tokens(*byte_view(pa.array(["pad one two red blue"])))[0][:5]
     model = lm_score.Model(words, words, np.ones(5 + lm_score.TAILS))
-    lm_score._pass(df, model)
+    lm_score._pass(df, model, Scratch(spark, "t"))
     target, before = model.numbers(*lm_score.tokens(*byte_view(pa.array(["one two one two", "red blue red blue"]))))
     right = np.exp(model.log_probs(target, before))
     wrong = np.exp(model.log_probs(np.roll(target, 5), before))
