@@ -298,7 +298,8 @@ def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold
                     out[1].append(max(ids[y], ids[m]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    return answers.union(asks).join(_keyed(docs, "cid"), "cid").groupBy("heap", "i", "j").applyInArrow(run, "a long, b long")
+    rows = scratch.keep(answers.union(asks))  # so that Spark knows its size
+    return rows.join(_keyed(docs, "cid"), "cid").groupBy("heap", "i", "j").applyInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- grouping
