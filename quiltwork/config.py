@@ -40,6 +40,8 @@ class Config:
     lru_size: int = 256
     geocode_interval_s: int = 1
     history: int = 30
+    bridge_groups: int = 40
+    bridge_rounds: int = 3
     highways: tuple[str, ...] = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential")
     retryable: tuple[int, ...] = (408, 425, 429, 500, 502, 503, 504)
     payload_version: int = 3

@@ -12,7 +12,12 @@ from quiltwork.functions.overlay import Point, Polygon, Trapezoid
 
 
 def as_polygon(trapezoids: list[Trapezoid]) -> Polygon:
-    """Trapezoids as rings of one polygon."""
+    """Trapezoids as the rings around them; where rounding breaks a ring, or changes the area, as rings of their own."""
+    rings = ov.outline(trapezoids)
+    whole = ov.area(trapezoids)
+    signed = sum((a[0] - rings[0][0][0]) * (b[1] - rings[0][0][1]) - (b[0] - rings[0][0][0]) * (a[1] - rings[0][0][1]) for r in rings for a, b in zip(r, r[1:], strict=False)) / 2
+    if rings and abs(signed - whole) <= 1e-6 * whole:
+        return rings
     return [[(t[2], t[0]), (t[4], t[0]), (t[5], t[1]), (t[3], t[1]), (t[2], t[0])] for t in trapezoids]
 
 

@@ -7,6 +7,7 @@ right at y0, right at y1).  Polygons are lists of closed rings; holes are rings
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 Point = tuple[float, float]
@@ -116,6 +117,75 @@ def parts(trapezoids: list[Trapezoid], slack: float = 1e-12) -> list[list[Trapez
     return sorted(groups.values(), key=lambda g: (-area(g), g[0]))
 
 
+def outline(trapezoids: list[Trapezoid], slack: float = 1e-12, close: float = 1e-10) -> Polygon:
+    """The rings around trapezoids of one overlay: exteriors counter-clockwise, holes clockwise, no vertex on a straight line.
+
+    Sides that two trapezoids share, and the stretches of heights that lie between two of them, are no border.
+    Vertices on a line within ``slack`` go, and vertices at one height within ``close`` are one; no rings are given where
+    they do not close.
+    """
+    ahead: dict[Point, list[Point]] = {}
+    levels: dict[float, list[tuple[float, int]]] = {}
+    # crossing edges give their crossing with different rounding: close places at one height are one
+    heights: dict[float, list[float]] = {}
+    for y0, y1, l0, l1, r0, r1 in trapezoids:
+        heights.setdefault(y0, []).extend((l0, r0))
+        heights.setdefault(y1, []).extend((l1, r1))
+    same: dict[Point, float] = {}
+    for y, xs in heights.items():
+        held = before = None
+        for x in sorted(set(xs)):
+            held = x if before is None or x - before > close else held
+            same[x, y], before = held, x
+    for y0, y1, l0, l1, r0, r1 in trapezoids:
+        l0, l1, r0, r1 = same[l0, y0], same[l1, y1], same[r0, y0], same[r1, y1]
+        ahead.setdefault((r0, y0), []).append((r1, y1))
+        ahead.setdefault((l1, y1), []).append((l0, y0))
+        for y, left, right, turn in ((y0, l0, r0, 1), (y1, l1, r1, -1)):
+            if right > left:
+                levels.setdefault(y, []).extend(((left, turn), (right, -turn)))
+    for y, marks in levels.items():
+        # +1 where ground begins above, -1 where it ends below; both cancel out
+        state, since = 0, 0.0
+        for x, turn in sorted(marks):
+            if state > 0 and x > since:
+                ahead.setdefault((since, y), []).append((x, y))
+            elif state < 0 and x > since:
+                ahead.setdefault((x, y), []).append((since, y))
+            state, since = state + turn, x
+    rings = []
+    while ahead:
+        start = min(ahead)
+        ring = [start]
+        while True:
+            at = ring[-1]
+            ways = ahead[at]
+            k = 0
+            if len(ways) > 1 and len(ring) > 1:  # the sharpest left turn stays with the same ground
+                dx, dy = at[0] - ring[-2][0], at[1] - ring[-2][1]
+                k = max(range(len(ways)), key=lambda j: math.atan2(dx * (ways[j][1] - at[1]) - dy * (ways[j][0] - at[0]), dx * (ways[j][0] - at[0]) + dy * (ways[j][1] - at[1])))
+            near = ways.pop(k)
+            if not ways:
+                del ahead[at]
+            if near == start:
+                break
+            if near not in ahead:  # rounding has broken the ring
+                return []
+            ring.append(near)
+        body, moved = ring, True
+        while moved and len(body) > 2:
+            keep = []
+            for j, p in enumerate(body):
+                a, b = keep[-1] if keep else body[-1], body[(j + 1) % len(body)]
+                n = math.hypot(b[0] - a[0], b[1] - a[1])
+                if p != a and (not n or abs((p[0] - a[0]) * (b[1] - a[1]) - (p[1] - a[1]) * (b[0] - a[0])) > slack * n):
+                    keep.append(p)
+            moved, body = len(keep) < len(body), keep
+        if len(body) > 2:
+            rings.append([*body, body[0]])
+    return rings
+
+
 def perimeter(group: list[Trapezoid]) -> float:
     """Length of the outline: sides, and the parts of horizontal borders that no neighbour shares."""
     from math import hypot

@@ -9,11 +9,12 @@ from quiltwork.config import CONFIG
 from quiltwork.functions import metric
 from quiltwork.operators import graph
 from quiltwork.operators import spatial_join as sj
+from quiltwork.sources.scratch import Scratch
 
 
-def scale(points: DataFrame, size: float = 0.002, window: float = 0.01) -> tuple[float, float]:
+def scale(points: DataFrame) -> tuple[float, float]:
     """Median distance to the third neighbour, and the linking distance."""
-    near = sj.kth_distance(points, "id", CONFIG.outlier_k, metric.dist, size, window)
+    near = sj.kth_distance(points, "id", CONFIG.outlier_k, metric.dist)
     median = near.agg(F.coalesce(F.median("d"), F.lit(0.0)).alias("m")).first()["m"]
     return median, max(CONFIG.outlier_link * median, CONFIG.outlier_floor_m / 2)
 
@@ -33,20 +34,20 @@ def find(points: DataFrame) -> DataFrame:
     A group is an outlier if it has at most 8 buildings and lies further than unit * factor from home; what has no home
     building within max(4 * threshold, 2000 m) is infinitely far.  Fewer than 3 buildings give no rows.
     """
-    points = points.select("id", "x", "y").persist()
+    scratch = Scratch(points.sparkSession, "outliers")
+    points = scratch.keep(points.select("id", "x", "y"))
     if points.limit(3).count() < 3:
         return points.sparkSession.createDataFrame([], "root long, n long, gap_m double, outlier boolean")
     median, link = scale(points)
-    grouped = groups(points, link).persist()
+    grouped = scratch.keep(groups(points, link))
     sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     home = sizes.orderBy(F.desc("n"), "root").limit(1).withColumn("span", metric.dist(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).first()
     unit = max(median, CONFIG.outlier_floor_m / 3, CONFIG.outlier_span * home["span"])
     threshold = unit * CONFIG.outlier_factor
     reach = max(4 * threshold, 2000.0)
-    size = reach / CONFIG.lng_m / 0.5
-    base = sj.point_cells(grouped.where(F.col("root") == home["root"]).select(F.col("x").alias("tx"), F.col("y").alias("ty")), size, "tx", "ty")
-    away = sj.point_cells(grouped.where(F.col("root") != home["root"]), size).transform(lambda d: sj.ring_cells(d, 1))
-    d = metric.dist(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
-    gap = away.join(base, ["cx", "cy"]).groupBy("root").agg(F.min(d).alias("gap")).where(F.col("gap") <= reach)
+    away = grouped.where(F.col("root") != home["root"]).select("id", "x", "y", "root")
+    base = grouped.where(F.col("root") == home["root"]).select("id", "x", "y")
+    near = sj.nearest(away.select("id", "x", "y"), base, "id", "id", metric.dist, 2 * link / CONFIG.lng_m)
+    gap = near.join(away.select("id", "root"), "id").groupBy("root").agg(F.min("d").alias("gap")).where(F.col("gap") <= reach)
     out = sizes.where(F.col("root") != home["root"]).join(gap, "root", "left").select("root", "n", F.coalesce("gap", F.lit(float("inf"))).alias("gap_m"))
     return out.withColumn("outlier", (F.col("n") <= CONFIG.outlier_group) & (F.col("gap_m") > threshold))

@@ -140,3 +140,22 @@ def pull(cells: set[tuple[int, int]], path: list[tuple[int, int]]) -> list[tuple
         out.append(path[far])
         at = far
     return out
+
+
+def stamp_path(path: list[tuple[float, float]], radius: float, taper: float = 1.0) -> set[tuple[int, int]]:
+    """Cells (unit squares) within discs set every half cell along a path; the radius goes evenly to ``taper`` times
+    itself at the end, but not below one cell."""
+    out: set[tuple[int, int]] = set()
+    lengths = [float(np.hypot(b[0] - a[0], b[1] - a[1])) for a, b in zip(path, path[1:], strict=False)]
+    whole, gone = sum(lengths), 0.0
+    for (a, b), length in zip(zip(path, path[1:], strict=False), lengths, strict=True):
+        n = max(1, int(np.ceil(2 * length)))
+        for k in range(n + 1):
+            at = (gone + length * k / n) / whole if whole else 0.0
+            r = max(1.0, radius * (1 + (taper - 1) * at))
+            x, y = a[0] + (b[0] - a[0]) * k / n, a[1] + (b[1] - a[1]) * k / n
+            reach = range(-int(np.ceil(r)) - 1, int(np.ceil(r)) + 2)
+            cx, cy = int(np.floor(x)), int(np.floor(y))
+            out |= {(cx + i, cy + j) for i in reach for j in reach if np.hypot(cx + i + 0.5 - x, cy + j + 0.5 - y) <= r}
+        gone += length
+    return out

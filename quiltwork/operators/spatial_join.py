@@ -6,9 +6,14 @@ hash or sort-merge join (broadcast where the statistics allow it) and never a ne
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltwork.config import CONFIG
+from quiltwork.sources.scratch import Scratch
+
 
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
@@ -57,19 +62,50 @@ def boxes_touch(left: DataFrame, right: DataFrame, size: float, left_key: str, r
     return box_cells(left, size).join(r, ["cx", "cy"]).where(meet).drop("cx", "cy").dropDuplicates([left_key, f"r_{right_key}"])
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, distance, reach_cells: int, size: float) -> DataFrame:
-    """Each point's nearest target within the reach, ties to the smaller key; ``distance`` gets (x, y, tx, ty)."""
-    t = point_cells(targets.select(F.col(target_key).alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), size, "tx", "ty")
-    pairs = point_cells(points, size).transform(lambda d: ring_cells(d, reach_cells)).join(t, ["cx", "cy"])
-    pairs = pairs.withColumn("d", distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")))
-    return pairs.groupBy(key).agg(F.min(F.struct("d", "target")).alias("m")).select(key, F.col("m.target").alias("target"), F.col("m.d").alias("d"))
+def _reach_m(y: Column, cells: float) -> Column:
+    """Metres from a point to the edge of the 3 x 3 cells around it, at least."""
+    return F.lit(cells) * F.least(F.lit(CONFIG.lat_m), CONFIG.lng_m * F.cos(F.radians(F.least(F.lit(90.0), F.abs(y) + cells))))
+
+
+def _widening(points: DataFrame, targets: DataFrame, key: str, size: float, pick) -> DataFrame:
+    """Points and targets (tx, ty) meet in 3 x 3 cells; ``pick`` gives key and d of the hits; points whose d may be beaten
+    by a target outside these cells go on with cells four times as wide.  Each round sees only what is not settled."""
+    scratch = Scratch(points.sparkSession, "nearest")
+    rest, found = points.select(key, "x", "y"), None
+    while True:
+        near = ring_cells(point_cells(targets, size, "tx", "ty"), 1)
+        hits = pick(point_cells(rest, size).join(near, ["cx", "cy"]))
+        last = size >= 720  # all targets are in reach
+        judged = scratch.keep(rest.join(hits, key, "left").withColumn("_settled", F.lit(last) | F.coalesce(F.col("d") <= _reach_m(F.col("y"), size), F.lit(False))))
+        done = judged.where(F.col("_settled") & F.col("d").isNotNull()).drop("x", "y", "_settled")
+        found = done if found is None else found.union(done)
+        rest = judged.where(~F.col("_settled")).select(key, "x", "y")
+        if last or rest.isEmpty():
+            return found
+        size *= 4
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, distance, size: float) -> DataFrame:
+    """Each point's nearest target, ties to the smaller key; ``distance`` gets (x, y, tx, ty).  Without targets no rows."""
+    t = targets.select(F.col(target_key).alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+
+    def pick(pairs: DataFrame) -> DataFrame:
+        d = distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
+        return pairs.groupBy(key).agg(F.min(F.struct(d.alias("d"), "target")).alias("m")).select(key, F.col("m.target").alias("target"), F.col("m.d").alias("d"))
+
+    return _widening(points, t, key, size, pick)
+
+
+def kth_distance(points: DataFrame, key: str, k: int, distance) -> DataFrame:
+    """Distance to the k-th nearest other point; none if there are fewer.  Cells are as wide as the points are dense."""
+    box = points.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()  # one row
+    if not box["n"]:
+        return points.select(key, F.lit(None).cast("double").alias("d"))
+    size = max(1e-6, math.sqrt(max(box["w"], 1e-6) * max(box["h"], 1e-6) * (k + 1) / box["n"]))
+    others = points.select(F.col(key).alias("other"), F.col("x").alias("tx"), F.col("y").alias("ty"))
 
+    def pick(pairs: DataFrame) -> DataFrame:
+        ranked = pairs.where(F.col(key) != F.col("other")).withColumn("d", distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")))
+        return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", "other"))).where(F.col("rank") == k).select(key, "d")
 
-def kth_distance(points: DataFrame, key: str, k: int, distance, size: float, window: float) -> DataFrame:
-    """Distance to the k-th nearest other point whose coordinates differ by at most ``window``; none if there are fewer."""
-    cells = max(1, int(-(-window // size)))
-    other = point_cells(points.select(F.col(key).alias("other"), F.col("x").alias("tx"), F.col("y").alias("ty")), size, "tx", "ty")
-    pairs = point_cells(points, size).transform(lambda d: ring_cells(d, cells)).join(other, ["cx", "cy"])
-    pairs = pairs.where((F.col(key) != F.col("other")) & (F.abs(F.col("x") - F.col("tx")) <= window) & (F.abs(F.col("y") - F.col("ty")) <= window))
-    ranked = pairs.withColumn("d", distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", "other")))
-    return ranked.where(F.col("rank") == k).select(key, "d")
+    return _widening(points, others, key, size, pick)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +27,9 @@ def _cells(points: list[tuple[float, float]], x0: float, y0: float, sx: float, s
 def propose(points: DataFrame, project: str, reach: float = CONFIG.reach_m, detail: float = 6.0) -> DataFrame:
     """project, ring, kept_inside, kept_outside, ignored_inside for points (x, y, ignored).
 
-    Discs of ``reach`` around the kept points, other components linked to the largest by straight corridors in at most
-    three rounds, the outer ring of the largest component, simplified; counts are measured.  Without kept points the
+    Discs of ``reach`` around the kept points; the component that holds most of them is home, and the others are linked
+    to it by straight corridors, in at most ``CONFIG.bridge_rounds`` rounds and only while there are no more than
+    ``CONFIG.bridge_groups`` of them; the outer ring of home, simplified; counts are measured.  Without kept points the
     ring is null.  A project's raster has at most ``CONFIG.cell_cap`` cells, so it fits one task.
     """
 
@@ -44,14 +46,16 @@ def propose(points: DataFrame, project: str, reach: float = CONFIG.reach_m, deta
         sx, sy = size / kx, size / ky
         x0, y0 = min(p[0] for p in keep) - (reach + 4 * size) / kx, min(p[1] for p in keep) - (reach + 4 * size) / ky
         cells = _cells(keep, x0, y0, sx, sy, reach, size)
-        for _ in range(3):
+        own_cells = [(math.floor((x - x0) / sx), math.floor((y - y0) / sy)) for x, y in keep]
+        for _ in range(CONFIG.bridge_rounds):
             labels = raster.label_cells(cells)
             groups: dict[int, list[tuple[int, int]]] = {}
             for c, k in labels.items():
                 groups.setdefault(k, []).append(c)
-            if not 1 < len(groups) <= 40:
+            if not 1 < len(groups) <= CONFIG.bridge_groups:
                 break
-            home = max(groups, key=lambda k: (len(groups[k]), -k))
+            held = Counter(labels[c] for c in own_cells)
+            home = max(groups, key=lambda k: (held[k], len(groups[k]), -k))
             for k, own in groups.items():
                 if k != home:
                     a, b = min(((p, q) for p in own[:: max(1, len(own) // 60)] for q in groups[home][:: max(1, len(groups[home]) // 400)]), key=lambda e: (e[0][0] - e[1][0]) ** 2 + (e[0][1] - e[1][1]) ** 2)
@@ -60,10 +64,8 @@ def propose(points: DataFrame, project: str, reach: float = CONFIG.reach_m, deta
                         x, y = a[0] + (b[0] - a[0]) * s / n, a[1] + (b[1] - a[1]) * s / n
                         cells |= {(round(x) + i, round(y) + j) for i in (-1, 0, 1) for j in (-1, 0, 1)}
         labels = raster.label_cells(cells)
-        sizes: dict[int, int] = {}
-        for k in labels.values():
-            sizes[k] = sizes.get(k, 0) + 1
-        home = max(sizes, key=lambda k: (sizes[k], -k))
+        held = Counter(labels[c] for c in own_cells)
+        home = max(held, key=lambda k: (held[k], -k))
         outline = max(raster.rings_of({c for c, k in labels.items() if k == home}), key=kernels.ring_area)
         ring = [(x0 + x * sx, y0 + y * sy) for x, y in outline]
         ring = kernels.simplify_ring(ring, max(6.0, min(detail, reach - 15)) / CONFIG.lat_m)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from quiltwork.plans import areas, labels, more, registry, spatial, text  # noqa: F401
+    from quiltwork.plans import areas, facts, labels, more, registry, routes, shapes, spatial, text  # noqa: F401
 
     return registry
 

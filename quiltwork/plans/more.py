@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quiltwork.functions import mercator, metric
@@ -81,22 +80,6 @@ def translations(spark, sf_dir):
     return osm.translate(keys, words, other).select("id", "text")
 
 
-@query()
-def gap_list(spark, sf_dir):
-    """Uncovered parts of the board without every seventh territory: rank and area in square metres, largest first."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        from quiltwork.functions import overlay
-
-        ring = lambda a, b, c, d: [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
-        k = 110540.0 * 111320.0 * 0.6427
-        found = overlay.gaps(ring(19.9, 50.0, 19.92, 50.02), [ring(r.minx, r.miny, r.maxx, r.maxy) for r in rows.itertuples()], 200 / k, 0.0)
-        return pd.DataFrame({"rank": range(1, len(found) + 1), "m2": [int(overlay.area(g) * k + 0.5) for g in found]})
-
-    t = synth.territories(spark, sf_dir).where("ord % 7 <> 3").withColumn("project", F.lit(1))  # a project has at most 200 territories
-    return t.groupBy("project").applyInPandas(run, "rank int, m2 long")
-
-
 @query()
 def trim_proposal(spark, sf_dir):
     """A tighter boundary around the buildings without the shifted ones: vertices, and what it holds."""

@@ -58,22 +58,22 @@ _DEPOTS = "d AS (SELECT s_suppkey AS depot, 19.9e0 + ((s_suppkey * 6151) % 20011
 
 
 @query(
-    f"""{layers('b')}, {_DEPOTS}, p AS (SELECT id, depot, sqrt({_D2.format(ax='x', ay='y', bx='dx', by='dy')}) AS m FROM b JOIN d ON abs(floor(x / 0.002e0) - floor(dx / 0.002e0)) <= 3 AND abs(floor(y / 0.002e0) - floor(dy / 0.002e0)) <= 3),
+    f"""{layers('b')}, {_DEPOTS}, p AS (SELECT id, depot, sqrt({_D2.format(ax='x', ay='y', bx='dx', by='dy')}) AS m FROM b CROSS JOIN d),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, depot) AS k FROM p) SELECT id, depot, CAST(floor(m * 100 + 0.5e0) AS BIGINT) AS cm FROM r WHERE k = 1"""
 )
 def nearest_supplier(spark, sf_dir):
-    """The nearest depot within three grid cells of each building, ties to the smaller key."""
-    near = sj.nearest(synth.buildings(spark, sf_dir).select("id", "x", "y"), _depots(spark, sf_dir), "id", "depot", metric.dist, 3, 0.002)
+    """The nearest depot of each building, ties to the smaller key."""
+    near = sj.nearest(synth.buildings(spark, sf_dir).select("id", "x", "y"), _depots(spark, sf_dir), "id", "depot", metric.dist, 0.002)
     return near.select("id", F.col("target").alias("depot"), F.floor(F.col("d") * 100 + 0.5).alias("cm"))
 
 
 @query(
-    f"""{layers('b')}, p AS (SELECT a.id, o.id AS other, sqrt({_D2.format(ax='a.x', ay='a.y', bx='o.x', by='o.y')}) AS m FROM b a JOIN b o ON a.id <> o.id AND abs(a.x - o.x) <= 4e-3 AND abs(a.y - o.y) <= 4e-3),
+    f"""{layers('b')}, p AS (SELECT a.id, o.id AS other, sqrt({_D2.format(ax='a.x', ay='a.y', bx='o.x', by='o.y')}) AS m FROM b a JOIN b o ON a.id <> o.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, other) AS k FROM p) SELECT id, CAST(floor(m * 100 + 0.5e0) AS BIGINT) AS cm FROM r WHERE k = 3"""
 )
 def knn_spacing(spark, sf_dir):
     """Distance to the third nearest neighbour."""
-    near = sj.kth_distance(synth.buildings(spark, sf_dir).select("id", "x", "y"), "id", 3, metric.dist, 0.002, 0.004)
+    near = sj.kth_distance(synth.buildings(spark, sf_dir).select("id", "x", "y"), "id", 3, metric.dist)
     return near.select("id", F.floor(F.col("d") * 100 + 0.5).alias("cm"))
 
 
@@ -226,7 +226,7 @@ def axis_filters(spark, sf_dir):
 
 @query(f"{layers('t')}, r AS (SELECT ord, row_number() OVER (ORDER BY ord) AS number FROM t WHERE ord % 4 <> 3) SELECT ord, CAST(number AS BIGINT) AS number, CASE WHEN number < 10 THEN '0' || number ELSE CAST(number AS VARCHAR) END AS padded FROM r")
 def territory_numbers(spark, sf_dir):
-    """Numbers after a set of territories was deleted; the list has at most 200 rows by policy."""
-    kept = synth.territories(spark, sf_dir).where("ord % 4 <> 3").select("ord").limit(200)
+    """Numbers after a set of territories was deleted; a project has at most 200 by policy."""
+    kept = synth.territories(spark, sf_dir).where("ord % 4 <> 3").select("ord")
     number = F.row_number().over(Window.orderBy("ord"))
     return kept.select("ord", number.cast("long").alias("number"), F.when(number < 10, F.concat(F.lit("0"), number.cast("string"))).otherwise(number.cast("string")).alias("padded"))

@@ -103,12 +103,14 @@ def plural_categories(spark, sf_dir):
     return synth.read(spark, sf_dir, "customer").select("c_custkey", tags.plural(n, "pl").alias("pl"), tags.plural(n, "en").alias("en"))
 
 
-@query("SELECT substr(sha256(string_agg(p_partkey || ':' || p_name, '|' ORDER BY p_partkey)), 1, 12) AS version, CAST(count(*) AS BIGINT) AS files FROM part WHERE p_partkey < 100")
+@query("WITH r AS (SELECT p_partkey // 1000 AS k, sha256(string_agg(p_partkey || ':' || p_name, '|' ORDER BY p_partkey)) AS digest, count(*) AS n FROM part GROUP BY 1) SELECT substr(sha256(string_agg(digest, '|' ORDER BY k)), 1, 12) AS version, CAST(sum(n) AS BIGINT) AS files FROM r")
 def asset_manifest(spark, sf_dir):
-    """A digest over a list of at most 100 assets in key order."""
-    p = synth.read(spark, sf_dir, "part").where("p_partkey < 100")
-    rows = F.sort_array(F.collect_list(F.struct("p_partkey", "p_name")))
-    return p.agg(F.substring(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["p_partkey"].cast("string"), r["p_name"])), "|"), 256), 1, 12).alias("version"), F.count(F.lit(1)).alias("files"))
+    """A digest over all assets in key order: digests of ranges of 1000 keys, then the digest of those."""
+    rows = F.sort_array(F.collect_list(F.struct("p_partkey", "p_name")))  # at most 1000
+    text = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["p_partkey"].cast("string"), r["p_name"])), "|")
+    ranges = synth.read(spark, sf_dir, "part").groupBy(F.expr("p_partkey DIV 1000").alias("k")).agg(F.sha2(text, 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    every = F.transform(F.sort_array(F.collect_list(F.struct("k", "digest"))), lambda r: r["digest"])  # a digest a range
+    return ranges.agg(F.substring(F.sha2(F.array_join(every, "|"), 256), 1, 12).alias("version"), F.sum("n").alias("files"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, event_type) AS pos FROM r) SELECT user_id, event_type, CAST(pos AS BIGINT) AS pos FROM k WHERE pos <= 8""")
