@@ -31,6 +31,9 @@ def pieces(p: Polygon) -> list[Polygon]:
 
 
 def shared(a: Polygon, b: Polygon) -> float:
+    p, q = _box(a), _box(b)
+    if p[0] >= q[2] or q[0] >= p[2] or p[1] >= q[3] or q[1] >= p[3]:
+        return 0.0
     return ov.area(ov.intersect(a, b))
 
 
@@ -76,7 +79,7 @@ def adopt(board: list[Polygon], gaps: list[Polygon]) -> list[Polygon]:
 
 def absorb(board: list[Polygon], gap: Polygon, reach: float) -> list[Polygon] | None:
     """The gap joins the territory that it touches most (ties to the first); None if it touches none."""
-    sizes = [contact(gap, t, reach) for t in board]
+    sizes = [round(contact(gap, t, reach), 14) for t in board]
     if not sizes or max(sizes) <= 0:
         return None
     k = sizes.index(max(sizes))

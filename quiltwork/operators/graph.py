@@ -81,7 +81,7 @@ def shortest(adjacent: dict, start, goal, budget: int, guess=None) -> tuple[floa
 
 
 def routes(edges: DataFrame, pairs: DataFrame, project: str, budget: int) -> DataFrame:
-    """project, src, dst, meters, hops for each pair; null where there is no way within the budget.
+    """project, src, dst, meters, hops, path (nodes) for each pair; null where there is no way within the budget.
 
     A project is an area of bounded size; its graph and pairs meet in one task.
     """
@@ -92,6 +92,6 @@ def routes(edges: DataFrame, pairs: DataFrame, project: str, budget: int) -> Dat
             adjacent.setdefault(a, []).append((b, w))
             adjacent.setdefault(b, []).append((a, w))
         out = [shortest(adjacent, a, b, budget) for a, b in zip(asked["src"], asked["dst"], strict=True)]
-        return asked[[project, "src", "dst"]].assign(meters=[r[0] if r else None for r in out], hops=[len(r[1]) - 1 if r else None for r in out]).astype({"hops": "Int64"})
+        return asked[[project, "src", "dst"]].assign(meters=[r[0] if r else None for r in out], hops=[len(r[1]) - 1 if r else None for r in out], path=pd.Series([r[1] if r else None for r in out], asked.index, dtype=object)).astype({"hops": "Int64"})
 
-    return edges.groupBy(project).cogroup(pairs.groupBy(project)).applyInPandas(run, f"{project} long, src string, dst string, meters double, hops long")
+    return edges.groupBy(project).cogroup(pairs.groupBy(project)).applyInPandas(run, f"{project} long, src string, dst string, meters double, hops long, path array<string>")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quiltwork.functions import mercator, metric, ring
 from quiltwork.operators import cache, graph, outliers, partition, raster, running
 from quiltwork.plans.registry import LAYERS, layers, query
-from quiltwork.plans.spatial import independent_counts, territory_building_counts
+from quiltwork.plans.spatial import independent_counts, point_lookup
 from quiltwork.sources import payload, synth
+from quiltwork.sources.scratch import Scratch
 
 _EV = "e AS (SELECT event_id AS id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS ts, CAST(floor(value * 100) AS BIGINT) AS size FROM events)"
 
@@ -183,7 +184,7 @@ def ring_area(spark, sf_dir):
 def _lloyd_sql(rounds: int, k: int) -> str:
     parts = [LAYERS["b"], f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cluster, x, y FROM b WHERE id IN (SELECT id FROM b ORDER BY id LIMIT {k}))"]
     for n in range(rounds):
-        parts.append(f"d{n} AS (SELECT b.id, b.x, b.y, c.cluster, row_number() OVER (PARTITION BY b.id ORDER BY (b.x - c.x) * (b.x - c.x) + (b.y - c.y) * (b.y - c.y), c.cluster) AS r FROM b CROSS JOIN c{n} c)")
+        parts.append(f"d{n} AS (SELECT b.id, b.x, b.y, c.cluster, row_number() OVER (PARTITION BY b.id ORDER BY ((b.x - c.x) * 111320e0 * cos(radians(50.01e0))) * ((b.x - c.x) * 111320e0 * cos(radians(50.01e0))) + ((b.y - c.y) * 110540e0) * ((b.y - c.y) * 110540e0), c.cluster) AS r FROM b CROSS JOIN c{n} c)")
         parts.append(f"m{n} AS (SELECT cluster, floor(avg(x) * 1e9 + 0.5e0) / 1e9 AS x, floor(avg(y) * 1e9 + 0.5e0) / 1e9 AS y FROM d{n} WHERE r = 1 GROUP BY cluster)")
         parts.append(f"c{n + 1} AS (SELECT c.cluster, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y FROM c{n} c LEFT JOIN m{n} m ON m.cluster = c.cluster)")
     return "WITH " + ", ".join(parts) + f" SELECT cluster, CAST(floor(x * 1e5 + 0.5e0) AS BIGINT) AS cx, CAST(floor(y * 1e5 + 0.5e0) AS BIGINT) AS cy FROM c{rounds}"
@@ -198,12 +199,26 @@ def kmeans_lloyd(spark, sf_dir):
 
 @query()
 def partition_pipeline(spark, sf_dir):
-    """Twelve territories: centres, Voronoi cells, and the buildings that fall into them."""
-    b = synth.buildings(spark, sf_dir).select("id", "x", "y")
-    centres = partition.lloyd(b, 12, 4)
-    held = partition.assign(b, [(r["cluster"], r["x"], r["y"]) for r in centres.collect()]).groupBy("cluster").agg(F.count(F.lit(1)).alias("buildings"))
-    cells = partition.voronoi_cells(centres, (19.89, 49.99, 19.93, 50.03))
-    return cells.join(held, "cluster", "left").select("cluster", F.coalesce("buildings", F.lit(0)).cast("long").alias("buildings"), F.floor(ring.area_m2(F.col("ring")) + 0.5).alias("m2"))
+    """Twelve territories: sample points, centres, Voronoi cells, borders along the streets, faces, and whole territories.
+
+    For each: the buildings nearest to its centre, its area, its pieces, and the faces that only the nearest centre claimed.
+    """
+    area, k = (19.89, 49.99, 19.93, 50.03), 12
+    b, s = synth.buildings(spark, sf_dir).select("id", "x", "y"), synth.streets(spark, sf_dir)
+    middles = s.where("id % 5 = 0").select("id", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    corners = spark.range(4 * k).select("id", (area[0] + (area[2] - area[0]) * (F.col("id") % 7) / 7).alias("x"), (area[1] + (area[3] - area[1]) * (F.col("id") % 5) / 5).alias("y"))
+    points = partition.sample_points(k, b, middles, corners)
+    scratch = Scratch(spark, "partition")
+    centres = scratch.keep(partition.lloyd(points, k, 4))
+    held = partition.assign(b, [(r["cluster"], r["x"], r["y"]) for r in centres.collect()]).groupBy("cluster").agg(F.count(F.lit(1)).alias("buildings"))  # k centres
+    cells = scratch.keep(partition.voronoi_cells(centres, area))
+    noded = scratch.keep(_noded(spark, sf_dir))
+    r = lambda v: F.floor(F.col(v) * 1e5 + 0.5).cast("long").cast("string")
+    nodes = noded.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(noded.select("bx", "by")).distinct()
+    nodes = scratch.keep(nodes.select(F.concat_ws(",", r("x"), r("y")).alias("node"), "x", "y").dropDuplicates(["node"]))
+    lines = partition.follow_streets(partition.cell_borders(cells, area), graph.build(noded), nodes)
+    out = partition.emit_territories(cells, scratch.keep(lines), synth.footprints(spark, sf_dir), area)
+    return out.join(held.withColumn("cluster", F.col("cluster").cast("long")), "cluster", "left").select("cluster", F.coalesce("buildings", F.lit(0)).cast("long").alias("buildings"), F.floor(F.col("m2") + 0.5).alias("m2"), "parts", "fallback")
 
 
 @query()
@@ -215,10 +230,16 @@ def outlier_groups(spark, sf_dir):
 
 @query()
 def heal_plan(spark, sf_dir):
-    """Which territory takes over each one without buildings; every third is emptied on purpose."""
-    counts = territory_building_counts(spark, sf_dir).select("ord", F.when(F.col("ord") % 3 == 1, 0).otherwise(F.col("buildings")).alias("buildings"))
-    slots = synth.territories(spark, sf_dir).join(counts, "ord").withColumn("project", F.lit(1).cast("long"))
-    return partition.heal(slots).select("ord", "host")
+    """A board with a hole, territories without buildings and a footprint across each border: where each territory goes.
+
+    Buildings of every third territory are left out on purpose; the hole is adopted as a territory of its own.
+    """
+    one = F.lit(1).cast("long").alias("project")
+    t = synth.territories(spark, sf_dir, 0.004).where("ord <> 12")
+    b = point_lookup(spark, sf_dir).where("ord % 3 <> 1 AND ord <> 12").select("id").join(synth.buildings(spark, sf_dir).select("id", "x", "y"), "id")
+    roofs = t.where("ord % 5 < 4").select(one, (F.col("maxx") - 6e-5).alias("minx"), ((F.col("miny") + F.col("maxy")) / 2).alias("miny"), (F.col("maxx") + 4e-5).alias("maxx"), ((F.col("miny") + F.col("maxy")) / 2 + 1e-4).alias("maxy"))
+    out = partition.heal_plan(t.withColumn("project", one), b.withColumn("project", one), roofs, (19.9, 50.0, 19.92, 50.02))
+    return out.select("ord", "host", F.floor(F.col("m2") + 0.5).alias("m2"), "adopted", "split", "detached", "merged")
 
 
 @query(f"{layers('t', 's')} SELECT 'clusters' AS layer, CAST(count(*) AS BIGINT) AS n, CAST(min(ord) AS BIGINT) AS first FROM t UNION ALL SELECT 'streets', count(*), min(id) FROM s UNION ALL SELECT 'buildings', count(*), min(c_custkey) FROM customer")

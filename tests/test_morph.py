@@ -64,3 +64,35 @@ def test_scratch_refuses_a_machines_own_folder_on_a_cluster():
     for master in ("spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             shared_folder(session(master))
+
+
+def test_faces_tile_what_lines_enclose():
+    from quiltwork.functions import kernels, planar
+
+    rng = random.Random(9)
+    for _ in range(20):
+        frame = [((0, 0), (4, 0)), ((4, 0), (4, 4)), ((4, 4), (0, 4)), ((0, 4), (0, 0))]
+        lines = [((0, rng.uniform(0, 4)), (4, rng.uniform(0, 4))) for _ in range(4)] + [((rng.uniform(0, 4), 0), (rng.uniform(0, 4), 4)) for _ in range(3)]
+        dead = [((0, 0), (-1, -1)), ((4, 4), (4.1, 4.2))]
+        faces = planar.faces(planar.node(frame + lines + dead))
+        assert abs(sum(kernels.ring_area(f) for f in faces) - 16) < 1e-6
+        edges = planar.node(frame + lines)
+        points = {p for e in edges for p in e}
+        assert len(faces) == len(edges) - len(points) + 1  # Euler
+    assert planar.faces(planar.node([((0, 0), (1, 0)), ((1, 0), (2, 2))])) == []
+
+
+def test_a_plan_adopts_splits_frees_and_merges():
+    from quiltwork.functions import heal
+
+    slots = [(0, morph.box(0, 0, 2, 2) + morph.box(6, 0, 7, 1)), (1, morph.box(2, 0, 4, 2)), (2, morph.box(0, 2, 4, 4))]
+    points = [(0.5, 0.5), (3, 1)]
+    roof = morph.box(1.8, 0.5, 2.1, 0.7)
+    after, hosts, report = heal.plan(slots, points, [roof], [morph.box(4, 0, 5, 2)], 0.001, 0.02, 0.01)
+    assert report == {"adopted": 1, "split": 1, "detached": 1, "merged": 2}
+    assert hosts == {3: 1, 2: 0} or hosts == {3: 1, 2: 1}
+    shapes = dict(after)
+    assert set(shapes) == {0, 1, 4}  # the piece far away touches nobody
+    assert abs(sum(board.area(s) for s in shapes.values()) - (4 + 4 + 8 + 1 + 2)) < 1e-9
+    assert board.shared(shapes[0], roof) > 0.0599 and board.shared(shapes[1], roof) < 1e-9
+    assert heal.merge_empty(slots, [], 0.01)[1] == {}

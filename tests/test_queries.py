@@ -43,8 +43,20 @@ def _dist(a, b):
 def test_partition_tiles_the_box(spark, sf_dir):
     rows = plans.queries()["partition_pipeline"](spark, sf_dir).collect()
     box = 0.04 * 110540 * 0.04 * 111320 * math.cos(math.radians(50.01))
-    assert abs(sum(r.m2 for r in rows) / box - 1) < 0.01
+    assert abs(sum(r.m2 for r in rows) / box - 1) < 1e-4
     assert sum(r.buildings for r in rows) == len(_points(spark, sf_dir))
+    assert all(r.parts == 1 for r in rows)
+
+
+def test_borders_follow_the_streets(spark, sf_dir):
+    from quiltwork.operators import graph, partition
+
+    edges = spark.createDataFrame([(x, y, x + dx, y + dy) for x in (0.0, 0.001, 0.002) for y in (50.0, 50.001) for dx, dy in ((0.001, 0.0), (0.0, 0.001))], "ax double, ay double, bx double, by double")
+    nodes = edges.selectExpr("ax AS x", "ay AS y").union(edges.selectExpr("bx", "by")).distinct().selectExpr("concat_ws(',', CAST(floor(x * 1e5 + 0.5) AS BIGINT), CAST(floor(y * 1e5 + 0.5) AS BIGINT)) AS node", "x", "y").dropDuplicates(["node"])
+    borders = spark.createDataFrame([(1, 0.0001, 50.0, 0.002, 50.001), (2, 5.0, 10.0, 6.0, 10.0)], "border long, ax double, ay double, bx double, by double")
+    got = {r.border: [(round(p.x, 6), round(p.y, 6)) for p in r.line] for r in partition.follow_streets(borders, graph.build(edges), nodes).collect()}
+    assert got[1][0] == (0.0001, 50.0) and got[1][1] == (0.0, 50.0) and got[1][-1] == (0.002, 50.001) and len(got[1]) == 5
+    assert got[2] == [(5.0, 10.0), (6.0, 10.0)]
 
 
 def test_raster_components_cover_all_cells(spark, sf_dir):
