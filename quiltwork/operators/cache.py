@@ -8,20 +8,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltwork.operators.running import running_sum
+from quiltwork.operators.running import ordered_buckets, running_sum
 
 
 def prune(tiles: DataFrame, now: Column, max_days: int, budget: int) -> DataFrame:
-    """``action`` of each tile (id, is_base, mtime seconds, size): 'expired', 'evicted' or 'kept'.
+    """``tiles`` (id, is_base, mtime seconds, size, any others) with ``action``: 'expired', 'evicted' or 'kept'.
 
     Tiles older than ``max_days`` expire.  The others go in the order (is_base, mtime, id) until the rest fits the budget.
     """
-    aged = tiles.withColumn("expired", F.col("mtime") < now - max_days * 86400)
-    live = aged.where(~F.col("expired")).withColumn("day", F.floor(F.col("mtime") / 86400))
-    total = live.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))  # one row
-    summed = running_sum(live, ["is_base", "day"], ["mtime", "id"], "size", "upto").join(F.broadcast(total), F.lit(True))
-    judged = summed.select("id", F.when(F.col("total") - (F.col("upto") - F.col("size")) > budget, "evicted").otherwise("kept").alias("action"))
-    return judged.union(aged.where("expired").select("id", F.lit("expired")))
+    expired = F.col("mtime") < now - max_days * 86400
+    live = ordered_buckets(tiles.where(~expired), ["is_base", "mtime", "id"])
+    total = live.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))  # one row
+    summed = running_sum(live, ["_bucket"], ["is_base", "mtime", "id"], "size", "_upto").join(F.broadcast(total), F.lit(True))
+    judged = summed.withColumn("action", F.when(F.col("_total") - (F.col("_upto") - F.col("size")) > budget, "evicted").otherwise("kept"))
+    return judged.select(*tiles.columns, "action").union(tiles.where(expired).withColumn("action", F.lit("expired")))
 
 
 def fixed_window(requests: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:

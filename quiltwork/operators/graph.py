@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +48,59 @@ def build(edges: DataFrame, digits: int = 5, keep_parallel: bool = False) -> Dat
     return rows if keep_parallel else rows.groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
+def merge_inside(links: DataFrame) -> DataFrame:
+    """Links (a, b) of each partition as links of its members to their least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (p := up.setdefault(top, top)) != top:
+                top = p
+            while up[x] != top:
+                up[x], x = top, up[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        rows = [(root(x), x) for x in list(up)]
+        rows = [(r, x) for r, x in rows if r != x]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root: for every node of the links (a, b) the least node that it is connected with."""
+    rest = scratch.keep(merge_inside(links).distinct())
+    steps: list[DataFrame] = []
+    while not rest.isEmpty():
+        both = rest.select(F.col("a").alias("node"), F.col("b").alias("next")).union(rest.select(F.col("b"), F.col("a")))
+        up = both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("up"))
+        up = scratch.keep(up)
+        top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        step = scratch.keep(up.join(top, "up").select("node", F.col("top").alias("up")))
+        steps.append(step)
+        a, b = step.select(F.col("node").alias("a"), F.col("up").alias("ra")), step.select(F.col("node").alias("b"), F.col("up").alias("rb"))
+        left = rest.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        old, rest = rest, scratch.keep(merge_inside(left).distinct())
+        scratch.drop(old)
+    if not steps:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = steps[0].select("node", F.col("up").alias("root"))
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (least connected node): labels spread and jump until nothing changes; lineage is cut each round."""
-    scratch = Scratch(edges.sparkSession, "components")
-    both = scratch.keep(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    label = scratch.keep(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")))
-    while True:
-        far = both.join(label.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("m"))
-        step = scratch.keep(label.join(far, "node").select("node", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved")))
-        top = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        label = scratch.keep(step.select("node", "root").join(top, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-        if step.where("moved").isEmpty():
-            return label
+    """node, root (least connected node) of the edges (src, dst), whose names are whole numbers."""
+    links = edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
+    return contract(links, Scratch(edges.sparkSession, "components"))
 
 
 def shortest(adjacent: dict, start, goal, budget: int, guess=None) -> tuple[float, list] | None:

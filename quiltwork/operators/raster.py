@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltwork.functions import metric
+from quiltwork.operators import graph
 
 
 def cell_size(width_m: float, height_m: float, size: float, cap: int) -> float:
@@ -61,6 +62,16 @@ def label_cells(cells: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
     return out
 
 
+def spread_components(cells: DataFrame) -> DataFrame:
+    """cx, cy, label (the least of a component's cells, as cx * 2**20 + cy): 4-connected, over any number of tasks."""
+    name = F.col("cx") * 1048576 + F.col("cy")
+    own = cells.select("cx", "cy").distinct().withColumn("n", name)
+    ahead = own.select((F.col("cx") - 1).alias("cx"), "cy", F.col("n").alias("dst")).union(own.select("cx", F.col("cy") - 1, "n"))
+    links = own.join(ahead, ["cx", "cy"]).select(F.col("n").alias("src"), "dst")
+    roots = graph.components(links)
+    return own.join(roots, own["n"] == roots["node"], "left").select("cx", "cy", F.coalesce("root", "n").alias("label"))
+
+
 def components(cells: DataFrame, project: str) -> DataFrame:
     """project, cx, cy, label: a project's raster is capped in size (``cell_size``) and labelled in one task."""
 

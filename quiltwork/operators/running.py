@@ -9,6 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltwork.sources.scratch import Scratch
+
+
+def ordered_buckets(df: DataFrame, order: list, name: str = "_bucket") -> DataFrame:
+    """``df`` with ``name``: buckets of about equal size that follow the order, whatever the values' spread."""
+    dealt = df.repartitionByRange(*order).withColumn(name, F.spark_partition_id())
+    return Scratch(df.sparkSession, "buckets").keep(dealt)  # written, so that a bucket's rows stay the same
+
 
 def running_sum(df: DataFrame, bucket: list[str], order: list, value: str, name: str) -> DataFrame:
     """``name``: sum of ``value`` over this row and all before it; ``bucket`` columns come first in the order."""

@@ -30,7 +30,7 @@ def tile_cache_prune(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("is_base", (F.col("event_type") == "view").cast("int")).withColumn("mtime", F.col("ts"))
     now = e.agg(F.max("ts").alias("m")).first()["m"]
     judged = cache.prune(e.select("id", "is_base", "mtime", "size"), F.lit(now), 20, 3_000_000)
-    return judged.join(e.select("id", "is_base", "size"), "id").groupBy("is_base", "action").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return judged.groupBy("is_base", "action").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 @query(f"WITH {_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts // 3600 ORDER BY ts, id) AS k FROM e) SELECT user_id, CAST(count(*) AS BIGINT) AS asked, CAST(count(*) FILTER (WHERE k > 1) AS BIGINT) AS rejected FROM r GROUP BY user_id")
@@ -43,8 +43,8 @@ def rate_limit(spark, sf_dir):
 @query(f"WITH {_EV}, o AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS i FROM e), s AS (SELECT id, ts, max(ts - i * 300) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 300 AS slot FROM o) SELECT id, CAST(slot - ts AS BIGINT) AS wait FROM s")
 def slot_gate(spark, sf_dir):
     """Waiting times at a gate that lets one request through every 300 seconds."""
-    e = _events(spark, sf_dir).withColumn("day", F.floor(F.col("ts") / 86400))
-    return running.slots(e, "day", ["ts", "id"], "ts", 300).select("id", (F.col("slot") - F.col("ts")).alias("wait"))
+    e = running.ordered_buckets(_events(spark, sf_dir).select("id", "ts"), ["ts", "id"])
+    return running.slots(e, "_bucket", ["ts", "id"], "ts", 300).select("id", (F.col("slot") - F.col("ts")).alias("wait"))
 
 
 @query(f"WITH {_EV}, n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, id) AS later FROM e) SELECT user_id, CAST(count(*) AS BIGINT) AS bursts FROM n WHERE later IS NULL OR later - ts > 7200 GROUP BY user_id")
@@ -158,11 +158,15 @@ def raster_coverage(spark, sf_dir):
     return _discs(spark, sf_dir).groupBy("cy").agg(F.count(F.lit(1)).alias("cells"), F.min("cx").alias("first"), F.max("cx").alias("last"))
 
 
-@query()
+@query(
+    _DISC.replace("WITH ", "WITH RECURSIVE ", 1).replace("19.9e0 + ((c_custkey * 7919) % 20011) / 1e6 AS x", "19.9e0 + ((c_custkey * 7919) % 20011) / 1e6 + CASE WHEN c_custkey % 500 = 499 THEN 2e-2 ELSE 0e0 END AS x")
+    + """, k AS (SELECT cx, cy, cx * 1048576 + cy AS n FROM c), e AS (SELECT a.n AS a, b.n AS b FROM k a JOIN k b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),
+    r AS (SELECT n AS node, n AS root FROM k UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.b), m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+    SELECT CAST(root AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS cells FROM m GROUP BY root"""
+)
 def raster_components(spark, sf_dir):
-    """Sizes of the connected components of the covered ground."""
-    labels = raster.components(_discs(spark, sf_dir).withColumn("project", F.lit(1).cast("long")), "project")
-    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("cells"))
+    """Sizes of the connected components of the covered ground, each named by its least cell."""
+    return raster.spread_components(_discs(spark, sf_dir)).groupBy("label").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query(f"{layers('t')}, g AS (SELECT i.range AS cx, j.range AS cy FROM range(100) i CROSS JOIN range(100) j) SELECT ord, CAST(count(*) AS BIGINT) AS cells, CAST(sum(cx * 1000 + cy) AS BIGINT) AS mark FROM t JOIN g ON 19.9e0 + (cx + 0.5e0) * 2.1e-4 >= minx AND 19.9e0 + (cx + 0.5e0) * 2.1e-4 < maxx AND 50e0 + (cy + 0.5e0) * 2.1e-4 >= miny AND 50e0 + (cy + 0.5e0) * 2.1e-4 < maxy GROUP BY ord")
@@ -221,7 +225,18 @@ def partition_pipeline(spark, sf_dir):
     return out.join(held.withColumn("cluster", F.col("cluster").cast("long")), "cluster", "left").select("cluster", F.coalesce("buildings", F.lit(0)).cast("long").alias("buildings"), F.floor(F.col("m2") + 0.5).alias("m2"), "parts", "fallback")
 
 
-@query()
+_SHIFTED = LAYERS["b"].replace("19.9e0 + ((c_custkey * 7919) % 20011) / 1e6 AS x", "19.9e0 + ((c_custkey * 7919) % 20011) / 1e6 + CASE WHEN c_custkey % 500 = 499 THEN 2e-2 ELSE 0e0 END AS x")
+_M = "sqrt(pow(({q}x - {p}x) * 111320e0 * cos(radians(({p}y + {q}y) / 2)), 2) + pow(({q}y - {p}y) * 110540e0, 2))"
+
+
+@query(
+    f"""WITH RECURSIVE {_SHIFTED}, p AS MATERIALIZED (SELECT a.id AS a, o.id AS o, {_M.format(p='a.', q='o.')} AS m FROM b a JOIN b o ON a.id <> o.id),
+    k AS (SELECT m, row_number() OVER (PARTITION BY a ORDER BY m, o) AS r FROM p), s AS (SELECT coalesce(median(m), 0e0) AS med FROM k WHERE r = 3), e AS MATERIALIZED (SELECT a, o FROM p, s WHERE m <= greatest(1.5e0 * med, 60e0)),
+    r AS (SELECT id AS node, id AS root FROM b UNION SELECT e.o, r.root FROM r JOIN e ON e.a = r.node AND r.root < e.o), g AS MATERIALIZED (SELECT node, min(root) AS root FROM r GROUP BY node),
+    z AS (SELECT root, count(*) AS n, min(x) AS px, min(y) AS py, max(x) AS qx, max(y) AS qy FROM g JOIN b ON b.id = node GROUP BY root), h AS (SELECT root AS home, {_M.format(p='p', q='q')} AS span FROM z ORDER BY n DESC, root LIMIT 1),
+    u AS (SELECT home, 3 * greatest(med, 40e0, 0.025e0 * span) AS far FROM h, s), d AS (SELECT x.root, min(m) AS gap FROM p JOIN g x ON x.node = a JOIN g y ON y.node = o, u WHERE y.root = home AND x.root <> home AND m <= greatest(4 * far, 2000e0) GROUP BY 1)
+    SELECT z.root, CAST(n AS BIGINT) AS n, CAST(floor(gap) AS BIGINT) AS gap_m, n <= 8 AND (gap IS NULL OR gap > far) AS outlier FROM z CROSS JOIN u LEFT JOIN d ON d.root = z.root WHERE z.root <> home"""
+)
 def outlier_groups(spark, sf_dir):
     """Groups of buildings away from the largest one, and which of them are isolated."""
     out = outliers.find(synth.buildings(spark, sf_dir, outliers=True))

@@ -115,3 +115,12 @@ def test_gap_list_is_the_ground_left_out(spark, sf_dir):
 def test_trim_keeps_all_kept_buildings_and_no_shifted_ones(spark, sf_dir):
     r = plans.queries()["trim_proposal"](spark, sf_dir).first()
     assert r.kept_inside > 0 and r.ignored_inside == 0 and r.vertices > 3
+
+
+def test_union_find(spark):
+    from quiltwork.operators.graph import contract
+    from quiltwork.sources.scratch import Scratch
+
+    links = [(k, k + 1) for k in range(0, 200)] + [(500, k) for k in range(501, 900)] + [(3, 3), (1000, 999)]
+    got = {r.node: r.root for r in contract(spark.createDataFrame(links, "a long, b long").repartition(9), Scratch(spark, "t")).collect()}
+    assert all(got[k] == 0 for k in range(201)) and all(got[k] == 500 for k in range(500, 900)) and got[1000] == 999
