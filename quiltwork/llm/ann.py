@@ -315,7 +315,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, width: int | None =
             found, got = graph.search(np.concatenate([block, np.zeros((len(block), 1))], axis=1).astype(np.float32), width or search_width(len(stored)))
             for j, name in enumerate(names[a : a + 128].tolist()):
                 near = found[j][np.isfinite(got[j])]
-                exact = stored[near] @ block[j]
+                exact = np.cumsum(stored[near] * block[j], axis=1)[:, -1]  # added from the first component on, on any machine
                 best = [(-s, i) for s, p in zip(exact.tolist(), near.tolist(), strict=True) for i in ids[p] if i != name]
                 for s, i in sorted(best)[:k]:
                     out[0].append(name)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiltwork.llm.common import Scratch, byte_view, list_column, mix64, small_batches, word_hashes, word_spans
+from quiltwork.operators.graph import contract
 
 BANDS, BAND_ROWS = 26, 5
 #: Rounds in which members are compared with one more head of a bucket, before members are compared with each other.
@@ -185,58 +186,6 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-# ---------------------------------------------------------------- union-find
-
-
-def _merge_inside(links: DataFrame) -> DataFrame:
-    """Links (a, b) of each partition as links of its members to their least one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            top = x
-            while (p := up.setdefault(top, top)) != top:
-                top = p
-            while up[x] != top:
-                up[x], x = top, up[x]
-            return top
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = root(a), root(b)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-        rows = [(root(x), x) for x in list(up)]
-        rows = [(r, x) for r, x in rows if r != x]
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.int64())], ["a", "b"])
-
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
-
-
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, root: for every node of the links (a, b) the least node that it is connected with."""
-    rest = scratch.keep(_merge_inside(links).distinct())
-    steps: list[DataFrame] = []
-    while not rest.isEmpty():
-        both = rest.select(F.col("a").alias("node"), F.col("b").alias("next")).union(rest.select(F.col("b"), F.col("a")))
-        up = both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("up"))
-        up = scratch.keep(up)
-        top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = scratch.keep(up.join(top, "up").select("node", F.col("top").alias("up")))
-        steps.append(step)
-        a, b = step.select(F.col("node").alias("a"), F.col("up").alias("ra")), step.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        left = rest.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        old, rest = rest, scratch.keep(_merge_inside(left).distinct())
-        scratch.drop(old)
-    if not steps:
-        return rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = steps[0].select("node", F.col("up").alias("root"))
-    for step in steps[1:]:
-        out = out.join(step.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    return out
-
-
 # ---------------------------------------------------------------- the rest
 
 
@@ -252,7 +201,7 @@ def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold
     All texts that hang together by buckets are a heap.  Of these, texts outside the largest group ask, and all answer.
     """
     low = scratch.keep(open_rows.groupBy("band").agg(F.min("cid").alias("a")))
-    heap = components(open_rows.join(low, "band").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), scratch)
+    heap = contract(open_rows.join(low, "band").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), scratch)
     texts = open_rows.select("cid", "n", "root").distinct().join(heap.select(F.col("node").alias("cid"), F.col("root").alias("heap")), "cid", "left")
     texts = scratch.keep(texts.select("cid", "n", "root", F.coalesce("heap", "cid").alias("heap")))
     one = F.lit(1)
@@ -328,7 +277,7 @@ def _roots(docs: DataFrame, width: int, threshold: int, scratch: Scratch) -> tup
         nonlocal links, roots
         found = scratch.keep(found)
         links = found if links is None else links.union(found)
-        roots = scratch.keep(components(links, scratch))
+        roots = scratch.keep(contract(links, scratch))
 
     def settle(pairs: DataFrame) -> None:
         nonlocal tried

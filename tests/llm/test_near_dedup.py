@@ -82,14 +82,6 @@ def test_signatures_estimate_similarity():
         assert abs((sig[0] == sig[1]).mean() - inter / (2 * n - inter)) < 0.12
 
 
-def test_union_find(spark):
-    from quiltwork.llm.common import Scratch
-
-    links = [(k, k + 1) for k in range(0, 200)] + [(500, k) for k in range(501, 900)] + [(3, 3), (1000, 999)]
-    got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(9), Scratch(spark, "t")).collect()}
-    assert all(got[k] == 0 for k in range(201)) and all(got[k] == 500 for k in range(500, 900)) and got[1000] == 999
-
-
 def test_rows_without_id_and_repeated_rows(spark):
     text = " ".join(f"t{k}" for k in range(40))
     near = text.replace("t39", "other")
