@@ -43,7 +43,7 @@ def _has_word(text: Column) -> Column:
 
 
 def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and counts of every whole text; null texts have no words, a null stratum is ''."""
+    """doc_id, stratum, text_hash and counts of every whole text; null texts have no words, a null stratum is ''."""
     group = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
     text, words, grams = F.col("_text"), F.col("_words"), F.col("_grams")
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group.alias("stratum"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
@@ -74,6 +74,7 @@ def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         .select(
             "doc_id",
             "stratum",
+            F.xxhash64(text).alias("text_hash"),
             "n_words",
             F.length(F.translate(text, _BLANK, "")).cast("long").alias("word_chars"),
             _count(text, _SYMBOLS).alias("n_symbols"),
@@ -138,6 +139,11 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     for every row of its doc_id, none for rows without doc_id.  Columns of ``docs`` other than doc_id, text and the
     stratum are ignored, whatever their names.  An empty table gives no rows.
     """
+    out = _judged(docs, labels, stratum, risk, level)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by", "stratum")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05, level: float = 0.05) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "quality")
     measured = scratch.keep(measure(docs, stratum))
     cuts = scratch.keep(cutoffs(measured, labels, risk, level))
@@ -147,14 +153,16 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
         .withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
         .withColumn("rejected_by", F.array_compact(F.array(*over)))
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by", "stratum")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns of any names, that the rules keep.
 
-    ``doc_id`` is taken as the key: of rows that share one, or have none, all go if one is rejected.
+    Each row goes by its own text and stratum, also rows that share a doc_id or have none.
     """
-    bad = judge(docs, labels, stratum).where(~F.col("kept")).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    c = F.col
+    bad = _judged(docs, labels, stratum).where(~c("kept")).select(c("doc_id").alias("_qw_id"), c("stratum").alias("_qw_stratum"), c("text_hash").alias("_qw_hash")).distinct()
+    group = F.coalesce(docs[stratum].cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
+    same = docs["doc_id"].cast("long").eqNullSafe(c("_qw_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == c("_qw_hash")) & (group == c("_qw_stratum"))
+    return docs.join(bad, same, "left_anti")
