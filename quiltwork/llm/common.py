@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,8 @@ from quiltwork.sources.scratch import Scratch  # noqa: F401  (the operators take
 
 #: Rows in an Arrow batch of whole texts; bounds the memory of a Python worker, never the result.
 TEXT_BATCH_ROWS = 512
+#: Bytes of text whose arrays of words, contexts or scores are held at a time; bounds memory only, a longer text is one slice.
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +43,15 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(ends: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, one text at least; ``ends``: the texts' n+1 offsets."""
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def list_column(values: np.ndarray, width: int) -> pa.Array:
     """A list column of ``width`` values a row."""
     rows = len(values) // width if width else 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltwork.llm.common import byte_view, small_batches
+from quiltwork.llm.common import byte_view, slices, small_batches
 
 ORDER = 3
 #: Bound of the training sample: documents a language, each taken whole.
@@ -208,7 +208,8 @@ def fit(train: DataFrame) -> Model:
 def _classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, its share of the likelihood, and bits a byte under it."""
     data, offsets = byte_view(texts)
-    bits = model.code_lengths(data, offsets)
+    parts = [model.code_lengths(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+    bits = np.concatenate(parts) if parts else np.zeros((0, len(model.langs)))
     lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
     if not model.langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltwork.llm.common import Scratch, byte_view, mix64, small_batches, word_hashes, word_spans
+from quiltwork.llm.common import Scratch, byte_view, mix64, slices, small_batches, word_hashes, word_spans
 from quiltwork.llm.language_id import remainder
 
 #: Single-word classes and one, words with a vector of their own as context and target, size of vectors, words before.
@@ -41,8 +41,6 @@ EPOCHS, BATCH, NOISE, RATE, SEED = 6, 512, 64, 0.15, 11
 PASS_BATCH, PASS_NOISE, GROUP_NOISE = 16384, 16, 8
 #: Partitions whose parameters one task averages; their means are averaged again until one is left.
 MEANS = 7
-#: Bytes of text that are scored at a time; bounds memory only.
-SLICE_BYTES = 500_000
 #: Bytes of text of a block, one text at least.
 BLOCK_BYTES = 4_000_000
 #: The end of a text is a token of its own, with this hash (fixed).
@@ -65,15 +63,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
-def _slices(ends: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes, one text at least; ``ends``: the texts' n+1 offsets."""
-    a = 0
-    while a < len(ends) - 1:
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
-        yield a, b
-        a = b
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     x = np.clip(x, -30, 30)
     np.negative(x, out=x)
@@ -283,7 +272,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             data, ends = byte_view(b.column(0))
-            for x, y in _slices(ends, BLOCK_BYTES):
+            for x, y in slices(ends, BLOCK_BYTES):
                 words, n = np.unique(tokens(data[ends[x] : ends[y]], ends[x : y + 1] - ends[x])[0], return_counts=True)
                 held.append((words, n))
                 size += len(words)
@@ -340,7 +329,7 @@ def _pass(docs: DataFrame, model: Model, scratch: Scratch) -> None:
         m, seen, rng = copy.deepcopy(shared.value), 0, np.random.default_rng(SEED)
         for batch in batches:
             whole, ends = byte_view(batch.column(0))
-            for a, b in _slices(ends):
+            for a, b in slices(ends):
                 h, at = tokens(whole[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
                 m.train(*m.places(h, at), epochs=1, batch=PASS_BATCH, noise=PASS_NOISE, rng=rng)
                 seen += len(h)
@@ -395,7 +384,7 @@ def _blocks(docs: DataFrame, shared, known: np.ndarray, scale: float) -> DataFra
 
         for batch in batches:
             data, ends = byte_view(batch.column(1))
-            for a, b in _slices(ends):
+            for a, b in slices(ends):
                 h, at = tokens(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
                 own = m._find(m.context_words, h)
                 inside = own < len(m.context_words)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltwork.llm.common import Scratch, byte_view, list_column, mix64, small_batches, word_hashes, word_spans
+from quiltwork.llm.common import Scratch, byte_view, list_column, mix64, slices, small_batches, word_hashes, word_spans
 from quiltwork.operators.graph import contract
 
 BANDS, BAND_ROWS = 26, 5
@@ -69,6 +69,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), at
 
 
+def sets_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of a text column, made slice by slice."""
+    data, ends = byte_view(texts)
+    parts = [shingle_sets(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], width) for a, b in slices(ends)]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, at in parts)])
+    return np.concatenate([np.zeros(0, np.uint64), *(e for e, _ in parts)]), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
+
 def super_minhash(elements: np.ndarray, offsets: np.ndarray, places: int) -> np.ndarray:
     """SuperMinHash signatures (texts x places) of sets that follow each other in ``elements``."""
     n = len(offsets) - 1
@@ -138,7 +146,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            elements, at = shingle_sets(*byte_view(b.column(1)), width)
+            elements, at = sets_of(b.column(1), width)
             sizes = np.diff(at)
             bands = band_hashes(super_minhash(elements, at, BANDS * BAND_ROWS))
             prints = []
@@ -171,8 +179,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
             ids = batch.column(0).to_pylist()
             texts_a = batch.column(2)
             new = [k for k in range(len(ids)) if k == 0 or ids[k] != ids[k - 1]]
-            sets_a, at_a = shingle_sets(*byte_view(texts_a.take(pa.array(new, pa.int64()))), width)
-            sets_b, at_b = shingle_sets(*byte_view(batch.column(3)), width)
+            sets_a, at_a = sets_of(texts_a.take(pa.array(new, pa.int64())), width)
+            sets_b, at_b = sets_of(batch.column(3), width)
             keep, turn = [], -1
             for k in range(len(ids)):
                 if turn + 1 < len(new) and new[turn + 1] == k:
@@ -216,7 +224,7 @@ def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, roots = table.column("cid").to_numpy(), table.column("root").to_numpy()
         asking = table.column("asking").to_numpy().astype(bool)
-        parts = [shingle_sets(*byte_view(c), width) for c in table.column("text").chunks if len(c)]
+        parts = [sets_of(c, width) for c in table.column("text").chunks if len(c)]
         n = np.concatenate([np.diff(p[1]) for p in parts])
         elements, at = np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(n)])
         owner = np.repeat(np.arange(len(ids)), n)
