@@ -255,8 +255,10 @@ def _compare_blocks(open_rows: DataFrame, docs: DataFrame, width: int, threshold
                     out[1].append(max(ids[y], ids[m]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
-    rows = scratch.keep(answers.union(asks))  # so that Spark knows its size
-    return rows.join(_keyed(docs, "cid"), "cid").groupBy("heap", "i", "j").applyInArrow(run, "a long, b long")
+    # only the heaps' texts are dealt out: the others are left where they are read
+    rows = scratch.keep(answers.union(asks))
+    held = scratch.keep(_keyed(docs, "cid").join(texts.select("cid"), "cid", "left_semi"))
+    return rows.join(held, "cid").groupBy("heap", "i", "j").applyInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- grouping
