@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltwork.llm import ann, bpe_codec, language_id, lm_score, near_dedup, oracles, packing, quality_model, quality_rules, sharding, url_filter
+from quiltwork.llm import ann, bpe_codec, branch_merge, filter_audit, language_id, lm_score, near_dedup, oracles, packing, quality_model, quality_rules, sharding, url_filter
 from quiltwork.llm.common import table
 
 
@@ -69,10 +69,20 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches L and R of all documents, merged."""
+    return branch_merge.merge(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders over all documents, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_near_dedup, op2_ann, op3_language_id, op4_quality_rules, op5_sharding, op6_packing, op7_lm_score, op8_url_filter, op9_bpe, op10_quality_model)
+    own = (op1_near_dedup, op2_ann, op3_language_id, op4_quality_rules, op5_sharding, op6_packing, op7_lm_score, op8_url_filter, op9_bpe, op10_quality_model, op12_branch_merge, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
