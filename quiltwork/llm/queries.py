@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltwork.llm import ann, bpe_codec, branch_merge, filter_audit, language_id, lm_score, near_dedup, oracles, packing, quality_model, quality_rules, sharding, url_filter
+from quiltwork.llm import ann, bpe_codec, branch_merge, filter_audit, language_id, lm_score, near_dedup, oracles, packing, pii, quality_model, quality_rules, sharding, url_filter
 from quiltwork.llm.common import table
 
 
@@ -69,6 +69,21 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def personal_data(docs: DataFrame) -> DataFrame:
+    """Base counts, the base spans' digest and all spans as text."""
+    found = pii.find(docs)
+    shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all texts."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches L and R of all documents, merged."""
     return branch_merge.merge(table(spark, sf_dir, "documents"))
@@ -82,7 +97,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_near_dedup, op2_ann, op3_language_id, op4_quality_rules, op5_sharding, op6_packing, op7_lm_score, op8_url_filter, op9_bpe, op10_quality_model, op12_branch_merge, op13_filter_audit)
+    own = (op1_near_dedup, op2_ann, op3_language_id, op4_quality_rules, op5_sharding, op6_packing, op7_lm_score, op8_url_filter, op9_bpe, op10_quality_model, op11_pii, op12_branch_merge, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
