@@ -8,7 +8,9 @@ right at y0, right at y1).  Polygons are lists of closed rings; holes are rings
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+from quiltwork.functions import kernels
 
 Point = tuple[float, float]
 Polygon = list[list[Point]]
@@ -43,23 +45,39 @@ def _heights(edges: list[tuple[float, float, float, float, int]]) -> list[float]
     return sorted(ys)
 
 
-def overlay(polygons: list[Polygon], keep: Callable[[list[bool]], bool]) -> list[Trapezoid]:
-    """Where ``keep`` holds for the list of which operands cover the place."""
-    edges = [e for k, p in enumerate(polygons) for e in _edges(p, k)]
+def _at(e: tuple, y: float) -> float:
+    return e[0] + (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1])
+
+
+def _slabs(edges: list[tuple]) -> Iterator[tuple[float, float, list[tuple]]]:
+    """Each slab's heights and its edges from left to right; an edge is looked at only between its own ends."""
     ys = _heights(edges)
-    out: list[Trapezoid] = []
+    order = sorted(range(len(edges)), key=lambda k: edges[k][1])
+    live: list[int] = []
+    begun = 0
     for y0, y1 in zip(ys, ys[1:], strict=False):
         mid = (y0 + y1) / 2
-        at = lambda e, y: e[0] + (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1])
-        live = sorted((e for e in edges if e[1] <= y0 and e[3] >= y1), key=lambda e: at(e, mid))
-        state, spans, begin = [False] * len(polygons), [], None
+        live = [k for k in live if edges[k][3] >= y1]
+        while begun < len(order) and edges[order[begun]][1] <= y0:
+            if edges[order[begun]][3] >= y1:
+                live.append(order[begun])
+            begun += 1
+        live.sort(key=lambda k: (_at(edges[k], mid), k))
+        yield y0, y1, [edges[k] for k in live]
+
+
+def _cover(edges: list[tuple], state: list[int], step: Callable[[list[int], tuple], None], keep: Callable[[list[int]], bool]) -> list[Trapezoid]:
+    """Where ``keep`` holds for the state that ``step`` changes at each edge, from left to right."""
+    out: list[Trapezoid] = []
+    for y0, y1, live in _slabs(edges):
+        now, spans, begin = list(state), [], None
         for e in live:
-            state[e[4]] = not state[e[4]]
-            inside = keep(state)
+            step(now, e)
+            inside = keep(now)
             if inside and begin is None:
-                begin = (at(e, y0), at(e, y1))
+                begin = (_at(e, y0), _at(e, y1))
             elif not inside and begin is not None:
-                end = (at(e, y0), at(e, y1))
+                end = (_at(e, y0), _at(e, y1))
                 if spans and abs(spans[-1][1][0] - begin[0]) + abs(spans[-1][1][1] - begin[1]) < 1e-12:  # two operands that meet
                     spans[-1] = (spans[-1][0], end)
                 else:
@@ -69,6 +87,26 @@ def overlay(polygons: list[Polygon], keep: Callable[[list[bool]], bool]) -> list
     return [t for t in out if t[4] > t[2] or t[5] > t[3]]
 
 
+def overlay(polygons: list[Polygon], keep: Callable[[list[bool]], bool]) -> list[Trapezoid]:
+    """Where ``keep`` holds for the list of which operands cover the place."""
+
+    def step(state: list, e: tuple) -> None:
+        state[e[4]] = not state[e[4]]
+
+    return _cover([e for k, p in enumerate(polygons) for e in _edges(p, k)], [False] * len(polygons), step, keep)
+
+
+def wound(ring: list[Point]) -> list[Trapezoid]:
+    """Where a ring winds around a place, however often: self-crossing and doubled rings cover what they enclose."""
+
+    def step(state: list, e: tuple) -> None:
+        state[0] += e[4]
+
+    ways = [1 if a[1] < b[1] else -1 for a, b in zip(ring, ring[1:], strict=False) if a[1] != b[1]]
+    edges = [(*e[:4], way) for e, way in zip(_edges([ring], 0), ways, strict=True)]
+    return _cover(edges, [0], step, lambda state: state[0] != 0)
+
+
 def area(parts: list[Trapezoid]) -> float:
     return sum((t[1] - t[0]) * (t[4] - t[2] + t[5] - t[3]) / 2 for t in parts)
 
@@ -77,8 +115,35 @@ def union(a: Polygon, b: Polygon) -> list[Trapezoid]:
     return overlay([a, b], any)
 
 
+def clip(shape: Polygon, frame: tuple[float, float, float, float]) -> Polygon:
+    """Rings cut to a box one by one; under the even-odd rule holes and the seams along the box stay right."""
+    x0, y0, x1, y1 = frame
+    out = []
+    for ring in shape:
+        xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+        if min(xs) >= x0 and max(xs) <= x1 and min(ys) >= y0 and max(ys) <= y1:
+            out.append(ring)
+            continue
+        for nx, ny, c in ((-1.0, 0.0, -x0), (1.0, 0.0, x1), (0.0, -1.0, -y0), (0.0, 1.0, y1)):
+            ring = kernels.clip_half_plane(ring, nx, ny, c)
+            if not ring:
+                break
+        if len(ring) > 3:
+            out.append(ring)
+    return out
+
+
+def _within(a: Polygon, b: Polygon) -> Polygon:
+    """``a`` cut to the box around ``b`` where that spares sweeping a long ring's far side."""
+    if sum(map(len, a)) <= 200 or not any(b):
+        return a
+    xs, ys = [x for r in b for x, _ in r], [y for r in b for _, y in r]
+    return clip(a, (min(xs), min(ys), max(xs), max(ys)))
+
+
 def intersect(a: Polygon, b: Polygon) -> list[Trapezoid]:
-    return overlay([a, b], all)
+    a = _within(a, b)
+    return overlay([a, _within(b, a)] if any(a) else [a, b], all)
 
 
 def difference(a: Polygon, b: Polygon) -> list[Trapezoid]:
@@ -93,8 +158,11 @@ def uncovered(outer: Polygon, polygons: list[Polygon]) -> list[Trapezoid]:
     return overlay([outer, *polygons], lambda s: s[0] and not any(s[1:]))
 
 
-def parts(trapezoids: list[Trapezoid], slack: float = 1e-12) -> list[list[Trapezoid]]:
-    """Groups of trapezoids that share a stretch of a border, largest area first."""
+def parts(trapezoids: list[Trapezoid], slack: float = 1e-12, close: float = 0.0) -> list[list[Trapezoid]]:
+    """Groups of trapezoids that share a stretch of a border, largest area first.
+
+    ``close``: heights that differ by no more are one; where slanted edges meet, rounding can lose a slab of that height.
+    """
     order = sorted(trapezoids)
     up = list(range(len(order)))
 
@@ -105,10 +173,14 @@ def parts(trapezoids: list[Trapezoid], slack: float = 1e-12) -> list[list[Trapez
         return x
 
     floor: dict[float, list[int]] = {}
+    level = lambda y: math.floor(y / close) if close else y
     for k, t in enumerate(order):
-        floor.setdefault(t[0], []).append(k)
+        floor.setdefault(level(t[0]), []).append(k)
     for k, t in enumerate(order):
-        for m in floor.get(t[1], ()):
+        top = level(t[1])
+        for m in [m for y in ((top - 1, top, top + 1) if close else (top,)) for m in floor.get(y, ())]:
+            if m == k or abs(order[m][0] - t[1]) > close:
+                continue
             if min(t[5], order[m][4]) - max(t[3], order[m][2]) > slack:
                 up[root(m)] = root(k)
     groups: dict[int, list[Trapezoid]] = {}

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from quiltwork.functions import board, kernels, morph
+from quiltwork.functions import board, morph
 from quiltwork.functions import overlay as ov
 from quiltwork.functions.overlay import Polygon, Trapezoid
 
@@ -35,24 +35,6 @@ class Sizes:
         return max(self.slice * self.unit, self.share * roof)
 
 
-def clip(shape: Polygon, frame: Frame) -> Polygon:
-    """Rings cut to a box one by one; under the even-odd rule holes and the seams along the box stay right."""
-    x0, y0, x1, y1 = frame
-    out = []
-    for ring in shape:
-        xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-        if min(xs) >= x0 and max(xs) <= x1 and min(ys) >= y0 and max(ys) <= y1:
-            out.append(ring)
-            continue
-        for nx, ny, c in ((-1.0, 0.0, -x0), (1.0, 0.0, x1), (0.0, -1.0, -y0), (0.0, 1.0, y1)):
-            ring = kernels.clip_half_plane(ring, nx, ny, c)
-            if not ring:
-                break
-        if len(ring) > 3:
-            out.append(ring)
-    return out
-
-
 def _parts(shape: Polygon) -> list[list[Trapezoid]]:
     return ov.parts(ov.union_all([shape]))
 
@@ -94,7 +76,7 @@ def onto(host: Polygon, roof: Polygon, spare: Polygon | None, extra: list[Polygo
         snap = lambda p: [[(round(x / sizes.grid) * sizes.grid, round(y / sizes.grid) * sizes.grid) for x, y in r] for r in p]
         ways.append(lambda: ov.union(snap(host), snap(roof)))
     if sizes.seam:
-        ways.append(lambda: morph.healed([host, roof], sizes.seam))
+        ways.append(lambda: morph.healed([host, roof], sizes.seam, by=morph.DISC))
     for way in ways:
         shape = board.as_polygon(way())
         if spare:

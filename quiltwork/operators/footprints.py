@@ -65,7 +65,7 @@ def survey(footprints: DataFrame, slots: DataFrame, size: float, sizes: settle.S
 
     def run(shape: ov.Polygon, w) -> list[tuple]:
         roof = _rings(w.roof)
-        held = board.shared(settle.clip(shape, (w.minx, w.miny, w.maxx, w.maxy)) or [[(0.0, 0.0)]], roof)
+        held = board.shared(ov.clip(shape, (w.minx, w.miny, w.maxx, w.maxy)) or [[(0.0, 0.0)]], roof)
         whole = board.area(roof)
         return [(int(w.key), int(w.ord), held, held >= sizes.floor(whole), whole)] if held > 0 else []
 
@@ -104,7 +104,7 @@ def detach(footprints: DataFrame, slots: DataFrame, size: float, pad: float, siz
     asked = sj.boxes_touch(windows, with_box(slots).drop("rings"), size, "key", "ord").select(F.col("r_ord").alias("ord"), "key", "minx", "miny", "maxx", "maxy")
 
     def cut(shape: ov.Polygon, w) -> list[tuple]:
-        part = settle.clip(shape, (w.minx, w.miny, w.maxx, w.maxy))
+        part = ov.clip(shape, (w.minx, w.miny, w.maxx, w.maxy))
         return [(int(w.key), int(w.ord), _cell(part))] if part and board.area(part) > 0 else []
 
     near = scratch.keep(_meet(asked, slots, cut, f"key long, ord long, rings {RINGS}"))

@@ -92,7 +92,7 @@ def test_a_window_accepts_only_what_the_whole_accepts():
     west = board.as_polygon(ov.difference(unit(0, 0, 1, 1), donor))
     house = unit(0.95, 0.25, 1.005, 0.85)
     frame = (0.9 * U, 0.2 * U, 1.05 * U, 0.9 * U)
-    parts = {k: settle.clip(p, frame) for k, p in enumerate((west, donor))}
+    parts = {k: ov.clip(p, frame) for k, p in enumerate((west, donor))}
     assert settle.run(parts, [(0, house)], SIZES, frame) is None
 
 
