@@ -23,8 +23,9 @@ from quiltwork.llm.common import Scratch, mix64
 LINKS, GROUND_LINKS, BUILD_WIDTH, LAYER_RATIO = 24, 48, 64, 16
 #: Points that a walk steps on at a time, points of the largest norm at which a search may start.
 STEPS, PIVOTS = 3, 256
-#: At least so many shards for parallel work; points of a shard, least and most where there are more; queries of a block.
-SHARDS, SHARD_POINTS, MOST_POINTS, QUERY_BLOCK = 16, 10_000, 100_000, 16_384
+#: At least so many shards for parallel work; most points of a shard, and most components of its points; queries of a
+#: block.  Recall falls with the points of a shard at a given width, so shards don't grow with the table.
+SHARDS, SHARD_POINTS, SHARD_COMPONENTS, QUERY_BLOCK = 16, 10_000, 16_000_000, 16_384
 
 
 def search_width(points: int) -> int:
@@ -262,16 +263,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, width: int | None =
 
     Nearness is the inner product in double precision; equal scores go by vec_id.  Rows with a null id or vector, an
     empty or zero vector, or a null or non-finite component take no part; vectors of different lengths have no inner
-    product and are searched apart.  Repeated (vec_id, vector) rows count once; a vec_id with several vectors may be
-    found by each, and asks with each, of which the best answers count.  Other columns are ignored.  An empty table
-    gives no rows.
+    product and are searched apart.  Candidates are rows: repeated (vec_id, vector) rows count once, and a vec_id with
+    several vectors is found by each of them, so that it may fill several ranks, and asks with each of them, of whose
+    answers the best ``k`` count; it never finds itself.  Long vectors make small shards.  Other columns are ignored.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     members = scratch.keep(_points(vectors, k))
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     n = F.count_distinct("point")
-    size = F.greatest(F.lit(SHARD_POINTS), F.least(F.lit(MOST_POINTS), (10 * F.sqrt(n)).cast("int")))
+    size = F.greatest(F.lit(1), F.least(F.lit(SHARD_POINTS), F.floor(SHARD_COMPONENTS / F.col("dim")).cast("int")))
     dims = scratch.keep(members.groupBy("dim").agg(F.greatest(F.lit(SHARDS), F.ceil(n / size)).cast("int").alias("shards"), F.max(norm).alias("longest")))
     points = members.groupBy("dim", "point", "vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     points = points.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("point"), F.col("shards")).cast("int"))
@@ -324,7 +326,5 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, width: int | None =
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     parts = left.cogroup(right).applyInArrow(run, schema)
-    if not members.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # ids with several vectors
-        parts = parts.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

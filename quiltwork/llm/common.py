@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts travel to Python in small batches, whatever the session's default is."""
+def small_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
+    """Texts travel to Python in small batches, whatever the session's default is; ``most_bytes`` bounds long texts too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    if most_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 # ---------------------------------------------------------------- Arrow views

@@ -74,6 +74,9 @@ def _sample(train: DataFrame) -> dict[str, Counts]:
             out[langs[a]][int(lengths[a])] = (keys[a:b], n[a:b])
     return out
 
+#: Bytes of an Arrow batch of texts; a longer text is a batch of its own.
+BATCH_BYTES = 16 << 20
+
 
 class Model:
     """Context trees of all languages as lookup tables."""
@@ -210,7 +213,8 @@ def _classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.
     data, offsets = byte_view(texts)
     parts = [model.code_lengths(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
     bits = np.concatenate(parts) if parts else np.zeros((0, len(model.langs)))
-    lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+    # slice by slice, so that only a slice's texts are Python strings at a time
+    lettered = np.array([t is not None and any(map(str.isalpha, t)) for a, b in slices(offsets) for t in texts.slice(a, b - a).to_pylist()], bool)
     if not model.langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     best = bits.argmin(axis=1)
@@ -227,7 +231,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Of equal code lengths the first language by name wins.  Equal texts and repeated rows are judged alike, texts of
     any length are coded whole, other columns are ignored, and an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +250,7 @@ def keep_known(docs: DataFrame, model: Model, most_bits: float = 8.0) -> DataFra
     worse than no model at all; null and empty texts are ``und``.  Repeated rows are kept or rejected alike, with or
     without doc_id; texts of any length are coded whole; columns of any name are carried along.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -17,6 +17,23 @@ def tokenizer():
     return Tokenizer.from_file(bpe.default_path())
 
 
+# ---------------------------------------------------------------- 3, memory
+
+
+def test_language_of_long_texts_needs_memory_for_slices_only():
+    """64 texts of 400 kB: the peak is that of a slice or two, not of all texts at once."""
+    import tracemalloc
+
+    model = language_id.Model.of({"en": [b"the cat sat on the mat"], "de": ["der hund lief \u00fcber die stra\u00dfe".encode()]})
+    texts = pa.array(["the cat déf " * 33_000] * 64, pa.large_string())
+    language_id._classify(model, texts.slice(0, 1))  # tables are made
+    tracemalloc.start()
+    names, share, rate = language_id._classify(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["en"] * 64 and peak < 150e6  # the texts alone are 25 MB, and twice that as Python strings
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -54,6 +71,17 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_ids_with_several_vectors(spark):
+    """Candidates are rows: one id may fill the ranks, in the same way as in plain enumeration."""
+    rows = [(20, [1.0, 0.0])] + [(1, [2.0 + j / 1000, 0.0]) for j in range(1000)] + [(100 + j, [1.0 - j / 100, 1.0]) for j in range(30)] + [(40, [0.0, 1.0]), (40, [0.0, 3.0]), (40, [0.0, 3.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = []
+    for q in (20, 40, 100, 120):
+        pairs = sorted((-(a[0] * b[0] + a[1] * b[1]), i) for i, b in {(i, tuple(v)) for i, v in rows} if i != q for a in {tuple(v) for i2, v in rows if i2 == q})
+        want += [(q, k, i, round(-s, 9)) for k, (s, i) in enumerate(pairs[:20], 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_ann_repeated_rows_leave_room_for_others(spark):
     rows = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0]), (3, [0.0, 1.0])]
     out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=1).collect()
