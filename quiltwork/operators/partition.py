@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quiltwork.config import CONFIG
 from quiltwork.functions import board, heal, kernels, metric, morph, planar, ring
 from quiltwork.functions import overlay as ov
-from quiltwork.operators import graph
 from quiltwork.operators import spatial_join as sj
+from quiltwork.operators import ways
 
 
 def _tidy(x):
@@ -81,12 +81,12 @@ def cell_borders(cells: DataFrame, box: tuple[float, float, float, float], digit
     return e.select(F.xxhash64("a", "b").alias("border"), c("a.x").alias("ax"), c("a.y").alias("ay"), c("b.x").alias("bx"), c("b.y").alias("by"))
 
 
-def follow_streets(borders: DataFrame, edges: DataFrame, nodes: DataFrame, reach: float = CONFIG.snap_reach_m, near: float = 2.0, tasks: int = 16) -> DataFrame:
+def follow_streets(borders: DataFrame, edges: DataFrame, nodes: DataFrame, reach: float = CONFIG.snap_reach_m, near: float = 2.0) -> DataFrame:
     """border, line: each border along the street graph, between the nodes nearest to its ends within ``reach`` metres.
 
-    An end more than ``near`` metres from its node stays as the line's end; a border without a way stays straight.
-    ``edges``: src, dst, w between node names; ``nodes``: node, x, y.  The graph, of an area of bounded size, goes to
-    ``tasks`` tasks, each with its share of the borders.
+    A step off the border's direction costs more, so that a border keeps to it.  An end more than ``near`` metres from
+    its node stays as the line's end; a border without a way stays straight.  ``edges``: src, dst, w between node names;
+    ``nodes``: node, x, y.
     """
     c = F.col
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
@@ -95,11 +95,13 @@ def follow_streets(borders: DataFrame, edges: DataFrame, nodes: DataFrame, reach
     snapped = snapped.select(c("e")[0].cast("long").alias("border"), c("e")[1].alias("side"), "target", "d")
     ends = snapped.groupBy("border").agg(*[F.max(F.when(c("side") == s, c(v))).alias(f"{v}_{s}") for s in ("a", "b") for v in ("target", "d")])
     ends = ends.where("target_a IS NOT NULL AND target_b IS NOT NULL AND target_a <> target_b")
-    asked = ends.select((F.pmod(F.xxhash64("border"), F.lit(tasks))).alias("project"), c("target_a").alias("src"), c("target_b").alias("dst")).distinct()
-    spread = edges.withColumn("project", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
-    ways = graph.routes(spread, asked, "project", 10**6).where("path IS NOT NULL").select("src", "dst", "path").dropDuplicates(["src", "dst"])
-    steps = ways.select("src", "dst", F.posexplode("path").alias("k", "node")).join(nodes, "node").groupBy("src", "dst").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", point("x", "y").alias("p")))), lambda s: s["p"]).alias("way"))
-    found = ends.join(steps, (c("target_a") == c("src")) & (c("target_b") == c("dst"))).select("border", "way", "d_a", "d_b")
+    place = lambda n, x, y: nodes.select(c("node").alias(n), c("x").alias(x), c("y").alias(y))
+    placed = edges.join(place("src", "ax", "ay"), "src").join(place("dst", "bx", "by"), "dst")
+    asked = ends.select(c("border").alias("key"), c("target_a").alias("src"), c("target_b").alias("dst")).join(borders.select(c("border").alias("key"), metric.bearing(c("ax"), c("ay"), c("bx"), c("by")).alias("bearing")), "key")
+    asked = asked.join(place("src", "sx", "sy"), "src").join(place("dst", "tx", "ty"), "dst")
+    found = ways.routes(placed, asked, budget=10**6).where("path IS NOT NULL")
+    steps = found.select(c("key").alias("border"), F.posexplode("path").alias("k", "node")).join(nodes, "node").groupBy("border").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", point("x", "y").alias("p")))), lambda s: s["p"]).alias("way"))
+    found = ends.join(steps, "border").select("border", "way", "d_a", "d_b")
     none = F.array().cast("array<struct<x:double,y:double>>")
     end = lambda s: F.when(c(f"d_{s}") > near, F.array(point(f"{s}x", f"{s}y"))).otherwise(none)
     straight = F.array(point("ax", "ay"), point("bx", "by"))

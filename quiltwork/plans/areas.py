@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions import mercator, metric, ring
-from quiltwork.operators import cache, graph, outliers, partition, raster, running
+from quiltwork.operators import cache, graph, outliers, partition, raster, running, ways
 from quiltwork.plans.registry import LAYERS, layers, query
 from quiltwork.plans.spatial import independent_counts, point_lookup
 from quiltwork.sources import payload, synth
@@ -123,15 +123,14 @@ def street_graph(spark, sf_dir):
 )
 def shortest_paths(spark, sf_dir):
     """Shortest ways from each crossing of the street board to the one 37 places before it."""
-    s = synth.streets(spark, sf_dir)
-    # the graph, of an area of bounded size, goes to 16 tasks, each with its share of the pairs
-    edges = graph.build(_noded(spark, sf_dir)).withColumn("project", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    r = lambda c: F.floor(F.col(c) * 1e5 + 0.5).cast("long")
-    lines = s.agg(F.sort_array(F.collect_set(F.when(F.col("id") % 2 == 1, r("ax")))).alias("xs"), F.sort_array(F.collect_set(F.when(F.col("id") % 2 == 0, r("ay")))).alias("ys"))  # at most 200 lines
-    at = lines.select("xs", "ys", F.explode(F.sequence(F.lit(1).cast("long"), F.size("xs").cast("long") * F.size("ys"))).alias("k")).where("k > 37")
-    name = lambda k: F.concat_ws(",", F.get("xs", F.floor((k - 1) / F.size("ys")).cast("int")).cast("string"), F.get("ys", ((k - 1) % F.size("ys")).cast("int")).cast("string"))
-    pairs = at.select((F.col("k") % 16).alias("project"), name(F.col("k")).alias("src"), name(F.col("k") - 37).alias("dst"))
-    return graph.routes(edges, pairs, "project", 10**7).select("src", "dst", F.floor(F.col("meters") + 0.5).alias("meters"))
+    from quiltwork.plans import routes
+
+    c = F.col
+    nodes = routes._crossings(spark, sf_dir)
+    to = nodes.select((c("k") + 37).alias("k"), c("node").alias("dst"), c("x").alias("tx"), c("y").alias("ty"))
+    asked = nodes.join(to, "k").select(c("k").alias("key"), c("node").alias("src"), "dst", c("x").alias("sx"), c("y").alias("sy"), "tx", "ty", F.lit(None).alias("bearing"))
+    found = ways.routes(routes.placed(spark, sf_dir), asked, budget=10**7)
+    return asked.select("key", "src", "dst").join(found, "key").select("src", "dst", F.floor(c("meters") + 0.5).alias("meters"))
 
 
 @query(f"{layers('b', 't')}, l AS (SELECT 19.901e0 AS ax, 50.0007e0 AS ay, 19.9193e0 AS bx, 50.0183e0 AS b_y), e AS (SELECT ord, minx AS px, miny AS py, maxx AS qx, miny AS qy FROM t UNION ALL SELECT ord, maxx, miny, maxx, maxy FROM t UNION ALL SELECT ord, maxx, maxy, minx, maxy FROM t UNION ALL SELECT ord, minx, maxy, minx, miny FROM t), d AS (SELECT ord, (bx - ax) * (py - ay) - (b_y - ay) * (px - ax) AS d1, (bx - ax) * (qy - ay) - (b_y - ay) * (qx - ax) AS d2, (qx - px) * (ay - py) - (qy - py) * (ax - px) AS d3, (qx - px) * (b_y - py) - (qy - py) * (bx - px) AS d4 FROM e CROSS JOIN l) SELECT ord, CAST(count(*) AS BIGINT) AS crossings, count(*) >= 2 AS separates FROM d WHERE d1 * d2 < 0 AND d3 * d4 < 0 GROUP BY ord")

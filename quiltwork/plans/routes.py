@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quiltwork.config import CONFIG
 from quiltwork.functions import facts, metric
-from quiltwork.operators import boards, graph, raster
+from quiltwork.operators import boards, graph, raster, ways
 from quiltwork.operators import spatial_join as sj
 from quiltwork.plans.areas import _EV, _NODED, _noded
 from quiltwork.plans.registry import layers, query
@@ -43,6 +43,13 @@ def _crossings(spark, sf_dir):
     return at.select("k", F.concat_ws(",", x.cast("string"), y.cast("string")).alias("node"), (x / 1e5).alias("x"), (y / 1e5).alias("y"))
 
 
+def placed(spark, sf_dir):
+    """src, dst, w of the street graph with its nodes' places."""
+    nodes = _nodes(spark, sf_dir)
+    end = lambda n, x, y: nodes.select(c("node").alias(n), c("x").alias(x), c("y").alias(y))
+    return graph.build(_noded(spark, sf_dir)).join(end("src", "ax", "ay"), "src").join(end("dst", "bx", "by"), "dst")
+
+
 _HOP = "abs({b}.y - {a}.y) / 1e5 * 110540e0 + abs({b}.x - {a}.x) / 1e5 * 111320e0 * cos(radians(greatest({a}.y, {b}.y) / 1e5))"
 
 
@@ -54,16 +61,31 @@ _HOP = "abs({b}.y - {a}.y) / 1e5 * 110540e0 + abs({b}.x - {a}.x) / 1e5 * 111320e
 def routed_lines(spark, sf_dir):
     """Lines of two hops between crossings: each hop follows the streets unless that is too long a way round."""
     nodes = _crossings(spark, sf_dir)
-    edges = graph.build(_noded(spark, sf_dir)).withColumn("project", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
     to = nodes.select((c("k") + 13).alias("k"), c("node").alias("dst"), c("x").alias("tx"), c("y").alias("ty"))
-    hops = nodes.join(to, "k").select("k", c("node").alias("src"), "dst", metric.dist(c("x"), c("y"), c("tx"), c("ty")).alias("direct"))
-    ways = graph.routes(edges, hops.select((c("k") % 16).alias("project"), "src", "dst"), "project", 10**7)
-    taken = hops.join(ways, ["src", "dst"]).withColumn("ok", facts.accepts_detour(c("meters"), c("direct")))
+    hops = nodes.join(to, "k").select("k", c("node").alias("src"), "dst", c("x").alias("sx"), c("y").alias("sy"), "tx", "ty", metric.dist(c("x"), c("y"), c("tx"), c("ty")).alias("direct"))
+    found = ways.routes(placed(spark, sf_dir), hops.withColumnRenamed("k", "key").withColumn("bearing", F.lit(None)), budget=10**7).withColumnRenamed("key", "k")
+    taken = hops.join(found, "k").withColumn("ok", facts.accepts_detour(c("meters"), c("direct")))
     taken = taken.select("k", "ok", F.when(c("ok"), c("meters")).otherwise(c("direct")).alias("m"))
     after = taken.select((c("k") + 13).alias("k"), c("ok").alias("ok2"), c("m").alias("m2"))
     return taken.join(after, "k").select("k", F.floor(c("m") + c("m2") + 0.5).alias("meters"), c("ok").alias("first_routed"), c("ok2").alias("second_routed"))
 
 
+_TURNED = "(1 + 0.3e0 * (CASE WHEN {d} > 90 THEN 180 - {d} ELSE {d} END) / 90)"
+
+
+@query(
+    f"""{layers('s')}, {_NODED}, c AS (SELECT v.x, h.y, row_number() OVER (ORDER BY v.x, h.y) AS k FROM v CROSS JOIN h), p AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM c a JOIN c b ON b.k = a.k - 29),
+    m AS (SELECT k, abs(b_y - ay) / 1e5 * 110540e0 AS up, abs(bx - ax) / 1e5 * 111320e0 * cos(radians(greatest(ay, b_y) / 1e5)) AS side, degrees(atan2((bx - ax) / 1e5 * 111320e0 * cos(radians((ay + b_y) / 2e5)), (b_y - ay) / 1e5 * 110540e0)) AS way FROM p)
+    SELECT k, CAST(floor((up * {_TURNED.format(d='(abs(0 - way) % 180)')} + side * {_TURNED.format(d='(abs(90 - way) % 180)')}) * 10 + 0.5e0) AS BIGINT) AS cost, CAST(floor((up + side) * 10 + 0.5e0) AS BIGINT) AS dm FROM m"""
+)
+def bearing_routes(spark, sf_dir):
+    """Ways between crossings 29 places apart that keep to the direction asked for: cost and length in decimetres."""
+    nodes = _crossings(spark, sf_dir)
+    to = nodes.select((c("k") + 29).alias("k"), c("node").alias("dst"), c("x").alias("tx"), c("y").alias("ty"))
+    asked = nodes.join(to, "k").select(c("k").alias("key"), c("node").alias("src"), "dst", c("x").alias("sx"), c("y").alias("sy"), "tx", "ty", metric.bearing(c("x"), c("y"), c("tx"), c("ty")).alias("bearing"))
+    return ways.routes(placed(spark, sf_dir), asked, budget=10**7).select(c("key").alias("k"), F.floor(c("cost") * 10 + 0.5).alias("cost"), F.floor(c("meters") * 10 + 0.5).alias("dm"))
+
+
 @query(f"{layers('t')}, w AS (SELECT ord, 5 + ord % 4 AS w, 4 + ord % 3 AS h FROM t) SELECT ord, CAST(w * h - 1 AS BIGINT) AS cells, CAST(w + h - 1 AS BIGINT) AS steps, CAST(2 AS BIGINT) AS rings, CAST(5 AS BIGINT) AS corners, CAST(w * h AS BIGINT) AS outer_size, TRUE AS along, FALSE AS across, CAST(0 AS BIGINT) AS snapped, CAST(2 AS BIGINT) AS pulled, CAST(1 AS BIGINT) AS labels FROM w")
 def raster_ways(spark, sf_dir):
     """Boards of cells with a hole: ways, sight lines, snapping, outlines and components."""
