@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quiltwork.config import CONFIG
 from quiltwork.functions import facts, metric
-from quiltwork.operators import boards, graph, raster, ways
+from quiltwork.operators import boards, follow, graph, raster, ways
 from quiltwork.operators import spatial_join as sj
 from quiltwork.plans.areas import _EV, _NODED, _noded
 from quiltwork.plans.registry import layers, query
@@ -86,6 +86,42 @@ def bearing_routes(spark, sf_dir):
     return ways.routes(placed(spark, sf_dir), asked, budget=10**7).select(c("key").alias("k"), F.floor(c("cost") * 10 + 0.5).alias("cost"), F.floor(c("meters") * 10 + 0.5).alias("dm"))
 
 
+_INSET = "(1 + ord % 3) * 1.3e-4{d}"
+
+
+def _drawn_rings(spark, sf_dir):
+    """Territories drawn by hand: each a little inside its box, with a vertex in the middle of its west side."""
+    m = _INSET.format(d="D")
+    at = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    corners = [at(f"minx + {m}", f"miny + {m}"), at(f"maxx - {m}", f"miny + {m}"), at(f"maxx - {m}", f"maxy - {m}"), at(f"minx + {m}", f"maxy - {m}"), at(f"minx + {m}", "(miny + maxy) / 2")]
+    return synth.territories(spark, sf_dir).selectExpr("ord AS key", f"array({', '.join(corners)}) AS ring")
+
+
+_M = _INSET.format(d="")
+
+
+@query(
+    f"""{layers('s', 't')}, {_NODED}, r AS (SELECT ord, 0 AS i, minx + {_M} AS x, miny + {_M} AS y FROM t UNION ALL SELECT ord, 1, maxx - {_M}, miny + {_M} FROM t UNION ALL SELECT ord, 2, maxx - {_M}, maxy - {_M} FROM t UNION ALL SELECT ord, 3, minx + {_M}, maxy - {_M} FROM t UNION ALL SELECT ord, 4, minx + {_M}, (miny + maxy) / 2 FROM t),
+    a AS (SELECT ord, i, r.x, r.y, least(greatest(r.x, 19.9e0), 19.92e0) AS px, h.y / 1e5 AS py FROM r CROSS JOIN h UNION ALL SELECT ord, i, r.x, r.y, v.x / 1e5, least(greatest(r.y, 50e0), 50.02e0) FROM r CROSS JOIN v),
+    d AS (SELECT *, sqrt(pow((px - x) * 111320e0 * cos(radians(y)), 2) + pow((py - y) * 110540e0, 2)) AS m FROM a),
+    b AS (SELECT *, row_number() OVER (PARTITION BY ord, i ORDER BY m, px, py) AS k FROM d WHERE m <= 25),
+    p AS (SELECT r.ord, r.i, coalesce(b.px, r.x) AS x, coalesce(b.py, r.y) AS y, b.px IS NOT NULL AS hit FROM r LEFT JOIN b ON b.ord = r.ord AND b.i = r.i AND b.k = 1),
+    k AS (SELECT ax AS x, ay AS y FROM n UNION SELECT bx, by_ FROM n), e AS (SELECT p.ord, p.i, k.x || ',' || k.y AS node, sqrt({_D2.format(ax='p.x', ay='p.y', bx='(k.x / 1e5)', by='(k.y / 1e5)')}) AS m FROM p CROSS JOIN k WHERE p.hit),
+    f AS (SELECT *, row_number() OVER (PARTITION BY ord, i ORDER BY m, node) AS q FROM e WHERE m <= 25)
+    SELECT p.ord AS key, p.i, CAST(floor(p.x * 1e7 + 0.5e0) AS BIGINT) AS lng, CAST(floor(p.y * 1e7 + 0.5e0) AS BIGINT) AS lat, p.hit, f.node FROM p LEFT JOIN f ON f.ord = p.ord AND f.i = p.i AND f.q = 1"""
+)
+def ring_anchors(spark, sf_dir):
+    """Vertices of drawn rings, on the nearest street within 25 m, and the nodes at which ways along streets begin."""
+    at = lambda v: F.floor(c(v) * 1e7 + 0.5)
+    return follow.anchors(_drawn_rings(spark, sf_dir), placed(spark, sf_dir)).select("key", "i", at("x").alias("lng"), at("y").alias("lat"), "hit", "node")
+
+
+@query()
+def followed_rings(spark, sf_dir):
+    """Drawn rings led along the streets: points, vertices moved, edges that follow."""
+    return follow.follow(_drawn_rings(spark, sf_dir), placed(spark, sf_dir)).select("key", F.size("ring").alias("points"), "moved", "routed")
+
+
 @query(f"{layers('t')}, w AS (SELECT ord, 5 + ord % 4 AS w, 4 + ord % 3 AS h FROM t) SELECT ord, CAST(w * h - 1 AS BIGINT) AS cells, CAST(w + h - 1 AS BIGINT) AS steps, CAST(2 AS BIGINT) AS rings, CAST(5 AS BIGINT) AS corners, CAST(w * h AS BIGINT) AS outer_size, TRUE AS along, FALSE AS across, CAST(0 AS BIGINT) AS snapped, CAST(2 AS BIGINT) AS pulled, CAST(1 AS BIGINT) AS labels FROM w")
 def raster_ways(spark, sf_dir):
     """Boards of cells with a hole: ways, sight lines, snapping, outlines and components."""
