@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from quiltwork.functions import morph, repair
+from quiltwork.functions import morph, repair, snap
 from quiltwork.functions import overlay as ov
 from quiltwork.operators import boards
 from quiltwork.plans.registry import query
@@ -131,3 +131,27 @@ def round_openings(spark, sf_dir):
 
     rows = synth.read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", *[s.strip() for s in _GAP.split(", ")])
     return boards.each(rows, run, "id long, lobes long, size long")
+
+
+@query("SELECT c_custkey AS id, CAST(2 + c_custkey % 3 AS BIGINT) AS cuts, CAST(1 AS BIGINT) AS rings, CAST(5 AS BIGINT) AS corners, CAST((30 + c_custkey % 47) * (20 + c_custkey % 31) AS BIGINT) AS size, TRUE AS apart FROM customer")
+def snapped_cuts(spark, sf_dir):
+    """Boxes cut up by slanted lines on a grid of a hundredth and joined again: one ring without a seam.
+
+    ``apart``: no piece lies on another by more than a cell's width along their border.
+    """
+
+    def run(r):
+        w, h = 30 + r.id % 47, 20 + r.id % 31
+        pieces = [morph.box(0, 0, w, h)]
+        for k in range(2 + r.id % 3):
+            t = 0.3 + (r.id * 7 + k * 11) % 23 / 9
+            x, y = w * (0.3 + 0.07 * ((r.id + k) % 6)), h * (0.35 + 0.05 * ((r.id + 2 * k) % 7))
+            dx, dy = 500 * math.cos(t), 500 * math.sin(t)
+            half = [[(x - dx, y - dy), (x + dx, y + dy), (x + dx - dy, y + dy + dx), (x - dx - dy, y - dy + dx), (x - dx, y - dy)]]
+            j = (r.id + k) % len(pieces)
+            pieces[j : j + 1] = [p for p in (snap.intersect(pieces[j], half, 0.01), snap.difference(pieces[j], half, 0.01)) if p]
+        whole = snap.union(pieces, 0.01)
+        apart = all(snap.area(snap.intersect(a, b, 0.01)) < 0.01 * (w + h) for i, a in enumerate(pieces) for b in pieces[:i])
+        return [(r.id, 2 + r.id % 3, len(whole), len(whole[0]), round(snap.area(whole)), apart)]
+
+    return boards.each(synth.read(spark, sf_dir, "customer").selectExpr("c_custkey AS id"), run, "id long, cuts long, rings long, corners long, size long, apart boolean")
