@@ -163,3 +163,47 @@ def _apply(slots: DataFrame, moves: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["ord", "rings"])
 
     return slots.join(moved, "ord", "left").mapInPandas(go, f"ord long, rings {RINGS}")
+
+
+def issues(slots: DataFrame, footprints: DataFrame, points: DataFrame, size: float, pad: float, sizes: settle.Sizes) -> DataFrame:
+    """ord, parts, split, is_empty, crossed (footprints that it and others claim), fixable: what is wrong with each territory.
+
+    ``points``: id, x, y of the buildings.  A split territory can always be fixed; a crossed one if the repair, run on a
+    copy and thrown away, moves one of its crossings; an empty one if a territory with buildings touches it.
+    """
+    c = F.col
+    scratch = Scratch(slots.sparkSession, "issues")
+    slots = scratch.keep(with_box(slots.select("ord", "rings")))
+    crossings = scratch.keep(detach(footprints, slots, size, pad, sizes)[0])
+    claims = survey(footprints, slots, size, sizes).where("claim").select("id", "ord")
+    crossed = claims.join(crossings.select("id", c("taker").isNotNull().alias("moves")), "id").groupBy("ord").agg(F.count("*").alias("crossed"), F.max("moves").alias("moves"))
+
+    def look(batches):
+        for rows in batches:
+            yield pd.DataFrame([(r.ord, len(board.pieces(_rings(r.rings)))) for r in rows.itertuples(index=False)], columns=["ord", "parts"])
+
+    parts = slots.select("ord", "rings").mapInPandas(look, "ord long, parts long")
+    inside = sj.points_in_boxes(points.select("id", "x", "y"), slots, size)
+
+    def hold(batches):
+        for rows in batches:
+            own = [(r.id, r.ord) for r in rows.itertuples(index=False) if _holds(_rings(r.rings), r.x, r.y)]
+            yield pd.DataFrame(own, columns=["id", "ord"])
+
+    counts = scratch.keep(inside.select("id", "x", "y", "ord", "rings").mapInPandas(hold, "id long, ord long").groupBy("ord").agg(F.countDistinct("id").alias("buildings")))
+    near = sj.boxes_touch(slots.drop("rings"), slots.drop("rings"), size, "ord", "ord").where("ord <> r_ord").select("ord", c("r_ord").alias("other"))
+    helped = near.join(counts.select(c("ord").alias("other")), "other").select("ord").distinct().withColumn("helped", F.lit(True))
+    out = parts.join(counts, "ord", "left").join(crossed, "ord", "left").join(helped, "ord", "left")
+    split, empty, no = c("parts") > 1, c("buildings").isNull(), F.lit(False)
+    fixable = split | F.coalesce("moves", no) | (empty & F.coalesce("helped", no))
+    return out.select("ord", "parts", split.alias("split"), empty.alias("is_empty"), F.coalesce("crossed", F.lit(0)).cast("long").alias("crossed"), fixable.alias("fixable"))
+
+
+def _holds(shape: ov.Polygon, x: float, y: float) -> bool:
+    """Even-odd, with a place on the lower or left border inside."""
+    inside = False
+    for ring in shape:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+            if (ay <= y) != (by <= y) and ax + (bx - ax) * (y - ay) / (by - ay) <= x:
+                inside = not inside
+    return inside

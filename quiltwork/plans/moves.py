@@ -69,3 +69,20 @@ def moved_board(spark, sf_dir):
         return [(r.ord, round(board.area(shape)), len(board.pieces(shape)))]
 
     return boards.each(after, run, "ord long, size long, parts long")
+
+
+@query(
+    f"""WITH RECURSIVE {_MOVES[5:]}, pp AS (SELECT k.id, m.taker FROM k JOIN (SELECT root, step, max(taker) AS taker FROM u GROUP BY root, step) m ON m.root = k.root AND m.step = k.step),
+    nn AS (SELECT t.ord, count(b.id) AS n FROM t LEFT JOIN (SELECT id, CAST(round((x - 19.9e0) * 1e6) AS BIGINT) AS x, CAST(round((y - 50e0) * 1e6) AS BIGINT) AS y FROM b) b ON b.x >= t.x0 AND b.x < t.x1 AND b.y >= t.y0 AND b.y < t.y1 GROUP BY t.ord),
+    zz AS (SELECT o.ord, count(*) AS crossed, bool_or(pp.taker IS NOT NULL) AS moves FROM o JOIN pp ON pp.id = o.id WHERE s >= greatest({UNIT!r}e0, 0.02e0 * a) GROUP BY o.ord)
+    SELECT n.ord, CAST(CASE WHEN n.ord % 4 = 1 THEN 2 ELSE 1 END AS BIGINT) AS parts, n.ord % 4 = 1 AS split, n.n = 0 AS is_empty, CAST(coalesce(zz.crossed, 0) AS BIGINT) AS crossed,
+     n.ord % 4 = 1 OR coalesce(zz.moves, FALSE) OR (n.n = 0 AND EXISTS (SELECT 1 FROM nn q JOIN t ON t.ord = q.ord JOIN t w ON w.ord = n.ord WHERE q.n > 0 AND q.ord <> n.ord AND t.x0 <= w.x1 AND w.x0 <= t.x1 AND t.y0 <= w.y1 AND w.y0 <= t.y1)) AS fixable FROM nn n LEFT JOIN zz ON zz.ord = n.ord"""
+)
+def issue_kinds(spark, sf_dir):
+    """What is wrong with each territory, by kind, and whether it can be fixed; each fourth territory is in two parts."""
+    slots = _whole(synth.territories(spark, sf_dir, 0.004), "ord")
+    # a second part inside the first one's box would not lie apart: it is a strip beyond the board
+    away = F.transform("rings", lambda p: F.struct((p["r"] + 1).alias("r"), (p["x"] / 10 + 30000 + F.col("ord") * 3000).alias("x"), (p["y"] / 10).alias("y")))
+    slots = slots.withColumn("rings", F.when(F.col("ord") % 4 == 1, F.concat("rings", away)).otherwise(F.col("rings")))
+    points = synth.buildings(spark, sf_dir).select("id", F.round((F.col("x") - 19.9) * 1e6).alias("x"), F.round((F.col("y") - 50.0) * 1e6).alias("y"))
+    return footprints.issues(slots, _whole(synth.footprints(spark, sf_dir), "id"), points, 400.0, 10.0, SIZES)
