@@ -149,7 +149,7 @@ def snapped_cuts(spark, sf_dir):
             dx, dy = 500 * math.cos(t), 500 * math.sin(t)
             half = [[(x - dx, y - dy), (x + dx, y + dy), (x + dx - dy, y + dy + dx), (x - dx - dy, y - dy + dx), (x - dx, y - dy)]]
             j = (r.id + k) % len(pieces)
-            pieces[j : j + 1] = [p for p in (snap.intersect(pieces[j], half, 0.01), snap.difference(pieces[j], half, 0.01)) if p]
+            pieces = snap.cut(pieces, j, half, 0.01)
         whole = snap.union(pieces, 0.01)
         apart = all(snap.area(snap.intersect(a, b, 0.01)) < 0.01 * (w + h) for i, a in enumerate(pieces) for b in pieces[:i])
         return [(r.id, 2 + r.id % 3, len(whole), len(whole[0]), round(snap.area(whole)), apart)]
