@@ -83,12 +83,13 @@ _SEG = """q AS (SELECT b.id, s.id AS street, x, y, ax, ay, bx, "by", 111320e0 *
 
 
 def _street_distances(spark, sf_dir):
+    """Buildings with their closest points on the lines around them; a line that several streets follow counts once."""
     pad = 0.0005
-    s = synth.streets(spark, sf_dir).select(F.col("id").alias("street"), "ax", "ay", "bx", "by")
+    s = synth.streets(spark, sf_dir).select("ax", "ay", "bx", "by").distinct()
     cells = sj.box_cells(s, 0.001, pad, ("ax", "ay", "bx", "by"))
     p = sj.point_cells(synth.buildings(spark, sf_dir).select("id", "x", "y"), 0.001).join(cells, ["cx", "cy"])
     p = p.where((F.col("x") >= F.col("ax") - pad) & (F.col("x") <= F.col("bx") + pad) & (F.col("y") >= F.col("ay") - pad) & (F.col("y") <= F.col("by") + pad))
-    return p.withColumn("c", metric.closest_on_segment(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))).select("id", "street", "c")
+    return p.withColumn("c", metric.closest_on_segment(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))).select("id", "c")
 
 
 @query(f"{layers('b', 's')}, {_SEG} SELECT id, CAST(min(floor(m * 100 + 0.5e0)) AS BIGINT) AS cm FROM v GROUP BY id")
