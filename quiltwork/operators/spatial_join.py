@@ -67,14 +67,19 @@ def _reach_m(y: Column, cells: float) -> Column:
     return F.lit(cells) * F.least(F.lit(CONFIG.lat_m), CONFIG.lng_m * F.cos(F.radians(F.least(F.lit(90.0), F.abs(y) + cells))))
 
 
-def _widening(points: DataFrame, targets: DataFrame, key: str, size: float, pick) -> DataFrame:
-    """Points and targets (tx, ty) meet in 3 x 3 cells; ``pick`` gives key and d of the hits; points whose d may be beaten
-    by a target outside these cells go on with cells four times as wide.  Each round sees only what is not settled."""
+def _dense_size(points: DataFrame, a_cell: float) -> float | None:
+    """Width of cells that hold so many points each, were they spread evenly over their box; None without points."""
+    box = points.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()  # one row
+    return max(1e-6, math.sqrt(max(box["w"], 1e-6) * max(box["h"], 1e-6) * a_cell / box["n"])) if box["n"] else None
+
+
+def _widening(points: DataFrame, key: str, size: float, pick) -> DataFrame:
+    """Points meet targets in 3 x 3 cells; ``pick(rest, size, first)`` gives key and d of the hits; points whose d may be
+    beaten by a target outside these cells go on with cells four times as wide.  Each round sees only what is not settled."""
     scratch = Scratch(points.sparkSession, "nearest")
     rest, found = points.select(key, "x", "y"), None
     while True:
-        near = ring_cells(point_cells(targets, size, "tx", "ty"), 1)
-        hits = pick(point_cells(rest, size).join(near, ["cx", "cy"]))
+        hits = pick(point_cells(rest, size), size, found is None)
         last = size >= 720  # all targets are in reach
         judged = scratch.keep(rest.join(hits, key, "left").withColumn("_settled", F.lit(last) | F.coalesce(F.col("d") <= _reach_m(F.col("y"), size), F.lit(False))))
         done = judged.where(F.col("_settled") & F.col("d").isNotNull()).drop("x", "y", "_settled")
@@ -85,27 +90,53 @@ def _widening(points: DataFrame, targets: DataFrame, key: str, size: float, pick
         size *= 4
 
 
+def _may_hold(fine: float) -> Column:
+    """No more than the metres (``metric.dist``) from a point (x, y) to any place in the fine cell (fx, fy)."""
+    x0, y0 = F.col("fx") * fine, F.col("fy") * fine
+    dx = F.greatest(x0 - F.col("x"), F.col("x") - x0 - fine, F.lit(0.0))
+    dy = F.greatest(y0 - F.col("y"), F.col("y") - y0 - fine, F.lit(0.0))
+    far = F.least(F.lit(90.0), F.greatest(F.abs("y"), F.abs(y0), F.abs(y0 + fine)))
+    dx, dy = dx * CONFIG.lng_m * F.cos(F.radians(far)), dy * CONFIG.lat_m
+    return F.sqrt(dx * dx + dy * dy) * (1 - 1e-9) - 1e-6
+
+
 def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, distance, size: float) -> DataFrame:
-    """Each point's nearest target, ties to the smaller key; ``distance`` gets (x, y, tx, ty).  Without targets no rows."""
+    """Each point's nearest target, ties to the smaller key; ``distance`` gets (x, y, tx, ty).  Without targets no rows.
+
+    Cells are ``size`` wide, or as narrow as the targets are dense.  In the wider cells of later rounds a point first
+    meets one target from each fine cell, 16 to a cell's width, and then all targets of the fine cells that may hold a
+    nearer one; so a point far from a dense crowd doesn't meet all of the crowd.
+    """
     t = targets.select(F.col(target_key).alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    d = distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
 
-    def pick(pairs: DataFrame) -> DataFrame:
-        d = distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
+    def best(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy(key).agg(F.min(F.struct(d.alias("d"), "target")).alias("m")).select(key, F.col("m.target").alias("target"), F.col("m.d").alias("d"))
 
-    return _widening(points, t, key, size, pick)
+    def pick(rest: DataFrame, size: float, first: bool) -> DataFrame:
+        if first:
+            return best(rest.join(ring_cells(point_cells(t, size, "tx", "ty"), 1), ["cx", "cy"]))
+        fine = size / 16
+        own = t.withColumn("fx", cell(F.col("tx"), fine)).withColumn("fy", cell(F.col("ty"), fine))
+        some = own.groupBy("fx", "fy").agg(F.min(F.struct("tx", "ty")).alias("p")).select("fx", "fy", "p.*")
+        asked = rest.join(ring_cells(point_cells(some, size, "tx", "ty"), 1), ["cx", "cy"]).select(key, "x", "y", "fx", "fy", d.alias("d"))
+        near = asked.groupBy(key).agg(F.min("d").alias("most"))
+        open_ = asked.join(near, key).where(_may_hold(fine) <= F.col("most")).select(key, "x", "y", "fx", "fy")
+        return best(open_.join(own, ["fx", "fy"]))
+
+    return _widening(points, key, min(size, _dense_size(targets, 2) or size), pick)
 
 
 def kth_distance(points: DataFrame, key: str, k: int, distance) -> DataFrame:
     """Distance to the k-th nearest other point; none if there are fewer.  Cells are as wide as the points are dense."""
-    box = points.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()  # one row
-    if not box["n"]:
+    size = _dense_size(points, k + 1)
+    if size is None:
         return points.select(key, F.lit(None).cast("double").alias("d"))
-    size = max(1e-6, math.sqrt(max(box["w"], 1e-6) * max(box["h"], 1e-6) * (k + 1) / box["n"]))
     others = points.select(F.col(key).alias("other"), F.col("x").alias("tx"), F.col("y").alias("ty"))
 
-    def pick(pairs: DataFrame) -> DataFrame:
+    def pick(rest: DataFrame, size: float, first: bool) -> DataFrame:
+        pairs = rest.join(ring_cells(point_cells(others, size, "tx", "ty"), 1), ["cx", "cy"])
         ranked = pairs.where(F.col(key) != F.col("other")).withColumn("d", distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")))
         return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", "other"))).where(F.col("rank") == k).select(key, "d")
 
-    return _widening(points, others, key, size, pick)
+    return _widening(points, key, size, pick)
