@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,41 @@ def scale(points: DataFrame) -> tuple[float, float]:
 
 
 def groups(points: DataFrame, link: float) -> DataFrame:
-    """id, x, y, root: single-linkage groups at ``link`` metres."""
-    size = link / CONFIG.lng_m / 0.5
-    other = sj.point_cells(points.select(F.col("id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty")), size, "tx", "ty")
-    near = sj.point_cells(points, size).transform(lambda d: sj.ring_cells(d, 1)).join(other, ["cx", "cy"]).where("id < dst")
-    links = near.where(metric.dist(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")) <= link).select(F.col("id").alias("src"), "dst")
-    return points.join(graph.components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """id, x, y, root: single-linkage groups at ``link`` metres.
+
+    Points of a cell whose diagonal is no longer than ``link`` are of one group, so groups are components of cells.  Two
+    cells are linked if their outermost points are near enough; only pairs of cells that are still of different groups
+    look at their points, and at those only that may be near enough to the other cell.
+    """
+    c = F.col
+    scratch = Scratch(points.sparkSession, "groups")
+    size = 0.999999 * link / math.hypot(CONFIG.lng_m, CONFIG.lat_m)
+    placed = sj.point_cells(points.select("id", "x", "y"), size)
+    outer = [f("id", F.struct(v, "id")).alias(f"{f.__name__}_{v}") for v in ("x", "y") for f in (F.min_by, F.max_by)]
+    box = [f(v).alias(f"{n}{v}") for v in ("x", "y") for f, n in ((F.min, "min"), (F.max, "max"))]
+    cells = scratch.keep(placed.groupBy("cx", "cy").agg(F.min("id").alias("head"), *box, *outer))
+    placed = scratch.keep(placed.join(cells.select("cx", "cy", "head"), ["cx", "cy"]).select("id", "x", "y", "head"))
+    ends = cells.select("head", F.explode(F.array_distinct(F.array("min_by_x", "max_by_x", "min_by_y", "max_by_y"))).alias("id")).join(placed.select("id", "x", "y"), "id").select("head", "x", "y")
+    right, up = math.ceil(2 * link / CONFIG.lng_m / size), math.ceil(link / CONFIG.lat_m / size)  # up to 60 degrees of latitude
+    near = cells.withColumn("_i", F.explode(F.sequence(F.lit(-right), F.lit(right)))).withColumn("_j", F.explode(F.sequence(F.lit(-up), F.lit(up))))
+    near = near.select((c("cx") + c("_i")).alias("cx"), (c("cy") + c("_j")).alias("cy"), c("head").alias("src"), *[c(f"{m}{v}").alias(f"s_{m}{v}") for v in ("x", "y") for m in ("min", "max")])
+    pairs = scratch.keep(near.join(cells.withColumnRenamed("head", "dst"), ["cx", "cy"]).where("src < dst").select("src", "dst", *[c(f"s_{m}{v}") for v in ("x", "y") for m in ("min", "max")], "minx", "maxx", "miny", "maxy"))
+
+    named = lambda df, key, x, y: df.select(c("head").alias(key), c("x").alias(x), c("y").alias(y))
+    close = metric.dist(c("x"), c("y"), c("tx"), c("ty")) <= link
+    sure = scratch.keep(pairs.select("src", "dst").join(named(ends, "src", "x", "y"), "src").join(named(ends, "dst", "tx", "ty"), "dst").where(close).select("src", "dst").distinct())
+    known = scratch.keep(graph.components(sure))
+    side = lambda k: known.select(c("node").alias(k), c("root").alias(f"r_{k}"))
+    unsure = pairs.join(side("src"), "src", "left").join(side("dst"), "dst", "left").where(F.coalesce("r_src", "src") != F.coalesce("r_dst", "dst"))
+    unsure = scratch.keep(unsure.drop("r_src", "r_dst"))
+    # a point further from the other cell's box, in latitude or, at 60 degrees, in longitude, is linked with none of its points
+    dx, dy = 2.000001 * link / CONFIG.lng_m, 1.000001 * link / CONFIG.lat_m
+    within = lambda x, y, p: c(x).between(c(f"{p}minx") - dx, c(f"{p}maxx") + dx) & c(y).between(c(f"{p}miny") - dy, c(f"{p}maxy") + dy)
+    left = unsure.join(named(placed, "src", "x", "y"), "src").where(within("x", "y", "")).select("src", "dst", "x", "y")
+    right_ = unsure.join(named(placed, "dst", "tx", "ty"), "dst").where(within("tx", "ty", "s_")).select("src", "dst", "tx", "ty")
+    more = left.join(right_, ["src", "dst"]).where(close).select("src", "dst").distinct()
+    roots = graph.components(sure.union(scratch.keep(more))).withColumnRenamed("node", "head")
+    return placed.join(roots, "head", "left").select("id", "x", "y", F.coalesce("root", "head").alias("root"))
 
 
 def find(points: DataFrame) -> DataFrame:

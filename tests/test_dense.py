@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quiltwork.functions import metric
+from quiltwork.operators import outliers
 from quiltwork.operators import spatial_join as sj
 
 
@@ -47,3 +48,31 @@ def test_nearest_in_sparse_and_clustered_places_is_that_of_all_pairs(spark):
     p, t = (spark.createDataFrame(rows, "id long, x double, y double") for rows in (points, targets))
     got = {r.id: r.target for r in sj.nearest(p, t, "id", "id", metric.dist, 0.002).collect()}
     assert got == {k: min((metres(x, y, tx, ty), j) for j, tx, ty in targets)[1] for k, x, y in points}
+
+
+def linked(points, link):
+    root = {k: k for k, _, _ in points}
+    for k, x, y in points:
+        for j, tx, ty in points:
+            if j < k and root[j] != root[k] and metres(x, y, tx, ty) <= link:
+                low, high = sorted((root[j], root[k]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_groups_of_dense_points_meet_few_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    points = places(rnd, 900, 19.9, 50.0, 0.0012) + places(rnd, 10, 19.91, 50.0, 0.004, 900)
+    dist, calls = counted(spark)
+    monkeypatch.setattr(outliers.metric, "dist", dist)
+    got = {r.id: r.root for r in outliers.groups(spark.createDataFrame(points, "id long, x double, y double"), 60.0).collect()}
+    assert got == linked(points, 60.0)
+    assert calls.value < len(points) ** 2 / 20
+
+
+def test_groups_at_the_edge_of_the_linking_distance_are_those_of_all_pairs(spark):
+    rnd = random.Random(6)
+    for n, side, link in ((150, 0.01, 60.0), (120, 0.006, 40.0), (60, 0.02, 130.0)):
+        points = places(rnd, n, 19.9, 50.0, side)
+        got = {r.id: r.root for r in outliers.groups(spark.createDataFrame(points, "id long, x double, y double"), link).collect()}
+        assert got == linked(points, link)
