@@ -12,15 +12,20 @@ def _columns(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the cores: a file of one row group, or a small exchange, would be one task."""
+    return df.repartition(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def each(df: DataFrame, run: Callable[[object], list[tuple]], schema: str) -> DataFrame:
-    """The rows that ``run`` gives for each row; no exchange."""
+    """The rows that ``run`` gives for each row, wherever they lie: the work by row is long, so the rows are dealt out."""
     names = _columns(schema)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield pd.DataFrame([out for r in rows.itertuples(index=False) for out in run(r)], columns=names)
 
-    return df.mapInPandas(go, schema)
+    return dealt(df).mapInPandas(go, schema)
 
 
 def project(df: DataFrame, key: str, order: str, run: Callable[[int, list], list[tuple]], schema: str) -> DataFrame:
