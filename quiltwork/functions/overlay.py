@@ -29,6 +29,8 @@ def _edges(polygon: Polygon, owner: int) -> list[tuple[float, float, float, floa
 
 def _heights(edges: list[tuple[float, float, float, float, int]]) -> list[float]:
     ys = {v for e in edges for v in (e[1], e[3])}
+    if all(e[0] == e[2] for e in edges):  # upright edges don't cross
+        return sorted(ys)
     order = sorted(edges, key=lambda e: e[1])
     for i, (ax, ay, bx, by, _) in enumerate(order):
         for cx, cy, dx, dy, _ in order[i + 1 :]:
