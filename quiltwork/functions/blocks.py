@@ -9,9 +9,10 @@ of one that waited, so every footprint sees the board as it would be in sequence
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from quiltwork.functions import board, settle
+from quiltwork.functions import board, morph, settle
 from quiltwork.functions import overlay as ov
 from quiltwork.functions.judge import Answer, Rule, judge
 from quiltwork.functions.overlay import Polygon
@@ -24,7 +25,7 @@ Order = tuple[float, int]
 @dataclass
 class Roof:
     order: Order  # size, id
-    shape: Polygon
+    shape: Polygon | Callable[[], Polygon]  # read when it is needed
     box: Box
 
 
@@ -37,7 +38,7 @@ class Move:
     read: Box
     changes: list[tuple[Cell, int, Polygon, Polygon]]
     far: bool = False  # it changed ground outside its zone
-    broken: bool = False  # ... which a later one had read before
+    broken: bool = False  # ... which a later one had read before, or a slot is no disc any more
 
 
 @dataclass
@@ -100,7 +101,7 @@ class Block:
                     for y in range(at[2], at[3] + 1):
                         waits.setdefault((x, y), []).append(zone)
             else:
-                move.broken = self._broken(move)
+                move.broken |= self._broken(move)
                 self.moves.append(move)
                 self._note(move)
                 done.append(move)
@@ -130,9 +131,17 @@ class Block:
                     if any(w[0] < x1 and x0 < w[2] and w[1] < y1 and y0 < w[3] for w in waits.get((x, y), ())):
                         return None
             slots, undone = self._seen(at, roof.order)
+            if self.rule.claims and len(slots) < 2:
+                return Move(roof.order, None, read, [])
+            if callable(roof.shape):
+                roof.shape = roof.shape()
             got = judge(slots, roof.shape, self.rule, frame, self.others)
             if got is not None:
-                return self._change(roof, got, read, undone)
+                move = self._change(roof, got, read, undone)
+                if self.rule.discs and frame is None and got.taker is not None:
+                    bit = 1 << got.keys.index(got.taker)
+                    move.broken = bool(morph.holes(ov.union_all([board.as_polygon([t for t, m in zip(got.traps, got.after, strict=True) if m & bit])])))
+                return move
             if frame is None:
                 return self._whole(roof, slots, read)
             reach = 2 * reach + g

@@ -17,11 +17,15 @@ from quiltwork.functions.settle import Frame, Sizes
 
 @dataclass(frozen=True)
 class Rule:
-    """``claims``: at least two must claim the footprint, and only claimants get it, with what nobody held of it."""
+    """``claims``: at least two must claim the footprint, and only claimants get it, with what nobody held of it.
+
+    ``discs``: every slot is one part without holes, so ground that a footprint parts in a window is parted.
+    """
 
     sizes: Sizes
     claims: bool = False
     strands: bool = True
+    discs: bool = False
 
 
 @dataclass
@@ -101,7 +105,8 @@ def judge(slots: dict[int, Polygon], roof: Polygon, rule: Rule, frame: Frame | N
     roofed = {i for i, m in enumerate(masks) if m & bit}
     plain = [m & ~bit for m in masks]
     share = {k: area(i for i in roofed if plain[i] >> b & 1) for b, k in enumerate(keys)}
-    held = [k for s, k in sorted((-s, k) for k, s in share.items() if s > 0)]
+    even = (lambda s: round(s / sizes.unit, 6)) if rule.claims else (lambda s: s)  # equal shares differ by rounding
+    held = [k for s, k in sorted((-even(s), k) for k, s in share.items() if s > 0)]
     owners = [k for k in held if share[k] >= sizes.floor(area(roofed))] if rule.claims else held
     if len(owners) < 2:
         return Answer(None, keys, traps, plain, plain)
@@ -133,7 +138,7 @@ def judge(slots: dict[int, Polygon], roof: Polygon, rule: Rule, frame: Frame | N
             edge, inner = sorted_out(left)
             edge0, inner0 = sorted_out(whole[k])
             if len(edge) != len(edge0):
-                return unsure
+                return None if rule.discs and len(edge) > len(edge0) else unsure
             if not left and (frame is None or others[k] == float("inf")):
                 return None
             if not left and not others[k]:
@@ -160,6 +165,8 @@ def judge(slots: dict[int, Polygon], roof: Polygon, rule: Rule, frame: Frame | N
             grown = whole[owner] | (roofed - spare) | extra
             edge, inner = sorted_out(grown)
             edge0, inner0 = sorted_out(whole[owner])
+            if rule.discs and len(edge) < len(edge0):
+                return unsure  # it may close a ring around others
             if len(inner) > len(inner0) or (not rule.claims and area(grown) < area(whole[owner]) + 0.9 * gain - sizes.unit):
                 # rounding and closed seams may do better, and that is seen only on whole shapes
                 return None if len(edge) == len(edge0) and not sizes.grid and not sizes.seam else unsure

@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from quiltwork.config import CONFIG
 from quiltwork.functions import board, heal, kernels, metric, morph, planar, ring
 from quiltwork.functions import overlay as ov
+from quiltwork.functions.judge import Rule
+from quiltwork.functions.settle import Sizes
+from quiltwork.operators import footprints
 from quiltwork.operators import spatial_join as sj
 from quiltwork.operators import ways
+from quiltwork.sources.scratch import Scratch
+
+#: Width in degrees of the cells by which footprints are freed; no multiple of it is a round number.
+ROOF_CELL = 7e-5 * math.sqrt(2)
 
 
 def _tidy(x):
@@ -113,12 +120,13 @@ def emit_territories(cells: DataFrame, lines: DataFrame, roofs: DataFrame, box:
 
     Lines and the box are cut at their crossings; each face goes to the cell that holds its interior point, else to the
     nearest centre; a cell's faces are joined and clipped, what nobody holds joins the touching territory with the
-    nearest centre, each territory is brought into one piece, and crossed footprints go to one claimant.  An area has at
-    most 200 cells, which meet in one task.
+    nearest centre, each territory is brought into one piece, and crossed footprints (id, box) go to one claimant, the
+    smallest first.  An area has at most 200 cells, which meet in one task; footprints are freed block by block, and one
+    task gets a territory's shape.
     """
     m2 = CONFIG.lat_m * CONFIG.lng_m * math.cos(math.radians((box[1] + box[3]) / 2))
 
-    def run(cells: pd.DataFrame, lines: pd.DataFrame, roofs: pd.DataFrame) -> pd.DataFrame:
+    def run(cells: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         outer = morph.box(*box)
         segments = [s for r in outer for s in zip(r, r[1:], strict=False)]
         for line in lines["line"]:
@@ -149,17 +157,34 @@ def emit_territories(cells: DataFrame, lines: DataFrame, roofs: DataFrame, box:
         names, shapes = [n for n, s in zip(names, shapes, strict=True) if s], [s for s in shapes if s]
         joined = board.connect(shapes, reach, CONFIG.sliver_m2 / m2, CONFIG.territory_fraction, CONFIG.passes)
         names += [max(names) + 1 + k for k in range(len(joined) - len(names))]
-        slots, _ = heal.free_footprints(list(zip(names, joined, strict=True)), [morph.box(r.minx, r.miny, r.maxx, r.maxy) for r in roofs.itertuples()], CONFIG.slice_m2 / m2, CONFIG.slice_share)
         near = dict(zip((r.cluster for r in rows), far, strict=True))
-        rows = [(n, [[{"x": x, "y": y} for x, y in r] for r in s], board.area(s) * m2, len(board.pieces(s)), near.get(n, 0)) for n, s in slots]
-        return pd.DataFrame(rows, columns=["cluster", "rings", "m2", "parts", "fallback"])
-
-    def whole(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return run(left, right[right["line"].notna()], right[right["minx"].notna()])
+        # places are kept relative to the box and in whole nanodegrees, so that what lies on one line has equal numbers
+        near_box = [[[(round(x - box[0], 9), round(y - box[1], 9)) for x, y in r] for r in s] for s in joined]
+        disc = [len(board.pieces(s)) == 1 and not morph.holes(ov.union_all([s])) for s in near_box]
+        out = [(n, footprints._cell(s), d, near.get(n, 0)) for n, s, d in zip(names, near_box, disc, strict=True)]
+        return pd.DataFrame(out, columns=["ord", "rings", "disc", "fallback"])
 
+    scratch = Scratch(cells.sparkSession, "territories")
     one = lambda df: df.withColumn("_one", F.lit(1))
-    rest = one(lines.select("line")).unionByName(one(roofs.select("minx", "miny", "maxx", "maxy")), allowMissingColumns=True)
-    return one(cells).groupBy("_one").cogroup(rest.groupBy("_one")).applyInPandas(whole, "cluster long, rings array<array<struct<x:double,y:double>>>, m2 double, parts long, fallback long")
+    drawn = one(cells).groupBy("_one").cogroup(one(lines.select("line")).groupBy("_one")).applyInPandas(run, f"ord long, rings {footprints.RINGS}, disc boolean, fallback long")
+    drawn = scratch.keep(drawn)
+    rule = Rule(Sizes(unit=1 / m2, slice=CONFIG.slice_m2, share=CONFIG.slice_share, crumb=0.0, nothing=-1.0), claims=True, strands=False, discs=bool(drawn.agg(F.min("disc")).first()[0]))  # one row
+    place = lambda v, at: F.round(F.col(v) - at, 9).alias(v)
+    size = F.expr("(maxy - miny) * (maxx - minx + maxx - minx) / 2").alias("roof")
+    local = roofs.select("id", size, place("minx", box[0]), place("miny", box[1]), place("maxx", box[0]), place("maxy", box[1]))
+    changed = footprints.free_claimed(local, drawn.select("ord", "rings"), ROOF_CELL, rule, scratch)
+
+    def whole(mine: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        """A territory with its changed cells in place of what it held of them."""
+        first = mine.iloc[0]
+        squares = [r for x, y in zip(now["cx"], now["cy"], strict=True) for r in morph.box(x * ROOF_CELL, y * ROOF_CELL, (x + 1) * ROOF_CELL, (y + 1) * ROOF_CELL)]
+        held = [r for shape in now["shape"] for r in footprints._shape(shape)]
+        ground = ov.overlay([footprints._rings(first["rings"]), squares, held], lambda s: s[2] if s[1] else s[0])
+        parts = [p for p in ov.parts(ground, close=1e-11) if ov.area(p) * m2 > 1e-6]  # smaller ones are specks of rounding
+        rings = [[{"x": x + box[0], "y": y + box[1]} for x, y in r] for r in board.as_polygon(ground)]
+        return pd.DataFrame([(first["ord"], rings, ov.area(ground) * m2, len(parts), first["fallback"])], columns=["cluster", "rings", "m2", "parts", "fallback"])
+
+    return drawn.groupBy("ord").cogroup(changed.groupBy("ord")).applyInPandas(whole, "cluster long, rings array<array<struct<x:double,y:double>>>, m2 double, parts long, fallback long")
 
 
 def heal_plan(slots: DataFrame, points: DataFrame, roofs: DataFrame, outer: tuple[float, float, float, float], project: str = "project", reach: float = 5e-6) -> DataFrame:
