@@ -107,7 +107,7 @@ def judge(slots: dict[int, Polygon], roof: Polygon, rule: Rule, frame: Frame | N
     share = {k: area(i for i in roofed if plain[i] >> b & 1) for b, k in enumerate(keys)}
     even = (lambda s: round(s / sizes.unit, 6)) if rule.claims else (lambda s: s)  # equal shares differ by rounding
     held = [k for s, k in sorted((-even(s), k) for k, s in share.items() if s > 0)]
-    owners = [k for k in held if share[k] >= sizes.floor(area(roofed))] if rule.claims else held
+    owners = [k for k in held if even(share[k]) >= even(sizes.floor(area(roofed)))] if rule.claims else held
     if len(owners) < 2:
         return Answer(None, keys, traps, plain, plain)
     at_frame: set[int] = set()

@@ -20,6 +20,8 @@ from quiltwork.sources.scratch import Scratch
 
 #: Width in degrees of the cells by which footprints are freed; no multiple of it is a round number.
 ROOF_CELL = 7e-5 * math.sqrt(2)
+#: Smaller parts and holes of a territory are specks of rounding.
+SPECK_M2 = 1e-6
 
 
 def _tidy(x):
@@ -160,7 +162,10 @@ def emit_territories(cells: DataFrame, lines: DataFrame, roofs: DataFrame, box:
         near = dict(zip((r.cluster for r in rows), far, strict=True))
         # places are kept relative to the box and in whole nanodegrees, so that what lies on one line has equal numbers
         near_box = [[[(round(x - box[0], 9), round(y - box[1], 9)) for x, y in r] for r in s] for s in joined]
-        disc = [len(board.pieces(s)) == 1 and not morph.holes(ov.union_all([s])) for s in near_box]
+        disc = []
+        for s in near_box:  # specks of rounding are neither parts nor holes
+            ground = ov.union_all([s])
+            disc.append(sum(ov.area(p) * m2 > SPECK_M2 for p in ov.parts(ground, close=1e-11)) == 1 and all(ov.area(h) * m2 <= SPECK_M2 for h in morph.holes(ground)))
         out = [(n, footprints._cell(s), d, near.get(n, 0)) for n, s, d in zip(names, near_box, disc, strict=True)]
         return pd.DataFrame(out, columns=["ord", "rings", "disc", "fallback"])
 
@@ -180,7 +185,7 @@ def emit_territories(cells: DataFrame, lines: DataFrame, roofs: DataFrame, box:
         squares = [r for x, y in zip(now["cx"], now["cy"], strict=True) for r in morph.box(x * ROOF_CELL, y * ROOF_CELL, (x + 1) * ROOF_CELL, (y + 1) * ROOF_CELL)]
         held = [r for shape in now["shape"] for r in footprints._shape(shape)]
         ground = ov.overlay([footprints._rings(first["rings"]), squares, held], lambda s: s[2] if s[1] else s[0])
-        parts = [p for p in ov.parts(ground, close=1e-11) if ov.area(p) * m2 > 1e-6]  # smaller ones are specks of rounding
+        parts = [p for p in ov.parts(ground, close=1e-11) if ov.area(p) * m2 > SPECK_M2]
         rings = [[{"x": x + box[0], "y": y + box[1]} for x, y in r] for r in board.as_polygon(ground)]
         return pd.DataFrame([(first["ord"], rings, ov.area(ground) * m2, len(parts), first["fallback"])], columns=["cluster", "rings", "m2", "parts", "fallback"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltwork.functions import mercator, metric, ring
-from quiltwork.operators import cache, graph, outliers, partition, raster, running, ways
+from quiltwork.operators import boards, cache, graph, outliers, partition, raster, running, ways
 from quiltwork.plans.registry import LAYERS, layers, query
 from quiltwork.plans.spatial import independent_counts, point_lookup
 from quiltwork.sources import payload, synth
@@ -207,11 +207,11 @@ def partition_pipeline(spark, sf_dir):
     For each: the buildings nearest to its centre, its area, its pieces, and the faces that only the nearest centre claimed.
     """
     area, k = (19.89, 49.99, 19.93, 50.03), 12
-    b, s = synth.buildings(spark, sf_dir).select("id", "x", "y"), synth.streets(spark, sf_dir)
+    scratch = Scratch(spark, "partition")
+    b, s = scratch.keep(boards.dealt(synth.buildings(spark, sf_dir).select("id", "x", "y"))), synth.streets(spark, sf_dir)
     middles = s.where("id % 5 = 0").select("id", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
     corners = spark.range(4 * k).select("id", (area[0] + (area[2] - area[0]) * (F.col("id") % 7) / 7).alias("x"), (area[1] + (area[3] - area[1]) * (F.col("id") % 5) / 5).alias("y"))
     points = partition.sample_points(k, b, middles, corners)
-    scratch = Scratch(spark, "partition")
     centres = scratch.keep(partition.lloyd(points, k, 4))
     held = partition.assign(b, [(r["cluster"], r["x"], r["y"]) for r in centres.collect()]).groupBy("cluster").agg(F.count(F.lit(1)).alias("buildings"))  # k centres
     cells = scratch.keep(partition.voronoi_cells(centres, area))
